@@ -190,10 +190,14 @@ def item_similarity(pairs: DataFrame, train: DataFrame, blocks: DataFrame, n_use
     return _with_similarity(known, common_products(pairs, rated), n_users).select("lo", "hi", "similarity")
 
 
-def rated_pairs(test: DataFrame, train: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Distinct item pairs a prediction compares: test item and rated item of one user and block."""
+def rated_pairs(test: DataFrame, train: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
+    """Distinct item pairs a prediction compares: test item and rated item of one user and block.
+
+    Heavy users' pairs are never listed; their predictions do without.
+    """
     t = test.join(blocks, "item_id").select("user_id", "cluster_id", "item_id")
-    r = train.join(blocks, "item_id").select("user_id", "cluster_id", F.col("item_id").alias("other_item_id"))
+    light = _tag_heavy(train.join(blocks, "item_id"), limit).filter(~F.col("heavy"))
+    r = light.select("user_id", "cluster_id", F.col("item_id").alias("other_item_id"))
     return _ordered(t.join(r, ["user_id", "cluster_id"])).select("lo", "hi").distinct()
 
 
@@ -283,7 +287,8 @@ def rmse(predictions: DataFrame, test: DataFrame, train: DataFrame) -> DataFrame
         F.sum(err * err).alias("sse"), F.count("predicted_rating").alias("predicted")
     )
     known = test.join(train.select("item_id"), "item_id", "left_semi").agg(F.count("*").alias("known"))
-    return hit.join(known).select(
+    both = hit.unionByName(known, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("sse", "predicted", "known")])
+    return both.select(
         "predicted", "known",
         F.sqrt(F.try_divide("sse", "predicted")).alias("rmse"),
         F.sqrt(F.try_divide("sse", "known")).alias("rmse_reference"),
