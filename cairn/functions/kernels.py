@@ -9,6 +9,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+
+NEAREST = StructType([StructField("pick", IntegerType()), StructField("d", DoubleType())])
+OFFERS = ArrayType(StructType([
+    StructField("side", IntegerType()), StructField("i", IntegerType()),
+    StructField("j", IntegerType()), StructField("cost", DoubleType())]))
+OFFERS_ARROW = pa.list_(pa.struct([("side", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("cost", pa.float64())]))
+INDEXES = ArrayType(IntegerType())
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
@@ -25,7 +33,7 @@ def sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-@arrow_udf("struct<pick:int,d:double>")
+@arrow_udf(NEAREST)
 def nearest_seed(x: pa.Array, seeds: pa.Array) -> pa.Array:
     """Index of the nearest vector of each row's own list, first on ties, and its distance."""
     points = matrix(x)
@@ -47,19 +55,19 @@ def _tiles(a: pa.Array, b: pa.Array):
         yield matrix(x.values), matrix(y.values)
 
 
-@arrow_udf("double")
+@arrow_udf(DoubleType())
 def farthest(a: pa.Array, b: pa.Array) -> pa.Array:
     """Largest squared distance between two tiles of vectors."""
     return pa.array([float(sq_distances(x, y).max()) for x, y in _tiles(a, b)])
 
 
-@arrow_udf("double")
+@arrow_udf(DoubleType())
 def closest(a: pa.Array, b: pa.Array) -> pa.Array:
     """Smallest squared distance between two tiles of vectors."""
     return pa.array([float(sq_distances(x, y).min()) for x, y in _tiles(a, b)])
 
 
-@arrow_udf("array<struct<side:int,i:int,j:int,cost:double>>")
+@arrow_udf(OFFERS)
 def cheapest_partner(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array, same: pa.Array) -> pa.Array:
     """Ward cost of the cheapest partner of every row of either tile, within the other tile.
 
@@ -78,10 +86,35 @@ def cheapest_partner(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array, same:
             rows += [(1, int(j), int(i), float(cost[i, j])) for j, i in enumerate(cost.argmin(axis=0))]
         rows += [(0, int(i), int(j), float(cost[i, j])) for i, j in enumerate(cost.argmin(axis=1))]
         out.append([dict(zip(("side", "i", "j", "cost"), r)) for r in rows if np.isfinite(r[3])])
-    return pa.array(out, pa.list_(pa.struct([("side", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("cost", pa.float64())])))
+    return pa.array(out, OFFERS_ARROW)
+
 
+@arrow_udf(OFFERS)
+def all_merges(tile: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Ward's merges of one tile down to a single cluster, cheapest first.
 
-@arrow_udf("array<int>")
+    The merged cluster takes the place of the earlier row.
+    """
+    out = []
+    for t, size in zip(tile, sizes):
+        x, n = matrix(t.values).copy(), np.array(size.as_py(), float)
+        cost = sq_distances(x, x) * (n[:, None] * n / (n[:, None] + n))
+        np.fill_diagonal(cost, np.inf)
+        rows = []
+        for _ in range(len(x) - 1):
+            i, j = sorted(int(v) for v in np.unravel_index(cost.argmin(), cost.shape))
+            rows.append({"side": 0, "i": i, "j": j, "cost": float(cost[i, j])})
+            x[i] = (n[i] * x[i] + n[j] * x[j]) / (n[i] + n[j])
+            n[i] += n[j]
+            cost[j, :] = cost[:, j] = np.inf
+            fresh = sq_distances(x[i : i + 1], x)[0] * (n[i] * n / (n[i] + n))
+            alive = np.isfinite(cost[i])
+            cost[i, alive] = cost[alive, i] = fresh[alive]
+        out.append(rows)
+    return pa.array(out, OFFERS_ARROW)
+
+
+@arrow_udf(INDEXES)
 def neighbours_inside(tile: pa.Array, eps: pa.Array) -> pa.Array:
     """For every vector of a tile, how many of the tile are within eps, itself included."""
     out = []
@@ -91,7 +124,7 @@ def neighbours_inside(tile: pa.Array, eps: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int32()))
 
 
-@arrow_udf("array<int>")
+@arrow_udf(INDEXES)
 def groups_inside(tile: pa.Array, eps: pa.Array) -> pa.Array:
     """For every vector of a tile, the first vector it is linked to by steps of at most eps."""
     out = []

@@ -53,7 +53,7 @@ def _reached(asking: DataFrame, pairs: DataFrame, shape: DataFrame, others: Data
     """
     parties = others.groupBy("ball", "party").agg(F.count("*").alias("size")).join(shape, "ball").select(
         F.col("ball").alias("b"), "party", "size", "pivot", widened(F.col("r")).alias("r"),
-        F.ceil(F.col("size") / SPREAD).cast("int").alias("salts"))
+        F.ceil(F.col("size") / SPREAD).alias("salts"))
     near = (
         asking.join(pairs, F.col("ball") == F.col("a")).join(parties, "b")
         .withColumn("far", distance("x", "pivot"))
@@ -65,7 +65,7 @@ def _reached(asking: DataFrame, pairs: DataFrame, shape: DataFrame, others: Data
         "b", "party", "y", F.pmod(F.xxhash64("other"), "salts").alias("salt"))
     compared = (
         near.filter(~whole)
-        .select("id", "x", "b", "party", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).cast("long").alias("salt"))
+        .select("id", "x", "b", "party", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
         .join(dealt, ["b", "party", "salt"])
         .filter(distance("x", "y") <= eps)
         .groupBy("id", "party").agg(F.count("*").alias("hits"))

@@ -16,21 +16,23 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are taken map-side and joined back, so no neighbour list is built.
     """
     now = cut(_clean(edges.select("u", "v")))
-    mark = None
-    while True:
-        small = cut(_small_star(_large_star(now)))
-        new_mark = small.agg(
-            F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        now = small
-        if new_mark == mark:
-            break
-        mark = new_mark
-    named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    while not _only_stars(now):
+        now = cut(_small_star(_large_star(now)))
+    named = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
+    roots = named.select(F.col("component").alias("node"), "component").distinct()
     return named.unionByName(roots)
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """True when every node points at one smaller node that points nowhere."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    forked = down.groupBy("u").agg(F.count("*").alias("ways")).filter(F.col("ways") > 1).select("u")
+    onward = down.join(down.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return forked.unionByName(onward).isEmpty()
+
+
 def _clean(edges: DataFrame) -> DataFrame:
+    """Without loops and repeats; repeats are dropped map-side first."""
     return edges.filter(F.col("u") != F.col("v")).distinct()
 
 

@@ -5,8 +5,9 @@ anywhere in the data: Ward's cost is reducible, so the merges found this way are
 those of the one-by-one method (Bruynooghe 1977, Murtagh 1983).  One merge history
 serves every number of clusters.
 
-A round costs a partner search among the clusters still alive, so a seed of N
-points wants N well below the size of the whole data.
+A round costs a partner search among the clusters still alive.  Once they fit one
+tile, a fixed number of rows however large the seed was, the last merges are made
+in one go.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.kernels import cheapest_partner
+from cairn.functions.kernels import all_merges, cheapest_partner
 from cairn.operators.balls import LEAF, SLACK, cover, leaf, tile_pairs
 from cairn.operators.graph import components
 from cairn.session import cut
@@ -72,7 +73,7 @@ def history(points: DataFrame, leaf_rows: int = LEAF) -> DataFrame:
     live = cut(same.select("id", "n", F.col("features").alias("centroid")))
     copies = points.join(same.select("features", "id"), "features").filter(F.col("point_id") != F.col("id"))
     merges = [copies.select(F.lit(0.0).alias("cost"), F.col("id").alias("lo"), F.col("point_id").alias("hi"))]
-    while live.limit(2).count() == 2:
+    while live.limit(leaf_rows + 1).count() > leaf_rows:
         best = cut(_best_partners(live, leaf_rows))
         mutual = (
             best.groupBy("best").agg(F.count("*").alias("sides")).filter(F.col("sides") == 2).select("best.*")
@@ -84,9 +85,18 @@ def history(points: DataFrame, leaf_rows: int = LEAF) -> DataFrame:
         touched = renamed.join(found.select(F.col("lo").alias("id")), "id", "left_semi")
         rest = renamed.join(found.select(F.col("lo").alias("id")), "id", "left_anti")
         live = cut(rest.unionByName(_weighted_mean(touched)))
+    merges.append(_last_merges(live))
     return reduce(DataFrame.unionByName, merges)
 
 
+def _last_merges(live: DataFrame) -> DataFrame:
+    """Merges of the last clusters, at most one tile of them whatever the seed's size."""
+    last = live.agg(F.sort_array(F.collect_list(F.struct("id", F.col("centroid").alias("x"), F.col("n").alias("w")))).alias("p"))
+    found = last.filter(F.size("p") > 1).select(
+        F.col("p.id").alias("ids"), F.explode(all_merges("p.x", "p.w")).alias("m"))
+    return found.select("m.cost", F.get("ids", "m.i").alias("lo"), F.get("ids", "m.j").alias("hi"))
+
+
 def labels(points: DataFrame, merges: DataFrame, ks: list[int]) -> DataFrame:
     """``k, point_id, cluster_id`` for every wanted number of clusters.
 

@@ -27,6 +27,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now, keep it in reliable storage and drop its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` now, as a table in the shared folder, and go on from that table.
+
+    A lost executor costs at most the step at hand.  A table read back also
+    tells Spark its true size, which decides later joins, and carries nothing of
+    the plan that made it.
+    """
+    path = new_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
