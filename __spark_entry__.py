@@ -18,6 +18,7 @@ from cairn.operators.assign import OUTLIER, assign, distance_matrix
 from cairn.plans.bfr import Settings, bfr
 from cairn.session import cut, new_path
 from cairn.sources import text
+from cairn.sql_checks import statements
 
 DEVIATIONS, EPS, ALPHA = 1.25, 0.07, 1.2
 LEAF_ROWS = 64  # small tiles, so that small data takes the way of big data
@@ -470,6 +471,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from cairn.plans.sql import statements
-
     return statements(deviations=DEVIATIONS, eps=EPS, alpha=ALPHA, heavy=HEAVY, ks=KS, max_bytes=BFR.max_bytes)

@@ -106,9 +106,15 @@ def long_blocks(train: DataFrame, k: int, least: float, seed: int, rounds: int =
         cells = cut(r.join(nodes.filter(F.col("node").isin(chosen)), "item_id"))
         split = _two_means(cells, seed, rounds)
         moved = nodes.join(split.select("item_id", "side"), "item_id", "left")
-        nodes = cut(moved.select("item_id", F.coalesce(F.col("node") * 2 + F.col("side"), F.col("node")).alias("node")))
-        halves = split.groupBy("node").agg(F.countDistinct("side").alias("sides")).filter(F.col("sides") == 1)
-        stuck |= {c for x in halves.collect() for c in (2 * x.node, 2 * x.node + 1)}
-    order = {n: i for i, n in enumerate(sorted(sizes))}
-    numbers = F.create_map(*[F.lit(v) for n, i in order.items() for v in (n, i)])
-    return nodes.select("item_id", numbers[F.col("node")].alias("cluster_id"))
+        first = max(sizes) + 1
+        base = {n: first + 2 * i for i, n in enumerate(chosen)}
+        child = _lookup(base)[F.col("node")] + F.col("side")
+        nodes = cut(moved.select("item_id", F.coalesce(child, F.col("node")).alias("node")))
+        whole = split.groupBy("node").agg(F.countDistinct("side").alias("sides")).filter(F.col("sides") == 1)
+        stuck |= {c for x in whole.collect() for c in (base[x.node], base[x.node] + 1)}
+    numbers = _lookup({n: i for i, n in enumerate(sorted(sizes))})
+    return nodes.select("item_id", numbers[F.col("node")].cast("int").alias("cluster_id"))
+
+
+def _lookup(values: dict[int, int]):
+    return F.create_map(*[F.lit(v).cast("long") for pair in values.items() for v in pair])
