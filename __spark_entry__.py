@@ -288,7 +288,7 @@ def cs_merge_candidates(spark, sf):
 
 
 def cs_merge(spark, sf):
-    left, names, _ = merge.merge_sets(_sets(spark, sf), ALPHA, leaf_rows=LEAF_ROWS)
+    left, names, _ = merge.merge_sets(merge.listed(_sets(spark, sf)), ALPHA, leaf_rows=LEAF_ROWS)
     sizes = left.groupBy("set_key").agg(F.max("n").alias("n"))
     return names.join(sizes, F.col("new_key") == F.col("set_key")).select("old_key", "new_key", "n")
 

@@ -99,12 +99,17 @@ def matching(sets: DataFrame, alpha: float, leaf_rows: int = LEAF) -> DataFrame:
     return reduce(DataFrame.unionByName, taken) if taken else mutual
 
 
-def merge_sets(states: DataFrame, alpha: float, step: int = 0, leaf_rows: int = LEAF) -> tuple[DataFrame, DataFrame, int]:
+def listed(states: DataFrame) -> DataFrame:
+    """Put keys of any form in front of all keys that merging will make."""
+    return states.withColumn("set_key", F.concat_ws("/", F.lit(f"{0:06d}"), "set_key"))
+
+
+def merge_sets(states: DataFrame, alpha: float, step: int = 1, leaf_rows: int = LEAF) -> tuple[DataFrame, DataFrame, int]:
     """Merge until nothing fits: the states left, the renamings and the next step number.
 
     The renamings ``old_key, new_key`` cover all sets that came in.  Keys start
-    with the number of the step that made them, so that later sets come last and
-    sets of one step keep the order of their first members.
+    with the number of the step that made them (see `listed`), so that later sets
+    come last and sets of one step keep the order of their first members.
     """
     now = cut(states)
     names = now.select(F.col("set_key").alias("old_key"), F.col("set_key").alias("new_key")).distinct()
