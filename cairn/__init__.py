@@ -1 +1,8 @@
 """Clustering, category profiles and recommendations as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ many, are read once per block and not shuffled.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,17 @@ OUTLIER = -1
 BLOCK_CELLS = 4_000_000  # cluster x dimension cells sent to the tasks at a time (32 MB)
 
 
-class Block:
-    """Centroids and variances of some clusters, in id order."""
+class Block(NamedTuple):
+    """Ids, centroids and variances of some clusters, in id order."""
 
-    def __init__(self, rows):
-        self.ids = [r.cluster_id for r in rows]
-        self.centroid = np.array([r.centroid for r in rows], float)
-        self.variance = np.array([r.variance for r in rows], float)
+    ids: list
+    centroid: np.ndarray
+    variance: np.ndarray
+
+
+def _block(rows) -> Block:
+    return Block([r.cluster_id for r in rows], np.array([r.centroid for r in rows], float),
+                 np.array([r.variance for r in rows], float))
 
 
 def cluster_blocks(states: DataFrame, block_cells: int = BLOCK_CELLS):
@@ -38,12 +43,12 @@ def cluster_blocks(states: DataFrame, block_cells: int = BLOCK_CELLS):
     rows, cells = [], 0
     for r in wide.toLocalIterator():
         if rows and cells + len(r.centroid) > block_cells:
-            yield Block(rows)
+            yield _block(rows)
             rows, cells = [], 0
         rows.append(r)
         cells += len(r.centroid)
     if rows:
-        yield Block(rows)
+        yield _block(rows)
 
 
 def mahalanobis(x: np.ndarray, centroid: np.ndarray, variance: np.ndarray) -> np.ndarray:
@@ -63,31 +68,31 @@ def euclidean(x: np.ndarray, centroid: np.ndarray, variance: np.ndarray) -> np.n
 
 
 def _all(spark, block: Block, measure):
-    held = spark.sparkContext.broadcast(block)
+    held = spark.sparkContext.broadcast(tuple(block))
 
     @arrow_udf(ArrayType(DoubleType()))
     def distances(x: pa.Array) -> pa.Array:
-        b, points = held.value, matrix(x)
-        table = np.array([measure(points, c, v) for c, v in zip(b.centroid, b.variance)]).reshape(len(b.ids), len(points))
-        offsets = np.arange(len(points) + 1, dtype=np.int32) * len(b.ids)
+        (ids, centroid, variance), points = held.value, matrix(x)
+        table = np.array([measure(points, c, v) for c, v in zip(centroid, variance)]).reshape(len(ids), len(points))
+        offsets = np.arange(len(points) + 1, dtype=np.int32) * len(ids)
         return pa.ListArray.from_arrays(offsets, pa.array(table.T.ravel()))
 
     return distances
 
 
 def _nearest(spark, block: Block, measure, id_type):
-    held = spark.sparkContext.broadcast(block)
+    held = spark.sparkContext.broadcast(tuple(block))
 
     @arrow_udf(StructType([StructField("distance", DoubleType()), StructField("cluster_id", id_type)]))
     def nearest(x: pa.Array) -> pa.Array:
-        b, points = held.value, matrix(x)
+        (ids, centroid, variance), points = held.value, matrix(x)
         best, which = np.full(len(points), np.inf), np.zeros(len(points), np.int64)
-        for i, (c, v) in enumerate(zip(b.centroid, b.variance)):
+        for i, (c, v) in enumerate(zip(centroid, variance)):
             d = measure(points, c, v)
             closer = d < best
             best[closer], which[closer] = d[closer], i
-        ids = np.array(b.ids)[which]
-        return pa.StructArray.from_arrays([pa.array(best), pa.array(ids)], ["distance", "cluster_id"])
+        picked = np.array(ids)[which]
+        return pa.StructArray.from_arrays([pa.array(best), pa.array(picked)], ["distance", "cluster_id"])
 
     return nearest
 

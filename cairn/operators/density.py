@@ -91,6 +91,8 @@ def _core(found: Cover, eps: float, min_points: int) -> DataFrame:
     inside = _per_tile(pts.filter(~F.col("tight")), lambda xs: neighbours_inside(xs, F.lit(eps)))
     counted = cut(pts.join(inside.select("id", "v"), "id", "left").select(
         "id", "x", "ball", "tight", F.when(F.col("tight"), F.col("n")).otherwise(F.col("v")).alias("own")))
+    if found.pairs.filter(F.col("a") != F.col("b")).isEmpty():
+        return counted.select("id", "x", "ball", "tight", (F.col("own") >= min_points).alias("core"))
     short = counted.filter(F.col("own") < min_points)
     hits = _reached(short, _both_ways(found.pairs), shape.drop("n"),
                     counted.select("id", "x", "ball", F.lit("").alias("party")), eps)
@@ -125,6 +127,9 @@ def _linked(cores: DataFrame, shape: DataFrame, pairs: DataFrame, eps: float, le
     left is searched by splitting the points that face each other into ever
     smaller balls until two within eps turn up or none can.
     """
+    across = pairs.filter(F.col("a") != F.col("b"))
+    if across.isEmpty():
+        return across.select(F.col("a").alias("u"), F.col("b").alias("v"))
     party = cut(
         cores.groupBy("ball", "party").agg(F.min_by("x", "id").alias("some")).join(shape, "ball")
         .withColumn("r", widened(F.col("r"))))
@@ -134,7 +139,7 @@ def _linked(cores: DataFrame, shape: DataFrame, pairs: DataFrame, eps: float, le
                             F.col("some").alias(f"some_{s}"), F.col("pivot").alias(f"pivot_{s}"), F.col("r").alias(f"r_{s}"))
 
     near = cut(
-        pairs.filter(F.col("a") != F.col("b")).join(side("a"), "a").join(side("b"), "b")
+        across.join(side("a"), "a").join(side("b"), "b")
         .withColumn("sure", distance("some_a", "some_b") <= eps))
     sure = near.filter("sure").select(F.col("party_a").alias("u"), F.col("party_b").alias("v"))
     unsure = near.filter(~F.col("sure"))

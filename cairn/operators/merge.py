@@ -59,6 +59,30 @@ def first_partner(n_a: pa.Array, s_a: pa.Array, q_a: pa.Array, n_b: pa.Array, s_
     return pa.array(out, PAIR_ARROW)
 
 
+@arrow_udf(PAIR)
+def greedy_pairs(n: pa.Array, s: pa.Array, q: pa.Array, alpha: pa.Array) -> pa.Array:
+    """All pairs one pass merges among the sets of a single tile."""
+    out = []
+    for size, total, square, al in zip(n, s, q, alpha):
+        n1, s1, q1 = np.array(size.as_py(), float)[:, None], matrix(total.values), matrix(square.values)
+        spread, used, rows = _mean_variance(n1, s1, q1), np.zeros(len(n1), bool), []
+        for i in range(len(n1)):
+            fits = _mean_variance(n1[i] + n1, s1[i] + s1, q1[i] + q1) < al.as_py() * np.maximum(spread[i], spread)
+            later = np.flatnonzero(fits[i + 1 :] & ~used[i + 1 :]) + i + 1
+            if not used[i] and len(later):
+                rows.append({"side": 0, "i": i, "j": int(later[0])})
+                used[later[0]] = True
+        out.append(rows)
+    return pa.array(out, PAIR_ARROW)
+
+
+def _one_tile(sets: DataFrame, alpha: float) -> DataFrame:
+    p = sets.agg(F.sort_array(F.collect_list(F.struct("set_key", "n", "s", "q"))).alias("p"))
+    found = p.filter(F.size("p") > 1).select(
+        F.col("p.set_key").alias("keys"), F.explode(greedy_pairs("p.n", "p.s", "p.q", F.lit(float(alpha)))).alias("o"))
+    return found.select(F.get("keys", "o.i").alias("lo"), F.get("keys", "o.j").alias("hi"))
+
+
 def first_pairs(sets: DataFrame, alpha: float, tiles: int) -> DataFrame:
     """``set_key, best``: the first pair ``(lo, hi)`` in list order that each set could merge in.
 
@@ -84,9 +108,11 @@ def first_pairs(sets: DataFrame, alpha: float, tiles: int) -> DataFrame:
 
 
 def matching(sets: DataFrame, alpha: float, leaf_rows: int = LEAF) -> DataFrame:
-    """Pairs ``(lo, hi)`` one pass merges."""
+    """Pairs ``(lo, hi)`` one pass merges; at most ``leaf_rows`` sets are matched in one go."""
     live, taken = sets, []
-    tiles = 1 + sets.count() // leaf_rows
+    tiles = 1 + (sets.count() - 1) // leaf_rows
+    if tiles == 1:
+        return _one_tile(sets, alpha)
     while True:
         offered = cut(first_pairs(live, alpha, tiles))
         mutual = cut(offered.groupBy("best").agg(F.count("*").alias("sides")).filter(F.col("sides") == 2).select("best.*"))
