@@ -218,7 +218,7 @@ def _heavy_sums(test_placed: DataFrame, rated: DataFrame, train: DataFrame, n_us
     mine = rated.filter("heavy").select(
         *group, F.col("item_id").alias("j"), "n", "a",
         (u * (F.col("rating") - F.col("base"))).alias("w"), u.alias("u"),
-    ).filter(F.col("u").isNotNull())
+    )  # an item with a constant vector has no similarity: null weights, left out of every sum
     tail = F.col("a") * (F.col("n") - n_users)
     sums = mine.groupBy(*group).agg(
         F.sum(F.col("w") * F.col("a")).alias("a_w"), F.sum(F.col("u") * F.col("a")).alias("a_u"),

@@ -9,7 +9,7 @@ POINTS = """v AS (SELECT vec_id AS point_id, label,
 vl AS (SELECT point_id, label, octant, unnest([0, 1, 2]) AS dim, unnest(f) AS x FROM v)"""
 
 POINTS64 = """p AS (SELECT vec_id AS point_id, label AS cluster_id,
-    unnest(generate_series(0, 63)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
+    unnest(generate_series(0, 63))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
 
 SEED_STATES = """ss AS (SELECT octant AS cluster_id, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q
   FROM vl WHERE label < 2 GROUP BY 1, 2)"""
@@ -29,7 +29,7 @@ tg AS (SELECT track_id, label, unnest(CASE WHEN two THEN [100 + nk, root, second
   FROM tracks),
 counts AS (SELECT CASE WHEN label <= 7 THEN label END AS cluster_id, r_name AS genre_title, count(*) AS count
   FROM tg JOIN region ON genre_id = (r_regionkey + 1)::VARCHAR GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY count DESC, genre_title) AS rank FROM counts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY count DESC, genre_title)::INT AS rank FROM counts),
 shares AS (SELECT *, count / sum(count) OVER (PARTITION BY cluster_id) AS portion FROM ranked WHERE rank <= 3)"""
 
 RATINGS = """e AS (SELECT user_id::INT AS user_id, (props::JSON ->> 'k')::INT AS item_id, event_id,
@@ -138,7 +138,7 @@ kp AS (SELECT k, (cluster_id % k)::INT AS cluster_id, point_id, f FROM lp, lk)""
         "cluster_stats": f"""WITH {POINTS64} SELECT cluster_id, dim, round(avg(x), 6) AS centroid, round(var_pop(x), 6) AS variance,
             round(stddev_pop(x), 6) AS std FROM p GROUP BY 1, 2""",
         "cluster_merge": f"WITH {POINTS} SELECT octant AS cluster_id, dim, count(*) AS n, round(sum(x), 6) AS s, round(sum(x * x), 6) AS q FROM vl GROUP BY 1, 2",
-        "membership_overlap": f"WITH {TRACKS} SELECT track_id::BIGINT AS point_id, 2 AS sets FROM tracks WHERE two AND label <= 7",
+        "membership_overlap": f"WITH {TRACKS} SELECT track_id::BIGINT AS point_id, 2::BIGINT AS sets FROM tracks WHERE two AND label <= 7",
         "label_centroids": f"WITH {POINTS64} SELECT cluster_id, count(*) AS n, dim, round(avg(x), 6) AS x FROM p GROUP BY cluster_id, dim",
         "hash_split": f"{split} SELECT user_id, item_id, CASE WHEN bucket < 1 THEN 'test' ELSE 'train' END AS part FROM parts",
         "chunk_assign": f"""SELECT vec_id AS point_id,
