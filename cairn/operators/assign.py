@@ -2,7 +2,9 @@
 
 Cluster states are (clusters x dimensions) numbers, set by parameters and not by
 the data.  They go to every task in blocks of bounded size; the points, however
-many, are read once per block and not shuffled.
+many, are read once per block and not shuffled.  The functions are marked
+non-deterministic only so that Spark does not run them again for a filter on
+their result.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def _all(spark, block: Block, measure):
         offsets = np.arange(len(points) + 1, dtype=np.int32) * len(ids)
         return pa.ListArray.from_arrays(offsets, pa.array(table.T.ravel()))
 
-    return distances
+    return distances.asNondeterministic()
 
 
 def _nearest(spark, block: Block, measure, id_type):
@@ -94,7 +96,7 @@ def _nearest(spark, block: Block, measure, id_type):
         picked = np.array(ids)[which]
         return pa.StructArray.from_arrays([pa.array(best), pa.array(picked)], ["distance", "cluster_id"])
 
-    return nearest
+    return nearest.asNondeterministic()
 
 
 def distance_matrix(points: DataFrame, states: DataFrame, measure=mahalanobis,

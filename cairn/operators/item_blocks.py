@@ -48,10 +48,12 @@ def item_blocks(train: DataFrame, k: int = 50, min_divisible: float | None = Non
     size = vector_size(train)
     if size > max_vector:
         return long_blocks(train, k, least, seed)
-    vectors = item_vectors(train, size).persist()
+    vectors = cut(item_vectors(train, size)).persist()  # as a table first: few partitions for many passes
     model = BisectingKMeans(
         featuresCol="ratings", predictionCol="cluster_id", k=k, minDivisibleClusterSize=least, seed=seed).fit(vectors)
-    return model.transform(vectors).select("item_id", "cluster_id")
+    blocks = cut(model.transform(vectors).select("item_id", "cluster_id"))
+    vectors.unpersist()
+    return blocks
 
 
 def _two_means(cells: DataFrame, seed: int, rounds: int) -> DataFrame:

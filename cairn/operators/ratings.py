@@ -256,7 +256,7 @@ def predict(test: DataFrame, train: DataFrame, blocks: DataFrame, mu: float, n_u
     on, get no row; the prediction is null when the similarities add up to 0.
     """
     rated = cut(_tag_heavy(_placed(train, train, blocks, mu, n_users), limit))
-    asked = _placed(test.dropDuplicates(), train, blocks, mu, n_users)
+    asked = cut(_placed(test.dropDuplicates(), train, blocks, mu, n_users))
     sums = _light_sums(asked, rated, n_users)
     if not rated.filter("heavy").isEmpty():
         sums = sums.unionByName(_heavy_sums(asked, rated, train, n_users))

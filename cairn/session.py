@@ -11,19 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; the session names it in ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context has one (a bare local test
+    Only where neither the session nor its context has one (a bare local test
     session) is a temporary folder made.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
     return sc.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder.
+
+    Results may still read from there, so it is for the user to clear
+    ``<shared folder>/<application id>`` once the job is over.
+    """
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
