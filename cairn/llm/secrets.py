@@ -1,0 +1,180 @@
+"""Secret scan: fixed patterns, and literals assigned to sensitive names.
+
+Besides the patterns, every ``name = value`` or ``name: value`` of source code, JSON, YAML,
+INI or shell lines is read as a pair of a name and an expression.  An expression is a
+chain of string literals, earlier names and bare words joined by ``+``; names that hold
+literals are followed through the text, so a secret put together from parts or handed
+on under another name is found where its parts are written.  A literal counts by its
+target's name, its length and how random it looks.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cairn.llm.common import strings
+
+# The base patterns, by kind in the order in which kinds are listed.
+KINDS = ("assign", "access", "hex", "named")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # runs are maximal, so the length may stand in the pattern
+HEX = re.compile(r"[0-9a-f]{32,}")
+KEYWORDS = ("passw", "secret", "token", "api")
+
+#: How telling the words of a target's name are.
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
+             "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.9, "private": 0.5, "access": 0.4, "api": 0.4,
+             "key": 0.5, "signing": 0.4, "encryption": 0.4, "client": 0.1}
+#: Words that say the value is no secret but its place, kind or age.
+HARMLESS = {"name", "file", "path", "url", "uri", "type", "count", "length", "size", "limit", "expiry", "ttl", "hint", "label", "field", "id"}
+PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|none|null|true|false|undefined|changeme|example.*|your[-_ ].*|<.*>|\$\{.*\}|%\(.*|todo.*)$")
+THRESHOLD = 1.3
+MIN_LENGTH = 8
+
+_SIGN = re.compile(r":=|=>|[=:]")
+_NAME = re.compile(r"[\w.$-]{1,128}$")
+_PART = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.){0,4096})"|[rbuf]?'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`|([A-Za-z0-9_$.+/=~!@%^&-]{1,4096}))""")
+_PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*")
+_CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
+
+
+def name_score(name: str) -> float:
+    """0 for a harmless name up to about 1.5 for one that says secret."""
+    words = [w.lower() for w in _CAMEL.findall(name)]
+    if not words or words[-1] in HARMLESS:
+        return 0.0
+    joined = "".join(words[-2:])
+    return min(1.5, max(sum(SENSITIVE.get(w, 0.0) for w in set(words)), SENSITIVE.get(joined, 0.0)))
+
+
+def literal_score(value: str) -> float:
+    """0 for words and placeholders up to 1 for a long value with many different letters and digits."""
+    if len(value) < MIN_LENGTH or PLACEHOLDER.match(value) or " " in value.strip():
+        return 0.0
+    n = len(value)
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
+    return min(1.0, bits / 5 + 0.15 * (classes - 1))
+
+
+def named_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of literals that reach a sensitive name, in order and without repeats.
+
+    Linear in the text: work is done only at signs of assignment, a name has at
+    most 128 characters, and a value remembers at most 16 parts.
+    """
+    values: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+    found: set[tuple[int, int]] = set()
+    for sign in _SIGN.finditer(text):
+        at = sign.start()
+        head = text[max(0, at - 140):at].rstrip(" \t")
+        if head[-1:] in "\"'`":
+            head = head[:-1]
+        name = _NAME.search(head)
+        if not name or not name[0].strip("-.$0123456789"):
+            continue
+        pieces, spans, here = [], [], sign.end()
+        while part := _PART.match(text, here):
+            which = next(i for i in (1, 2, 3, 4) if part[i] is not None)
+            value = part[which]
+            if which == 4 and value in values:
+                pieces.append(values[value][0])
+                spans += values[value][1]
+            elif which < 4 or not pieces:
+                pieces.append(value)
+                spans.append(part.span(which))
+            here = part.end()
+            plus = _PLUS.match(text, here)
+            if not plus or len(spans) >= 16:
+                break
+            here = plus.end()
+        if not pieces:
+            continue
+        value = "".join(pieces)
+        if len(value) <= 4096:
+            values[name[0]] = (value, tuple(spans))
+        score = name_score(name[0])
+        if score >= 0.5 and score + literal_score(value) >= THRESHOLD and literal_score(value) > 0.4:
+            found.update(s for s in spans if s[1] > s[0])
+    return sorted(found)
+
+
+def spans_of(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind number) of all spans by start, then kind; offsets are code points."""
+    out = []
+    low = text.lower()
+    if any(k in low for k in KEYWORDS):
+        out += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
+    out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
+    if "=" in text or ":" in text:
+        out += [(s, e, 3) for s, e in named_spans(text)]
+    return sorted(out, key=lambda x: (x[0], x[2], x[1]))
+
+
+_SPANS = "array<struct<kind: string, start: int, end: int>>"
+
+
+def find_secrets(df: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
+    """``df`` with an array of (kind, start, end) of every secret in the whole text.
+
+    Null and empty texts have an empty array.  Every row, repeated ones included, is
+    scanned by itself, so nothing is shuffled; other columns stay, and a column
+    already called ``into`` raises.
+    """
+    if into.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"column {into} exists")
+
+    @F.pandas_udf(_SPANS)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in spans_of(t)] for t in strings(batch)])
+
+    return df.withColumn(into, scan(F.col(text).cast("string")))
+
+
+def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``df`` with every secret in ``text`` replaced by ``mark``; overlapping spans are replaced as one.
+
+    Rows and columns stay as they are otherwise; null texts stay null.  Spans are ranges of
+    code points, so the text is cut with ``substring``, once for each run of spans.
+    """
+    if text not in df.columns:
+        raise ValueError(f"no column {text}")
+
+    @F.pandas_udf("string")
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if t is None else replaced(t, mark) for t in batch], dtype=object)
+
+    return df.withColumn(text, cleaned(F.col(text)))
+
+
+def replaced(text: str, mark: str) -> str:
+    out, done = [], 0
+    for s, e, _ in spans_of(text):
+        if s >= done:
+            out += [text[done:s], mark]
+        done = max(done, e)
+    return "".join([*out, text[done:]]) if out else text
+
+
+def counts_and_lists(spans: str = "spans") -> dict:
+    """Columns with the number of spans by base kind and lists of spans as text."""
+    listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter(spans, lambda x: x["kind"] != KINDS[3])
+    def number(kind: str):
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": number(k) for k in KINDS}
+    return counts | {"base_sha256": F.sha2(listed(base).cast("binary"), 256), "spans": listed(F.col(spans))}
+
+
