@@ -466,9 +466,32 @@ def entry(spark: SparkSession) -> DataFrame:
     return cf_predict(spark, "/root/testdata/sf0.001")
 
 
+def _text_queries() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the optional subpackage and of its pipeline, none where they are not installed."""
+    found, sql = {}, {}
+    try:
+        from cairn.llm import queries as text_queries
+    except ImportError:
+        return found, sql
+    found |= text_queries.QUERIES
+    sql |= text_queries.ORACLE_SQL
+    try:
+        import corpus_pipeline
+    except ImportError:
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in NAMES}
+    return {name: globals()[name] for name in NAMES} | _text_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
+    return _core_sql() | _text_queries()[1]
+
+
+def _core_sql() -> dict[str, str]:
     return statements(deviations=DEVIATIONS, eps=EPS, alpha=ALPHA, heavy=HEAVY, ks=KS, max_bytes=BFR.max_bytes)
