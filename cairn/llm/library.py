@@ -1,7 +1,7 @@
 """Encoding with the tokenizers library, remembering what it said about each run of letters.
 
 Text is cut only where the library's own word splitting cuts in any case (before or
-between white space), every distinct piece goes through the library once per
+between white space, after a word that a stop follows), every distinct piece goes through the library once per
 worker, and pieces are sent to it many at a time, parted by an added token.
 """
 
@@ -14,8 +14,10 @@ import numpy as np
 
 from cairn.llm.common import runs
 
-#: Pieces remembered by one worker; beyond that it forgets all and starts again.
-MEMO = 600_000
+#: Pieces remembered by one worker; beyond that it forgets those longer than ``KEEP``, or all.
+MEMO, KEEP = 400_000, 9
+#: A word of Latin letters before a stop or comma that ends its run: the letters are a piece, the rest another.
+PLAIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[.,!?]*(?:[ \n]|\Z))"
 
 
 class Library:
@@ -37,16 +39,14 @@ class Library:
         safe = bool(added) and len(added) == len(spec["added_tokens"]) and model["type"] == "BPE" and not model.get("dropout")
         self.pieces = None
         if safe and byte_level:
-            self.pieces = re.compile(r"\s*\S+|\s+")
+            self.pieces = re.compile(rf"(?: |^){PLAIN}|\s*\S+|\s+")
         elif safe and parted:
-            self.pieces = re.compile(r"[^ \n\t\r]+")
+            self.pieces = re.compile(rf"(?<![^ \n\t\r]){PLAIN}|[^ \n\t\r]+")
         if added:
             self.mark, self.mark_id = added[0]["content"], added[0]["id"]
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
         with_mark = [p for p in new if self.mark in p]
         plain = [p for p in new if self.mark not in p]
         for p in with_mark:
@@ -84,14 +84,12 @@ class Library:
         return out + self._group(group)
 
     def _group(self, texts: list[list[str]]) -> list[bytes]:
-        out = []
-        for pieces in texts:
-            known = self.memo
-            got = [known.get(p) for p in pieces]
-            out.append((pieces, got))
-        new = {p for pieces, got in out for p, g in zip(pieces, got) if g is None} if any(None in got for _, got in out) else ()
+        new = set().union(*texts).difference(self.memo)
         if new:
+            if len(self.memo) + len(new) > MEMO:  # short words are the ones that come again
+                short = {p: ids for p, ids in self.memo.items() if len(p) <= KEEP}
+                self.memo = short if 2 * len(short) < MEMO else {}
+                new = set().union(*texts).difference(self.memo)
             self._learn(list(new))
-            known = self.memo
-            out = [(pieces, [known[p] if g is None else g for p, g in zip(pieces, got)]) for pieces, got in out]
-        return [b"".join(got) for _, got in out]
+        known = self.memo.__getitem__
+        return [b"".join(map(known, pieces)) for pieces in texts]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, kept_by_worker, slices, strings
+from cairn.llm.common import cut, kept_by_worker, slices, small_batches, strings
 from cairn.llm.library import Library
 
 CAPACITY = 1024
@@ -226,7 +226,8 @@ def pack(df: DataFrame, path: str, end: int, capacity: int = CAPACITY, key: str
     a part of the rows by hash, so documents that are all of one length spread over
     many groups.  The driver sees the length histogram only.
     """
-    rows = cut(_tokens(df, path, end, capacity, key, text))
+    with small_batches(df.sparkSession):
+        rows = cut(_tokens(df, path, end, capacity, key, text))
     groups = max(64, -(-rows.count() // GROUP))
     rows = rows.withColumns({
         "rest": F.col("doc_tokens") % capacity, "full": F.size("sums").cast("long"),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, packing, secrets, token_file
+from cairn.llm import bpe, line_chunks, near_text, packing, secrets, token_file
 from cairn.llm.common import table
 from cairn.session import new_path
 
@@ -47,14 +47,26 @@ def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *[columns[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_named")])
 
 
+def op7_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return line_chunks.remove_repeated_chunks(docs, removed="chunks_removed")
+
+
 def op8_packing(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), path or _vocabulary("byte_bpe_50k.json"), end=0)
 
 
+def op9_near_text(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per document: its class and whether it stays."""
+    return near_text.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_token_file": op4_token_file,
     "op6_secrets": op6_secrets,
+    "op7_line_chunks": op7_line_chunks,
     "op8_packing": op8_packing,
+    "op9_near_text": op9_near_text,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import kept_by_worker, slices, strings
+from cairn.llm.common import kept_by_worker, slices, small_batches, strings
 from cairn.llm.library import Library
 
 BLOCK = 1 << 20
 #: Bounds of the dictionary's training sample: documents, and ids used of each.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY = 2000, 2048, 64 * 1024
+SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY = 2000, 1024, 64 * 1024
 LEVEL = 3
 _INDEX = "doc_id long, row long, offset long, length long, start long, n_tokens long"
 
@@ -66,8 +66,11 @@ def write_tokens(df: DataFrame, folder: str, path: str, end: int, shards: int |
     rows = _text(df, key, text)
     with open(path, encoding="utf-8") as f:
         source = f.read()
-    sample = rows.select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    texts = [r["text"] for r in sample.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
+    # first the keys alone, so that no task sends more than its part of the sample's texts
+    drawn = F.xxhash64("doc_id")
+    last = rows.select(drawn.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).head()[0]
+    sample = rows.filter(drawn <= F.lit(last)).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text")) if last is not None else rows.limit(0)
+    texts = sorted(r["text"] for r in sample.limit(SAMPLE_DOCS).collect())
     dictionary = train_dictionary(texts, source, end)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, bytes binary").coalesce(1).write.parquet(f"{folder}/dictionary")
@@ -105,7 +108,8 @@ def write_tokens(df: DataFrame, folder: str, path: str, end: int, shards: int |
 
     kind = _INDEX.replace(" long", ": bigint")
     blocks = ordered.mapInPandas(packed, f"shard int, block int, hash string, frames binary, entries array<struct<{kind}>>")
-    blocks.write.parquet(f"{folder}/blocks")
+    with small_batches(spark):
+        blocks.write.parquet(f"{folder}/blocks")
     stored = spark.read.parquet(f"{folder}/blocks")
     index = stored.select("shard", "block", F.inline("entries"))
     index.write.parquet(f"{folder}/index")
