@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, line_chunks, near_text, packing, secrets, token_file
+from cairn.llm import bpe, language, line_chunks, near_text, packing, secrets, token_file
 from cairn.llm.common import table
 from cairn.session import new_path
 
@@ -20,6 +20,19 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document; ``kept`` is false for those rejected."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return language.identify(docs, into=("language", "confidence", "kept")).select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "kept")
+
+
+def page_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every web page, with markup, suffix, domain and host as further evidence."""
+    pages = language.page_rows(table(spark, sf, "pages"))
+    found = language.identify(pages, declared="declared", host="host", domain="domain", suffix="suffix")
+    return found.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "accepted")
+
+
 def op3_bpe(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
     path = path or _vocabulary("byte_bpe_50k.json")
     both = bpe.decode(bpe.encode(table(spark, sf, "documents"), path), path)
@@ -62,6 +75,8 @@ def op9_near_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
+    "page_languages": page_languages,
     "op3_bpe": op3_bpe,
     "op4_token_file": op4_token_file,
     "op6_secrets": op6_secrets,
