@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, language, line_chunks, near_text, packing, secrets, token_file
+from cairn.llm import bpe, language, line_chunks, near_text, near_vector, packing, secrets, token_file, top_k
 from cairn.llm.common import table
 from cairn.session import new_path
 
@@ -54,6 +54,10 @@ def op4_token_file(spark: SparkSession, sf: str, path: str | None = None) -> Dat
     return back.withColumnRenamed("ids", "ids_crc32")
 
 
+def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
     columns = secrets.counts_and_lists()
@@ -74,14 +78,20 @@ def op9_near_text(spark: SparkSession, sf: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op10_near_vector(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vector.near_vectors(table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "page_languages": page_languages,
     "op3_bpe": op3_bpe,
     "op4_token_file": op4_token_file,
+    "op5_top_k": op5_top_k,
     "op6_secrets": op6_secrets,
     "op7_line_chunks": op7_line_chunks,
     "op8_packing": op8_packing,
     "op9_near_text": op9_near_text,
+    "op10_near_vector": op10_near_vector,
 }
 ORACLE_SQL: dict[str, str] = {}
