@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, language, line_chunks, near_text, near_vector, packing, secrets, token_file, top_k
+from cairn.llm import bpe, language, line_chunks, near_text, near_vector, packing, quality, secrets, token_file, top_k
 from cairn.llm.common import table
 from cairn.session import new_path
 
@@ -20,6 +20,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op2_language(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document; ``kept`` is false for those rejected."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
@@ -83,6 +87,7 @@ def op10_near_vector(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language": op2_language,
     "page_languages": page_languages,
     "op3_bpe": op3_bpe,
