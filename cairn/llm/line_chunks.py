@@ -88,7 +88,8 @@ def remove_repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text
     a hash with unlike bytes removes nothing.
 
     Small rows (hash, key, place) are counted map-side and joined; texts move twice, once
-    to compare the bytes of repeated chunks and once to be cut.
+    to compare the bytes of repeated chunks and once to be cut.  Both joins are sort-merge
+    joins at every size: the key lists grow with the table, so no plan hangs on their being small.
     """
     found = cut(_exploded(df, key, text).select("id", "digest", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b")))
     place = F.struct("id", "digest", "pos")
@@ -100,7 +101,7 @@ def remove_repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text
 
     # bytes of the repeated chunks, one smallest and one largest per hash
     texts = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).alias("t")
-    texts = texts.join(holders.alias("h"), F.expr("t.id <=> h.id AND t.digest = h.digest")).select("t.id", "t.digest", "t.text", "h.at")
+    texts = texts.join(holders.hint("merge").alias("h"), F.expr("t.id <=> h.id AND t.digest = h.digest")).select("t.id", "t.digest", "t.text", "h.at")
     picked = _let(chunks_of(F.col("text")), lambda chunks: F.transform("at", lambda p: F.array_join(F.get(chunks, p), "\n")))
     parts = texts.select(F.explode(picked).alias("chunk"))
     parts = parts.select(F.xxhash64("chunk").alias("a"), F.xxhash64(F.lit(1), "chunk").alias("b"), "chunk")
@@ -111,7 +112,7 @@ def remove_repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text
     digest, out = (unused(df, n) for n in ("digest__", "gone__"))
     docs = df.withColumn(digest, F.xxhash64(text))
     gone = gone.select(F.col("id").alias("key__"), F.col("digest").alias("mark__"), F.col("gone").alias(out))
-    docs = docs.alias("d").join(gone.alias("g"), F.col(f"d.`{key}`").eqNullSafe(F.col("g.key__")) & (F.col(f"d.`{digest}`") == F.col("g.mark__")), "left")
+    docs = docs.alias("d").join(gone.hint("merge").alias("g"), F.col(f"d.`{key}`").eqNullSafe(F.col("g.key__")) & (F.col(f"d.`{digest}`") == F.col("g.mark__")), "left")
     docs = docs.select("d.*", f"g.`{out}`")
 
     def rest(chunks: Column) -> Column:

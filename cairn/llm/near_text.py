@@ -188,8 +188,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     are marked alike.  Extra columns are not read; an empty table gives no rows.
 
     Copies are gathered map-side by digest.  A bucket's texts are compared with one text of the
-    bucket per round and never listed as pairs; after ``ROUNDS`` rounds only texts whose classes still
-    differ are paired.  A text is shuffled once, and only its shingle hashes after that.
+    bucket per round and never listed as pairs; texts whose own shingles rule a link out are then left
+    aside, and only those whose classes still differ after ``ROUNDS`` rounds are paired.  A text is shuffled once, and only its shingle hashes after that.
     """
     with small_batches(df.sparkSession, 2000):
         signed = cut(_signed(df, key, text))
@@ -217,7 +217,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         found = cut(_verified(pairs, sets, sizes).filter(F.col("similarity") >= SIMILARITY).select("u", "v"))
         links = found if links is None else links.unionByName(found)
         classes = cut(_classes(nodes, links))
-        active = cut(_open(members, classes))
+        active = cut(_open(members if turn == 0 else active, classes))
+        if turn:
+            active = cut(_open(_linkable(active, sets, sizes), classes))
         if active.isEmpty():
             break
     else:
@@ -238,6 +240,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return out.unionByName(nulls).withColumnRenamed("id", key)
 
 
+def _linkable(active: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``active`` without texts that have too many shingles of their own to link to any text they share a bucket with.
+
+    Similarity 0.8 with a set of size m asks for 4/9 (n + m) common shingles.  A shingle that no other
+    active text has is common with none, and m is at least 0.8 n and at least the smallest size in the
+    text's buckets.  So copies of one text that were edited apart are out after one count.
+    """
+    sized = active.join(sizes, "node")
+    least = sized.groupBy("h").agg(F.min("size").alias("least"))
+    needs = sized.join(least, "h").groupBy("node", "size").agg(F.min("least").alias("least"))
+    single = needs.select("node").join(sets, "node").select("node", F.explode("items").alias("item"))
+    single = single.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    share = SIMILARITY / (1 + SIMILARITY)
+    fair = F.col("size") - F.coalesce("own", F.lit(0)) >= F.floor(share * (F.col("size") + F.greatest(F.col("least"), SIMILARITY * F.col("size"))))
+    return active.join(needs.join(single, "node", "left").filter(fair).select("node"), "node", "left_semi").select("h", "node")
+
+
 def _across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose classes differ."""
     named = pairs.join(classes.select(F.col("node").alias("u"), F.col("class").alias("cu")), "u")

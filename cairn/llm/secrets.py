@@ -61,7 +61,7 @@ def literal_score(value: str) -> float:
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, bits / 5 + 0.15 * (classes - 1))
+    return min(1.0, bits / 5 + 0.15 * (classes - 1)) * (1.0 if classes > 1 else 0.5)  # letters of one kind are mostly words
 
 
 def named_spans(text: str) -> list[tuple[int, int]]:
