@@ -91,29 +91,38 @@ def _tag(declared: Column) -> Column:
     return F.when(tag != "", tag)
 
 
-def text_evidence(model: np.ndarray):
-    """Column function: per text the mean log likelihood for each language, then the number of trigrams."""
+def evidence(model: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log likelihood of each text's trigrams for each language, and their number."""
+    sums, n = np.zeros((len(texts), len(model))), np.zeros(len(texts))
+    for owner, code in trigrams(texts):
+        n += np.bincount(owner, minlength=len(texts))
+        for k, logs in enumerate(model):
+            sums[:, k] += np.bincount(owner, weights=logs[code], minlength=len(texts))
+    return sums / np.maximum(n, 1)[:, None], n
 
-    @F.pandas_udf("array<double>")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for b in slices(batch.to_frame("text"), "text", _PART):
-                sums, n = np.zeros((len(b), len(model))), np.zeros(len(b))
-                for owner, code in trigrams(strings(b["text"])):
-                    n += np.bincount(owner, minlength=len(b))
-                    for k, logs in enumerate(model):
-                        sums[:, k] += np.bincount(owner, weights=logs[code], minlength=len(b))
-                out += list(np.concatenate([sums / np.maximum(n, 1)[:, None], n[:, None]], axis=1))
-            yield pd.Series(out, dtype=object)
 
-    return scored
+def softmax(logs: np.ndarray) -> np.ndarray:
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
 
+def said_by_text(mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log likelihoods with neighbouring trigrams taken for one voice."""
+    return mean * np.minimum(n * SHARE, MOST)[:, None]
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    total = sum((F.exp(x - top) for x in logs[1:]), F.exp(logs[0] - top))
-    return [F.exp(x - top) / total for x in logs]
+
+def fuse(mean: np.ndarray, n: np.ndarray, counts: dict[str, np.ndarray], known: dict[str, np.ndarray], total: np.ndarray, kinds: dict[str, int]) -> np.ndarray:
+    """Posteriors (row x language) from the text and, for each kind of evidence, the expected rows of each
+    language that share the row's value (the row itself among them)."""
+    logs = said_by_text(mean, n)
+    own, prior = softmax(logs), total / total.sum()
+    others = {k: np.maximum(c - own, 0.0) * known[k][:, None] for k, c in counts.items()}
+    for k in ("declared", "suffix"):
+        rate = (others[k] + TRUST) / (total + TRUST * kinds[k])
+        logs = logs + np.where(known[k][:, None], np.log(rate), 0.0)
+    wide = (others["domain"] + PULL * prior) / (others["domain"].sum(axis=1, keepdims=True) + PULL)
+    near = (others["host"] + PULL * wide) / (others["host"].sum(axis=1, keepdims=True) + PULL)
+    return softmax(logs + np.log(near))
 
 
 def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: str | None = "source", domain: str | None = None,
@@ -132,62 +141,48 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
     if {c.lower() for c in into} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {into} exist")
     model = train(df, text, declared, languages)
-    ev = text_evidence(model)
-    ids = range(len(languages))
-
-    def values(src: DataFrame) -> dict[str, Column]:
-        null = F.lit(None).cast("string")
-        named = {"declared": _tag(src[declared]), "suffix": src[suffix] if suffix else null, "domain": src[domain] if domain else null, "host": src[host] if host else null}
-        return {k: v.cast("string") for k, v in named.items()}
+    kinds = ("declared", "suffix", "domain", "host")
+    null = F.lit(None).cast("string")
+    named = {"declared": _tag(F.col(declared)), "suffix": F.col(suffix) if suffix else null, "domain": F.col(domain) if domain else null, "host": F.col(host) if host else null}
+    named = {k: v.cast("string") for k, v in named.items()}
 
-    def weighted(e: Column) -> list[Column]:
-        n = F.least(F.get(e, F.lit(len(languages))) * SHARE, F.lit(MOST))
-        return [F.get(e, F.lit(i)) * n for i in ids]
-
-    small = cut(df.select(*[c.alias(k) for k, c in values(df).items()], ev(F.col(text).cast("string")).alias("e")))
-    own = small.select("declared", "suffix", "domain", "host", *[F.round(p * _UNIT).cast("long").alias(f"p{i}") for i, p in enumerate(_softmax(weighted(F.col("e"))))])
-
-    def sums(*by: str) -> DataFrame:
-        return own.filter(F.col(by[-1]).isNotNull()).groupBy(*by).agg(*[F.sum(f"p{i}").alias(f"{by[-1]}_{i}") for i in ids])
+    @F.pandas_udf("array<long>")
+    def own_posteriors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for b in slices(batch.to_frame("text"), "text", _PART):
+                out += list(np.rint(softmax(said_by_text(*evidence(model, strings(b["text"])))) * _UNIT).astype(np.int64))
+            yield pd.Series(out, dtype=object)
 
-    whole = own.agg(*[F.coalesce(F.sum(f"p{i}"), F.lit(0)) for i in ids]).head()
-    total = [(whole[i] / _UNIT + 1.0) for i in ids]
-    prior = [t / sum(total) for t in total]
-    tables = {k: cut(sums(k)) for k in ("declared", "suffix", "domain")}
-    tables["host"] = cut(sums("domain", "host") if domain else sums("host"))
+    own = cut(df.select(*[c.alias(k) for k, c in named.items()], own_posteriors(F.col(text).cast("string")).alias("p")))
+    sums = [F.coalesce(F.sum(F.get("p", F.lit(i))), F.lit(0)) for i in range(len(languages))]
+    total = np.array(own.agg(*sums).head()) / _UNIT + 1.0
+    tables = {k: cut(own.filter(F.col(k).isNotNull()).groupBy(k).agg(F.array(*sums).alias("rows"))) for k in kinds}
+    values = {k: tables[k].count() + 1 for k in ("declared", "suffix")}
 
-    names = {k: unused(df, f"{k}__") for k in ("e", *tables)}
-    out = df.withColumns({names["e"]: ev(F.col(text).cast("string"))} | {names[k]: c for k, c in values(df).items()})
+    @F.pandas_udf("language string, confidence double, accepted boolean")
+    def fused(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            frame = pd.concat(batch, axis=1, keys=["text", *kinds])
+            for b in slices(frame, "text", _PART):
+                mean, n = evidence(model, strings(b["text"]))
+                known = {k: b[k].notna().to_numpy() for k in kinds}
+                counts = {k: np.array([r if r is not None else [0] * len(languages) for r in b[k]], dtype=float) / _UNIT for k in kinds}
+                p = fuse(mean, n, counts, known, total, values)
+                top = p.argmax(axis=1)
+                best, rows = p.max(axis=1), np.arange(len(p))
+                accepted = (n > 0) & (best >= CONFIDENCE) & (mean[rows, top] >= -np.log(BUCKETS))
+                yield pd.DataFrame({"language": [languages[i] for i in top], "confidence": best, "accepted": accepted})
+
+    names = {k: unused(df, f"{k}__") for k in kinds}
+    out = df.withColumns({names[k]: c for k, c in named.items()})
     for k, t in tables.items():
-        if k == "host" and domain:  # one host name may lie under several domains only where addresses are odd
-            t = t.groupBy("host").agg(*[F.sum(f"host_{i}").alias(f"host_{i}") for i in ids])
-        t = t.select(F.col(k).alias(f"{names[k]}v"), *[F.col(f"{k}_{i}").alias(f"{names[k]}{i}") for i in ids])
+        t = t.select(F.col(k).alias(f"{names[k]}v"), F.col("rows").alias(f"{names[k]}n"))
         out = out.join(t, F.col(names[k]) == F.col(f"{names[k]}v"), "left")
-
-    def count(k: str, i: int) -> Column:
-        return F.coalesce(F.col(f"{names[k]}{i}") / _UNIT, F.lit(0.0))
-
-    logs = []
-    kinds = {k: tables[k].count() + 1 for k in ("declared", "suffix")}
-    mine = _softmax(weighted(F.col(names["e"])))
-    n_domain, n_host = (sum((count(k, i) for i in ids), F.lit(0.0)) for k in ("domain", "host"))
-    for i, said in enumerate(weighted(F.col(names["e"]))):
-        for k in ("declared", "suffix"):  # how often rows of this language say so, the row itself left out
-            rate = (F.greatest(count(k, i) - mine[i], F.lit(0.0)) + TRUST) / (total[i] + TRUST * kinds[k])
-            said = said + F.when(F.col(f"{names[k]}v").isNotNull(), F.log(rate)).otherwise(0.0)
-        wide = (F.greatest(count("domain", i) - mine[i], F.lit(0.0)) + PULL * prior[i]) / (F.greatest(n_domain - 1, F.lit(0.0)) + PULL)
-        near = (F.greatest(count("host", i) - mine[i], F.lit(0.0)) + PULL * wide) / (F.greatest(n_host - 1, F.lit(0.0)) + PULL)
-        logs.append(said + F.log(near))
-    posts = unused(df, "posts__")
-    out = out.withColumn(posts, F.array(*logs))
-    fused = F.array(*_softmax([F.get(posts, F.lit(i)) for i in ids]))
-    out = out.withColumn(posts, fused)
-    top = F.array_max(posts)
-    which = (F.array_position(posts, top) - 1).cast("int")
-    known = F.array(*[F.lit(x) for x in languages])
-    likely = F.get(names["e"], which) >= F.lit(-np.log(BUCKETS))
-    accepted = (F.get(names["e"], F.lit(len(languages))) > 0) & (top >= CONFIDENCE) & likely
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.get(known, which).alias(into[0]), top.alias(into[1]), accepted.alias(into[2]))
+    found = unused(df, "found__")
+    out = out.withColumn(found, fused(F.col(text).cast("string"), *[F.col(f"{names[k]}n") for k in kinds]))
+    picked = [F.col(f"{found}.{a}").alias(b) for a, b in zip(("language", "confidence", "accepted"), into)]
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *picked)
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

@@ -9,21 +9,31 @@ from __future__ import annotations
 
 import json
 import re
+from struct import pack
 
 import numpy as np
 
+from cairn.llm.bpe import byte_letters
 from cairn.llm.common import runs
 
 #: Pieces remembered by one worker; beyond that it forgets those longer than ``KEEP``, or all.
-MEMO, KEEP = 400_000, 9
+MEMO, KEEP = 500_000, 9
 #: A word of Latin letters before a stop or comma that ends its run: the letters are a piece, the rest another.
 PLAIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[.,!?]*(?:[ \n]|\Z))"
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Library:
     """Exact ids of whole texts for a tokenizer file (as JSON text), added tokens read as such."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         spec = json.loads(source)
@@ -36,17 +46,27 @@ class Library:
         # with word ends, white space removed and nothing added in front, white space parts all words
         parted = bool(model.get("end_of_word_suffix")) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed"
         added = [t for t in spec["added_tokens"] if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]))]
+        lowers = parted and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and steps[-1]["type"] == "ByteLevel"
+        parted = lowers and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         safe = bool(added) and len(added) == len(spec["added_tokens"]) and model["type"] == "BPE" and not model.get("dropout")
         self.pieces = None
         if safe and byte_level:
             self.pieces = re.compile(rf"(?: |^){PLAIN}|\s*\S+|\s+")
         elif safe and parted:
             self.pieces = re.compile(rf"(?<![^ \n\t\r]){PLAIN}|[^ \n\t\r]+")
+        # a run of Latin-1 letters is one word of the model: it may be asked without the steps before it
+        self.word = re.compile(r"{}[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z".format(" ?" if byte_level else ""))
+        self.lower = parted and not byte_level
+        self.letters = byte_letters()
         if added:
             self.mark, self.mark_id = added[0]["content"], added[0]["id"]
         self.memo: dict[str, bytes] = {}
+        self.most = memo
 
     def _learn(self, new: list[str]) -> None:
+        words = [p for p in new if self.word.match(p)]
+        self._ask(words)
+        new = list(set(new).difference(words))
         with_mark = [p for p in new if self.mark in p]
         plain = [p for p in new if self.mark not in p]
         for p in with_mark:
@@ -62,6 +82,14 @@ class Library:
                 self.memo[p] = raw[4 * begin:4 * end]
                 begin = end + 1
 
+    def _ask(self, words: list[str]) -> None:
+        """Words straight to the model, each byte as the letter that stands for it."""
+        tokenize = self.tokenizer.model.tokenize
+        letters = dict(enumerate(self.letters))
+        for w in words:
+            inner = (w.lower() if self.lower else w).encode().decode("latin-1").translate(letters)
+            self.memo[w] = pack(f"<{len(found := tokenize(inner))}I", *[t.id for t in found])
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -71,6 +99,8 @@ class Library:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         out, group, size = [], [], 0
         for t in texts:
+            if self.lower and "<|" not in t and _latin(t):
+                t = t.lower()  # as the tokenizer does first; fewer pieces to remember
             if len(t) > 1 << 20:  # a very long text: its pieces are taken in parts
                 out += self._group(group)
                 group, size = [], 0
@@ -86,9 +116,9 @@ class Library:
     def _group(self, texts: list[list[str]]) -> list[bytes]:
         new = set().union(*texts).difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > MEMO:  # short words are the ones that come again
+            if len(self.memo) + len(new) > self.most:  # short words are the ones that come again
                 short = {p: ids for p, ids in self.memo.items() if len(p) <= KEEP}
-                self.memo = short if 2 * len(short) < MEMO else {}
+                self.memo = short if 2 * len(short) < self.most else {}
                 new = set().union(*texts).difference(self.memo)
             self._learn(list(new))
         known = self.memo.__getitem__

@@ -32,6 +32,8 @@ CAPACITY = 1024
 PIVOTS, GAP = 2500, 1e-3
 #: A pattern fills up to this many sequences end to end, cutting what crosses their bounds; charge for a cut.
 ROLLS, CUT = 3, 0.25
+#: Pieces of text that a worker remembers the ids of (some 200 MB).
+MEMO = 1_000_000
 #: Rows of one rank group aimed at; groups are split further as the table grows.
 GROUP = 100_000
 
@@ -194,7 +196,7 @@ def _tokens(df: DataFrame, path: str, end: int, capacity: int, key: str, text: s
     stop = np.array([end], dtype="<u4").tobytes()
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library = kept_by_worker(("library", path), lambda: Library(source.value))
+        library = kept_by_worker(("library", path, MEMO), lambda: Library(source.value, MEMO))
         part, row, step = TaskContext.get().partitionId(), 0, 4 * capacity
         for batch in batches:
             for b in slices(batch, "text"):

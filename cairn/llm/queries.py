@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, language, line_chunks, near_text, near_vector, packing, quality, secrets, token_file, top_k
+from cairn.llm import bpe, language, line_chunks, near_text, near_vector, packing, quality, secret_scan, token_file, top_k
 from cairn.llm.common import table
 from cairn.session import new_path
 
@@ -63,8 +63,8 @@ def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
-    columns = secrets.counts_and_lists()
+    found = secret_scan.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    columns = secret_scan.counts_and_lists()
     return found.select("doc_id", *[columns[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_named")])
 
 

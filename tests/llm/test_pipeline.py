@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
-from cairn.llm import secrets  # noqa: E402
+from cairn.llm import secret_scan  # noqa: E402
 from cairn.session import cut  # noqa: E402
 from tests.llm import plain  # noqa: E402
 from tests.llm.test_tokens import check_packing  # noqa: E402
@@ -27,7 +27,7 @@ def test_stages(spark):
     rows = sorted(texts[2].items())
     classes = plain.text_classes([t for _, t in rows])
     assert texts[3] == {k: t for i, (k, t) in enumerate(rows) if classes[i] == i}
-    assert texts[4] == {k: secrets.replaced(t, "[SECRET]") for k, t in texts[3].items()}
+    assert texts[4] == {k: secret_scan.replaced(t, "[SECRET]") for k, t in texts[3].items()}
     assert all(r["n_chars"] == len(r["text"]) for r in got[4].collect())
     check_packing(sorted(texts[4].items()), got[5].collect())
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "ids_crc32").collect())) != []

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cairn.llm import language, line_chunks, near_text, quality, secrets
+from cairn.llm import language, line_chunks, near_text, quality, secret_scan
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +27,7 @@ def test_base_spans_stay():
     bits = ["token", "API_KEY", "apikey", "=", ":", " ", "'", '"', "abcdefgh", "AKIA", "ABCDEF123456", "0123456789abcdef", "x", "PASSWORD", "ſecret", "\n", "é", "=="]
     for _ in range(5000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
-        got = [(secrets.KINDS[k], s, e) for s, e, k in secrets.spans_of(text) if k < 3]
+        got = [(secret_scan.KINDS[k], s, e) for s, e, k in secret_scan.spans_of(text) if k < 3]
         assert got == plain.base_spans(text), text
 
 
@@ -44,27 +44,27 @@ def test_base_spans_stay():
     ("", []),
 ])
 def test_named_literals(text, found):
-    assert [text[s:e] for s, e in secrets.named_spans(text)] == found
+    assert [text[s:e] for s, e in secret_scan.named_spans(text)] == found
 
 
 def test_secret_columns_and_redaction(spark):
     rows = short([(1, 'my token = "abcdefgh12345678"'), (2, None), (3, ""), (None, "plain"), (1, "AKIA" + "A1" * 8), (1, "AKIA" + "A1" * 8), (4, "é" * 70_000 + " secret=abcdefghij " + "0a" * 20)])
     d = frame(spark, rows)
-    found = secrets.find_secrets(d).collect()
+    found = secret_scan.find_secrets(d).collect()
     assert len(found) == len(rows)
     for r in found:
         assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "named"] == plain.base_spans(r["text"] or "")
-    got = secrets.redact(d)
+    got = secret_scan.redact(d)
     assert got.columns == d.columns
     texts = [r["text"] for r in got.collect()]
     assert texts[1] is None and texts[2] == "" and texts[3] == "plain" and texts[4] == texts[5] == "[SECRET]" and texts[0].count("[SECRET]") == 1
-    assert secrets.find_secrets(frame(spark, [])).count() == 0
+    assert secret_scan.find_secrets(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        secrets.find_secrets(d, into="NODE")
+        secret_scan.find_secrets(d, into="NODE")
 
 
 def test_secrets_of_a_hard_line_are_linear():
-    assert secrets.spans_of('"=' * 60_000) is not None
+    assert secret_scan.spans_of('"=' * 60_000) is not None
 
 
 # ---- line chunks

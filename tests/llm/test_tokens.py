@@ -33,9 +33,8 @@ def test_library_pieces_equal_whole_texts(path):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_library_forgets_without_harm(monkeypatch):
-    monkeypatch.setattr("cairn.llm.library.MEMO", 5)
-    tokenizer, own = Tokenizer.from_file(BYTE), Library(open(BYTE, encoding="utf-8").read())
+def test_library_forgets_without_harm():
+    tokenizer, own = Tokenizer.from_file(BYTE), Library(open(BYTE, encoding="utf-8").read(), memo=5)
     for t, got in zip(ODD, [own.encode([t])[0] for t in ODD]):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
