@@ -1,4 +1,4 @@
-"""A corpus from raw documents: language, repeated lines, near duplicates, secrets, packing.
+"""A corpus from raw documents: language, repeated lines, near duplicates, secret_scan, packing.
 
 Every stage is a function of (spark, docs, sf_dir).  Its result is written as Parquet and read again
 as the next one's documents.  All but the last return the columns of ``documents``.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import language, line_chunks, near_text, packing, secrets
+from cairn.llm import language, line_chunks, near_text, packing, secret_scan
 from cairn.llm.common import table
 from cairn.session import cut
 
@@ -36,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets replaced by a mark."""
-    return _counted(secrets.redact(docs), docs)
+    """Documents with secret_scan replaced by a mark."""
+    return _counted(secret_scan.redact(docs), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
