@@ -20,11 +20,12 @@ from cairn.session import cut, new_path
 from cairn.sources import text
 from cairn.sql_checks import statements
 
-DEVIATIONS, EPS, ALPHA = 1.25, 0.07, 1.2
+DEVIATIONS, EPS, ALPHA = 1.04, 1.16, 1.2
+DIMS = 64
 LEAF_ROWS = 64  # small tiles, so that small data takes the way of big data
-HEAVY = 10  # rated items per user and block beyond which pairs are not listed
+HEAVY = 10  # rated items per user and block beyond which sums do without item pairs
 KS = [4, 6, 8, 10]
-BFR = Settings(clusters=8, deviations=DEVIATIONS, alpha=ALPHA, eps=EPS, max_bytes=8000, leaf_rows=LEAF_ROWS)
+BFR = Settings(clusters=8, deviations=DEVIATIONS, alpha=ALPHA, eps=EPS, max_bytes=250 * 8 * (DIMS + 1), leaf_rows=LEAF_ROWS)
 
 
 def r6(col, name: str | None = None):
@@ -230,7 +231,7 @@ def hash_split(spark, sf):
 
 def chunk_assign(spark, sf):
     p = fx.points(spark, sf)
-    n = subsets.chunk_count(p.count(), 4, BFR.max_bytes)
+    n = subsets.chunk_count(p.count(), DIMS + 1, BFR.max_bytes)
     return subsets.assign_chunks(p, n, F.col("point_id") * 7919).select("point_id", "chunk")
 
 
@@ -242,7 +243,7 @@ def _seed_states(spark, sf):
 
 
 def _assigned(spark, sf):
-    return assign(fx.other_points(spark, sf), _seed_states(spark, sf), DEVIATIONS, 3)
+    return assign(fx.other_points(spark, sf), _seed_states(spark, sf), DEVIATIONS, DIMS)
 
 
 def mahalanobis_matrix(spark, sf):
@@ -390,7 +391,7 @@ def cf_candidates(spark, sf):
 def cf_similarity(spark, sf):
     rated, train, test = _split(spark, sf)
     users = ratings.totals(train, rated)[2]
-    pairs = cut(ratings.rated_pairs(test, train, fx.blocks(train), HEAVY))
+    pairs = cut(ratings.rated_pairs(test, train, fx.blocks(train)))
     return ratings.item_similarity(pairs, train, fx.blocks(train), users, HEAVY).select("lo", "hi", r6("similarity"))
 
 
@@ -494,4 +495,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _core_sql() -> dict[str, str]:
-    return statements(deviations=DEVIATIONS, eps=EPS, alpha=ALPHA, heavy=HEAVY, ks=KS, max_bytes=BFR.max_bytes)
+    return statements(deviations=DEVIATIONS, eps=EPS, alpha=ALPHA, ks=KS, max_bytes=BFR.max_bytes)

@@ -24,21 +24,17 @@ def points64(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def octant():
-    """Fixed cluster of a point: the signs of its three coordinates."""
+    """Fixed cluster of a point: the signs of its first three coordinates."""
     f = F.col("features")
     return ((f[0] > 0).cast("int") * 4 + (f[1] > 0).cast("int") * 2 + (f[2] > 0).cast("int"))
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    """Every embedding as a point in three dimensions, with the sign pattern as cluster.
-
-    In all 64 dimensions the points are noise without outliers or dense spots;
-    in three of them density and outlier tests have something to find.
-    """
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 3).alias("e"))
+    """Every embedding in all its dimensions, with the sign pattern of three as cluster."""
+    e = table(spark, sf, "embeddings")
     return e.select(
         F.col("vec_id").alias("point_id"),
-        F.col("e").cast("array<double>").alias("features"),
+        F.col("embedding").cast("array<double>").alias("features"),
         F.when(F.col("label") < 2, "small").otherwise("large").alias("set-subset"),
     ).withColumn("cluster_id", octant())
 

@@ -190,14 +190,14 @@ def item_similarity(pairs: DataFrame, train: DataFrame, blocks: DataFrame, n_use
     return _with_similarity(known, common_products(pairs, rated), n_users).select("lo", "hi", "similarity")
 
 
-def rated_pairs(test: DataFrame, train: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
+def rated_pairs(test: DataFrame, train: DataFrame, blocks: DataFrame) -> DataFrame:
     """Distinct item pairs a prediction compares: test item and rated item of one user and block.
 
-    Heavy users' pairs are never listed; their predictions do without.
+    All users count.  Their number is bounded by the pairs of items in a block;
+    repeats are dropped in the tasks that make them.
     """
     t = test.join(blocks, "item_id").select("user_id", "cluster_id", "item_id")
-    light = _tag_heavy(train.join(blocks, "item_id"), limit).filter(~F.col("heavy"))
-    r = light.select("user_id", "cluster_id", F.col("item_id").alias("other_item_id"))
+    r = train.join(blocks, "item_id").select("user_id", "cluster_id", F.col("item_id").alias("other_item_id"))
     return _ordered(t.join(r, ["user_id", "cluster_id"])).select("lo", "hi").distinct()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; the session names it in ``spark.checkpoint.dir``.
 
-    Only where neither the session nor its context has one (a bare local test
-    session) is a temporary folder made.
+    Without it, the context's checkpoint folder or else a folder in the session's
+    warehouse.  A warehouse on a local disk is refused unless the master is local:
+    executors elsewhere would write to disks of their own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
-    return sc.getCheckpointDir()
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    scheme = warehouse.partition(":")[0] if ":" in warehouse else "file"
+    master = spark.sparkContext.master
+    if scheme == "file" and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return f"{warehouse.rstrip('/')}/cairn-steps"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 POINTS = """v AS (SELECT vec_id AS point_id, label,
-    [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS f,
+    embedding::DOUBLE[] AS f,
     4 * (embedding[1] > 0)::INT + 2 * (embedding[2] > 0)::INT + (embedding[3] > 0)::INT AS octant
   FROM embeddings),
-vl AS (SELECT point_id, label, octant, unnest([0, 1, 2]) AS dim, unnest(f) AS x FROM v)"""
+vl AS (SELECT point_id, label, octant, unnest(generate_series(0, 63))::INT AS dim, unnest(f) AS x FROM v)"""
 
 POINTS64 = """p AS (SELECT vec_id AS point_id, label AS cluster_id,
     unnest(generate_series(0, 63))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
@@ -19,7 +19,7 @@ ASSIGNED = """md AS (SELECT vl.point_id, ss.cluster_id,
   FROM vl JOIN ss USING (dim) WHERE label >= 2 GROUP BY 1, 2),
 near AS (SELECT point_id, min(distance) AS distance, arg_min(cluster_id, distance) AS nearest FROM md GROUP BY 1),
 asg AS (SELECT point_id, distance,
-    CASE WHEN distance >= sqrt({deviations} * {deviations} * 3) THEN -1 ELSE nearest END AS cluster_id FROM near)"""
+    CASE WHEN distance >= sqrt({deviations} * {deviations} * 64) THEN -1 ELSE nearest END AS cluster_id FROM near)"""
 
 TRACKS = """t AS (SELECT vec_id, label, n_nationkey AS nk, n_regionkey + 1 AS root, label % 5 + 1 AS second
   FROM embeddings JOIN nation ON vec_id % 25 = n_nationkey),
@@ -62,7 +62,7 @@ predicted AS (SELECT a.user_id, a.item_id, a.true_rating,
 def _scan_near(source: str, eps: float) -> str:
     """DBSCAN of ``source (point_id, f)``: closure of the core points' graph."""
     return f"""near_ AS (SELECT a.point_id AS p, b.point_id AS q FROM {source} a JOIN {source} b
-    ON sqrt((a.f[1] - b.f[1]) ^ 2 + (a.f[2] - b.f[2]) ^ 2 + (a.f[3] - b.f[3]) ^ 2) <= {eps}),
+    ON list_distance(a.f, b.f) <= {eps}),
 core_ AS (SELECT p FROM near_ GROUP BY p HAVING count(*) >= 5),
 link_ AS (SELECT p, q FROM near_ WHERE p IN (SELECT p FROM core_) AND q IN (SELECT p FROM core_)),
 reach_ AS (SELECT p, p AS q FROM core_ UNION SELECT r.p, l.q FROM reach_ r JOIN link_ l ON r.q = l.p),
@@ -91,7 +91,7 @@ met AS (SELECT k, cluster_id, n, radius, diameter, n / (radius * radius) AS dens
   FROM rad JOIN dia USING (k, cluster_id))"""
 
 
-def statements(deviations: float, eps: float, alpha: float, heavy: int, ks: list[int], max_bytes: int) -> dict[str, str]:
+def statements(deviations: float, eps: float, alpha: float, ks: list[int], max_bytes: int) -> dict[str, str]:
     assigned = f"{POINTS}, {SEED_STATES}, {ASSIGNED.format(deviations=deviations)}"
     label_points = "lp AS (SELECT vec_id AS point_id, label AS cluster_id, embedding::DOUBLE[] AS f FROM embeddings)"
     labelings = f"""{label_points}, lk AS (SELECT unnest({ks}) AS k),
@@ -142,7 +142,7 @@ kp AS (SELECT k, (cluster_id % k)::INT AS cluster_id, point_id, f FROM lp, lk)""
         "label_centroids": f"WITH {POINTS64} SELECT cluster_id, count(*) AS n, dim, round(avg(x), 6) AS x FROM p GROUP BY cluster_id, dim",
         "hash_split": f"{split} SELECT user_id, item_id, CASE WHEN bucket < 1 THEN 'test' ELSE 'train' END AS part FROM parts",
         "chunk_assign": f"""SELECT vec_id AS point_id,
-            ((vec_id * 7919) % (SELECT 1 + count(*) // ({max_bytes} // 32) FROM embeddings))::INT AS chunk FROM embeddings""",
+            ((vec_id * 7919) % (SELECT 1 + count(*) // ({max_bytes} // 520) FROM embeddings))::INT AS chunk FROM embeddings""",
         "mahalanobis_matrix": f"WITH {assigned} SELECT point_id, cluster_id, round(distance, 6) AS distance FROM md",
         "bfr_assign": f"WITH {assigned} SELECT point_id, cluster_id, round(distance, 6) AS distance FROM asg",
         "bfr_absorb": f"""WITH {assigned}, took AS (SELECT a.cluster_id, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q
@@ -186,9 +186,8 @@ kp AS (SELECT k, (cluster_id % k)::INT AS cluster_id, point_id, f FROM lp, lk)""
             round(sum(r.rating - r.base), 6) AS deviation
             FROM (SELECT user_id, item_id, item_id % 5 AS block FROM test WHERE item_id IN (SELECT item_id FROM im)) a
             JOIN placed r ON a.user_id = r.user_id AND a.block = r.block GROUP BY 1, 2, 3""",
-        "cf_similarity": f"""{split}, {MODEL}, few AS (SELECT user_id, block FROM placed GROUP BY 1, 2 HAVING count(*) <= {heavy}),
-            pairs AS (SELECT DISTINCT least(a.item_id, r.item_id) AS lo, greatest(a.item_id, r.item_id) AS hi
-              FROM asked a JOIN few f ON a.user_id = f.user_id AND a.block = f.block JOIN placed r ON a.user_id = r.user_id AND a.block = r.block)
+        "cf_similarity": f"""{split}, {MODEL}, pairs AS (SELECT DISTINCT least(a.item_id, r.item_id) AS lo, greatest(a.item_id, r.item_id) AS hi
+              FROM asked a JOIN placed r ON a.user_id = r.user_id AND a.block = r.block)
             SELECT lo, hi, round(similarity, 6) AS similarity FROM pairs JOIN sims ON i = lo AND j = hi""",
         "cf_predict": f"{split}, {MODEL} SELECT user_id, item_id, true_rating, round(predicted_rating, 6) AS predicted_rating FROM predicted",
         "cf_rmse": f"""{split}, {MODEL}, k AS (SELECT count(*) AS known FROM test WHERE item_id IN (SELECT item_id FROM train)),
