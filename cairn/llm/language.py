@@ -27,7 +27,7 @@ SHARE, MOST = 1 / 3, 60.0
 #: Rows below this posterior, or whose trigrams are less likely than chance, are rejected.
 CONFIDENCE = 0.5
 _UNIT = 1_000_000  # posteriors are summed as whole millionths, so that sums do not depend on their order
-_PART = 1 << 22
+_PART = 1 << 20
 #: Letters of ASCII in lower case, other ASCII as space, other bytes as they are.
 _FOLD = bytes(b | 32 if 65 <= b <= 90 or 97 <= b <= 122 else 32 if b < 128 else b for b in range(256))
 

@@ -30,7 +30,7 @@ ROUNDS = 3
 
 _P = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_STEP = 1 << 22
+_STEP = 1 << 20
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -58,7 +58,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edges[::2], edges[1::2]
     hashes = np.empty(len(starts), dtype=np.uint64)
     first = 0
-    while first < len(starts):  # whole words, some 4 MB of text at a time
+    while first < len(starts):  # whole words, about a MB of text at a time
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + _STEP)))
         a, z = int(starts[first]), int(ends[last - 1])
         up, down = _powers(1 << max(12, (z - a).bit_length()))
@@ -133,7 +133,7 @@ def _signed(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for b in slices(batch, "text", 4 << 20):
+            for b in slices(batch, "text", 2 << 20):
                 items = []
                 for s in shingles(strings(b["text"])):
                     values, counts = np.unique(s, return_counts=True)
@@ -152,7 +152,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for b in slices(batch, "text", 4 << 20):
+            for b in slices(batch, "text", 2 << 20):
                 yield pd.DataFrame({"node": b["node"], "items": [np.unique(s).view(np.int64) for s in shingles(strings(b["text"]))]})
 
     return docs.mapInPandas(listed, "node long, items array<long>")

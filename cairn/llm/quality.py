@@ -29,7 +29,7 @@ ASIDE = 5
 ROUNDS, SURE = 3, 0.97
 WORDS, SOURCES, LANGS = 128, 64, 16
 RIDGE, WEIGHT = 1.0, 0.5  # penalty on coefficients; weight of a pseudo-label against a true one
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 20
 _STATS = 14
 
 
