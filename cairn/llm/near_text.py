@@ -25,8 +25,8 @@ from cairn.operators.graph import components
 WORDS, SIMILARITY = 5, 0.8
 #: Places of a signature: BANDS bands of ROWS.  A pair at 0.8 is missed with probability (1 - 0.8**5)**30 < 1e-5.
 BANDS, ROWS = 30, 5
-#: Rounds in which a bucket's texts meet one text of it, before the pairs still open are compared.
-ROUNDS = 3
+#: Rounds in which a bucket's texts meet one text of it, before groups still open are compared tile by tile.
+ROUNDS, TILE = 2, 512
 
 _P = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -188,8 +188,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     are marked alike.  Extra columns are not read; an empty table gives no rows.
 
     Copies are gathered map-side by digest.  A bucket's texts are compared with one text of the
-    bucket per round and never listed as pairs; texts whose own shingles rule a link out are then left
-    aside, and only those whose classes still differ after ``ROUNDS`` rounds are paired.  A text is shuffled once, and only its shingle hashes after that.
+    bucket per round and never listed as pairs.  Texts that share too little with other classes are then left
+    aside, and what is open after ``ROUNDS`` rounds is compared in tiles, so no link is lost.  A text is shuffled once, and only its shingle hashes after that.
     """
     with small_batches(df.sparkSession, 2000):
         signed = cut(_signed(df, key, text))
@@ -217,18 +217,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         found = cut(_verified(pairs, sets, sizes).filter(F.col("similarity") >= SIMILARITY).select("u", "v"))
         links = found if links is None else links.unionByName(found)
         classes = cut(_classes(nodes, links))
-        active = cut(_open(members if turn == 0 else active, classes))
-        if turn:
-            active = cut(_open(_linkable(active, sets, sizes), classes))
+        active = cut(_open(active, classes))
         if active.isEmpty():
             break
     else:
-        here = active.join(classes, "node").select("h", "node", "class").join(sizes, "node")
-        a, b = (here.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "class", "size")]) for s in "ab")
-        near = (F.col("class_a") < F.col("class_b")) & (F.least("size_a", "size_b") >= SIMILARITY * F.greatest("size_a", "size_b"))
-        pairs = a.join(b, "h").filter(near).select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
-        found = cut(_verified(pairs, sets, sizes).filter(F.col("similarity") >= SIMILARITY).select("u", "v"))
-        classes = cut(_classes(nodes, links.unionByName(found)))
+        active = cut(_open(_linkable(active, classes, sets, sizes), classes))
+        if not active.isEmpty():
+            links = links.unionByName(cut(_compared(active, classes, sets)))
+            classes = cut(_classes(nodes, links))
 
     named = nodes.select("node", "sha").join(low, "sha").join(classes, "node")
     # smallest (key, digest) of a class, null keys last
@@ -240,21 +236,67 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return out.unionByName(nulls).withColumnRenamed("id", key)
 
 
-def _linkable(active: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``active`` without texts that have too many shingles of their own to link to any text they share a bucket with.
+def _linkable(active: DataFrame, classes: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``active`` without texts that share too few shingles with other classes to link to any of them.
 
-    Similarity 0.8 with a set of size m asks for 4/9 (n + m) common shingles.  A shingle that no other
-    active text has is common with none, and m is at least 0.8 n and at least the smallest size in the
-    text's buckets.  So copies of one text that were edited apart are out after one count.
+    Similarity 0.8 with a set of size m asks for 4/9 (n + m) common shingles, and m is at least 0.8 n and
+    at least the smallest size in the text's buckets.  Shingles that occur in one class only
+    are common with none of another.
     """
     sized = active.join(sizes, "node")
     least = sized.groupBy("h").agg(F.min("size").alias("least"))
     needs = sized.join(least, "h").groupBy("node", "size").agg(F.min("least").alias("least"))
-    single = needs.select("node").join(sets, "node").select("node", F.explode("items").alias("item"))
-    single = single.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    items = cut(needs.select("node").join(sets, "node").join(classes, "node").select("node", "class", F.explode("items").alias("item")))
+    shared = items.groupBy("item").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("item")
+    common = items.join(shared, "item", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
     share = SIMILARITY / (1 + SIMILARITY)
-    fair = F.col("size") - F.coalesce("own", F.lit(0)) >= F.floor(share * (F.col("size") + F.greatest(F.col("least"), SIMILARITY * F.col("size"))))
-    return active.join(needs.join(single, "node", "left").filter(fair).select("node"), "node", "left_semi").select("h", "node")
+    fair = F.col("common") >= F.floor(share * (F.col("size") + F.greatest(F.col("least"), SIMILARITY * F.col("size"))))
+    return active.join(needs.join(common, "node").filter(fair).select("node"), "node", "left_semi").select("h", "node")
+
+
+def _compared(active: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between texts of different classes, by comparing all texts joined by shared buckets.
+
+    Such a group is dealt into tiles of about ``TILE`` texts, and each pair of tiles is a task's group of its own that
+    answers with at most one link per text and other class, never with pairs.
+    """
+    heads = active.groupBy("h").agg(F.min("node").alias("u"))
+    joined = components(active.join(heads, "h").select("u", F.col("node").alias("v")))
+    placed = joined.select("node", F.col("component").alias("grp")).join(classes, "node").join(sets, "node")
+    counts = joined.groupBy(F.col("component").alias("grp")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    dealt = placed.join(counts, "grp").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("grp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "class", "items")
+
+    def compared(batch: pd.DataFrame) -> pd.DataFrame:
+        node, owner = batch["node"].to_numpy(), batch["class"].to_numpy()
+        near = jaccard([np.asarray(x) for x in batch["items"]]) >= SIMILARITY
+        near &= owner[:, None] != owner[None, :]
+        out = []
+        for i in np.flatnonzero(near.any(axis=1)):
+            others = np.flatnonzero(near[i])
+            out += [(node[i], node[j]) for j in others[np.unique(owner[others], return_index=True)[1]]]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return dealt.groupBy("grp", "i", "j").applyInPandas(compared, "u long, v long")
+
+
+def jaccard(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+    """Similarity of every two sets, from their 0/1 table taken some columns at a time."""
+    sizes = np.array([len(s) for s in sets])
+    values, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, keep = np.repeat(np.arange(len(sets)), sizes), times > 1
+    column = (np.cumsum(keep) - 1)[code]
+    row, column = row[keep[code]], column[keep[code]]
+    order = np.argsort(column, kind="stable")
+    row, column, common = row[order], column[order], np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for start in range(0, int(keep.sum()), columns):
+        a, z = np.searchsorted(column, (start, start + columns))
+        table = np.zeros((len(sets), columns), dtype=np.float32)
+        table[row[a:z], column[a:z] - start] = 1
+        common += table @ table.T
+    common = common.astype(float)
+    return common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1)
 
 
 def _across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
