@@ -22,6 +22,11 @@ MEMO, KEEP = 500_000, 9
 PLAIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[.,!?]*(?:[ \n]|\Z))"
 
 
+_STOPPED = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?]+)")
+#: White space to Python's split alone.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -64,6 +69,16 @@ class Library:
         self.most = memo
 
     def _learn(self, new: list[str]) -> None:
+        if self.lower:  # a word and the stops after it are asked for apart
+            parts = {p: m for p in new if (m := _STOPPED.fullmatch(p))}
+            inner = {x for m in parts.values() for x in m.groups()}.difference(self.memo)
+            self._learn_plain(list(inner.union(new).difference(parts)))
+            for p, m in parts.items():
+                self.memo[p] = self.memo[m[1]] + self.memo[m[2]]
+        else:
+            self._learn_plain(new)
+
+    def _learn_plain(self, new: list[str]) -> None:
         words = [p for p in new if self.word.match(p)]
         self._ask(words)
         new = list(set(new).difference(words))
@@ -99,14 +114,16 @@ class Library:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         out, group, size = [], [], 0
         for t in texts:
+            pieces = None
             if self.lower and "<|" not in t and _latin(t):
                 t = t.lower()  # as the tokenizer does first; fewer pieces to remember
+                pieces = None if _SEPARATORS.search(t) else t.split()
             if len(t) > 1 << 20:  # a very long text: its pieces are taken in parts
                 out += self._group(group)
                 group, size = [], 0
                 out.append(b"".join(b"".join(self._group([part])) for part in runs(self.pieces, t)))
                 continue
-            group.append(self.pieces.findall(t))
+            group.append(self.pieces.findall(t) if pieces is None else pieces)
             size += len(t)
             if size > 1 << 20:
                 out += self._group(group)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +48,7 @@ def op4_token_file(spark: SparkSession, sf: str, path: str | None = None) -> Dat
     folder = new_path(spark, "tokens")
     token_file.write_tokens(table(spark, sf, "documents"), folder, path or _vocabulary("word_bpe_49k.json"), end=1)
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(ids=[zlib.crc32(x) for x in b["ids"]])
-
-    back = token_file.read_tokens(spark, folder).mapInPandas(summed, "doc_id long, start long, n_tokens long, ids long")
-    return back.withColumnRenamed("ids", "ids_crc32")
+    return token_file.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,7 +17,6 @@ index row, one block and one small decompression with the shared dictionary.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,7 +154,3 @@ def read_tokens(spark: SparkSession, folder: str, docs: list[int] | None = None)
     got = blocks.select("shard", "hash", "frames", "entries").mapInPandas(unpacked, "shard int, doc_id long, within long, n_tokens long, ids binary")
     shards = spark.read.parquet(f"{folder}/shards").select("shard", F.col("start").alias("before"))
     return got.join(shards, "shard").select("doc_id", (F.col("within") + F.col("before")).alias("start"), "n_tokens", "ids")
-
-
-def crc32(ids) -> int:
-    return zlib.crc32(ids)
