@@ -31,6 +31,7 @@ WORDS, SOURCES, LANGS = 128, 64, 16
 RIDGE, WEIGHT = 1.0, 0.5  # penalty on coefficients; weight of a pseudo-label against a true one
 _SEGMENT = 1 << 20
 _STATS = 14
+_DRAWS = 1_000_003  # rows are drawn by a hash modulo this
 
 
 def text_view(texts: list[str]) -> np.ndarray:
@@ -163,7 +164,7 @@ def train(rows: DataFrame) -> tuple[View, View, np.ndarray] | float:
     known = rows.filter("label IS NOT NULL")
     n, good = known.agg(F.count("*"), F.coalesce(F.avg("label"), F.lit(0.5))).head()
     share = min(1.0, LABELLED / max(n, 1))
-    some = known.filter(F.pmod(drawn, F.lit(1_000_003)) < int(share * 1_000_003) + 1).limit(2 * LABELLED).toPandas().sort_values("id")
+    some = known.filter(F.pmod(drawn, F.lit(_DRAWS)) < int(share * _DRAWS) + 1).limit(2 * LABELLED).toPandas().sort_values("id")
     y = some["label"].to_numpy(float)
     aside = np.arange(len(some)) % ASIDE == 0
     if min([*(np.bincount(part.astype(int), minlength=2).min() for part in (y[aside], y[~aside]))]) < 2:
@@ -174,16 +175,11 @@ def train(rows: DataFrame) -> tuple[View, View, np.ndarray] | float:
     models = {name: _learn(*data[name], held[name]) for name in views}
     unknown = rows.filter("label IS NULL")
     for turn in range(ROUNDS):
-        sure = cut(_sure(unknown, models))
-        counts = {(r["teacher"], r["said"]): r["n"] for r in sure.groupBy("teacher", "said").agg(F.count("*").alias("n")).collect()}
+        counts = {(r["teacher"], r["said"]): r["n"] for r in _sure(unknown, models, turn).groupBy("teacher", "said").agg(F.count("*").alias("n")).collect()}
         if not counts:
             break
-        rate = F.lit(0)
-        for (teacher, said), m in counts.items():
-            limit = int(min(1.0, PSEUDO / m) * 1_000_003) + 1
-            rate = F.when((F.col("teacher") == teacher) & (F.col("said") == said), F.lit(limit)).otherwise(rate)
-        picked = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1_000_003)) < rate
-        chosen = sure.filter(picked).join(unknown.select("id", "content", "page"), "id").limit(8 * PSEUDO).toPandas().sort_values(["teacher", "id"])
+        limits = {pair: int(min(1.0, PSEUDO / n) * _DRAWS) + 1 for pair, n in counts.items()}
+        chosen = _sure(unknown, models, turn, limits).limit(8 * PSEUDO).toPandas().sort_values(["teacher", "id"])
         if not len(chosen):
             break
         for teacher, pupil in (("content", "page"), ("page", "content")):
@@ -197,18 +193,25 @@ def train(rows: DataFrame) -> tuple[View, View, np.ndarray] | float:
     return models["content"], models["page"], fit(both, y[aside], ridge=0.1)
 
 
-def _sure(unknown: DataFrame, models: dict[str, View]) -> DataFrame:
-    """(id, teacher, said) of all unlabelled rows that a view is sure of."""
+def _sure(unknown: DataFrame, models: dict[str, View], turn: int, limits: dict[tuple[str, int], int] | None = None) -> DataFrame:
+    """(id, teacher, said) of all unlabelled rows that a view is sure of; with ``limits`` those drawn below
+    the limit of their teacher and class, and their features too."""
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             for name, model in models.items():
                 odds = model.score(_matrix(b[name]))
-                hit = np.abs(odds) >= logit(np.array(SURE))
-                yield pd.DataFrame({"id": b["id"][hit], "teacher": name, "said": (odds[hit] > 0).astype(int)})
-
-    return unknown.select("id", "content", "page").mapInPandas(chosen, "id long, teacher string, said int")
+                said, hit = (odds > 0).astype(int), np.abs(odds) >= logit(np.array(SURE))
+                if limits is None:
+                    yield pd.DataFrame({"id": b["id"][hit], "teacher": name, "said": said[hit]})
+                    continue
+                hit &= b["drawn"].to_numpy() < np.array([limits.get((name, 0), 0), limits.get((name, 1), 0)])[said]
+                yield pd.DataFrame({"id": b["id"][hit], "teacher": name, "said": said[hit], "content": b["content"][hit], "page": b["page"][hit]})
+
+    rows = unknown.select("id", "content", "page", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(_DRAWS)).alias("drawn"))
+    more = "" if limits is None else ", content array<float>, page array<float>"
+    return rows.mapInPandas(chosen, f"id long, teacher string, said int{more}")
 
 
 def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str | None = "source", lang: str | None = "lang", label: str = "quality") -> DataFrame:
