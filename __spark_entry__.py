@@ -15,12 +15,13 @@ from cairn.functions import vectors as vec
 from cairn.operators import density, item_blocks, merge, profile, quality, ratings, subsets, ward
 from cairn.operators import states as st
 from cairn.operators.assign import OUTLIER, assign, distance_matrix
+from cairn.plans import sweep
 from cairn.plans.bfr import Settings, bfr
 from cairn.session import cut, new_path
 from cairn.sources import text
 from cairn.sql_checks import statements
 
-DEVIATIONS, EPS, ALPHA = 1.04, 1.16, 1.2
+DEVIATIONS, EPS, ALPHA = 1.04, 1.16, 1.004
 DIMS = 64
 LEAF_ROWS = 64  # small tiles, so that small data takes the way of big data
 HEAVY = 10  # rated items per user and block beyond which sums do without item pairs
@@ -289,9 +290,13 @@ def cs_merge_candidates(spark, sf):
 
 
 def cs_merge(spark, sf):
-    left, names, _ = merge.merge_sets(merge.listed(_sets(spark, sf)), ALPHA, leaf_rows=LEAF_ROWS)
+    keyed, first = merge.listed(_sets(spark, sf))
+    left, names, _ = merge.merge_sets(keyed, ALPHA, leaf_rows=LEAF_ROWS)
     sizes = left.groupBy("set_key").agg(F.max("n").alias("n"))
-    return names.join(sizes, F.col("new_key") == F.col("set_key")).select("old_key", "new_key", "n")
+    named = names.join(sizes, F.col("new_key") == F.col("set_key")).select("old_key", "new_key", "n")
+    mine = cut(named.join(first, F.col("old_key") == F.col("set_key")).select("name", "new_key", "n"))
+    heads = mine.groupBy("new_key").agg(F.min("name").alias("first_name"))  # a set goes by the first name in it
+    return mine.join(heads, "new_key").select(F.col("name").alias("old_key"), "first_name", "n")
 
 
 def cs_fold(spark, sf):
@@ -345,9 +350,7 @@ def quality_zscores(spark, sf):
 
 def quality_sweep(spark, sf):
     seed = cut(fx.seed_points(spark, sf).drop("cluster_id"))
-    ks = list(range(8, 17))
-    cuts = ward.labels(seed, cut(ward.history(seed, LEAF_ROWS)), ks)
-    return quality.metrics(cut(seed.join(cuts, "point_id")), leaf_rows=LEAF_ROWS)
+    return sweep.k_metrics(seed, range(8, 17), new_path(spark, "metrics"), LEAF_ROWS)
 
 
 # ---- ratings --------------------------------------------------------------------
@@ -421,8 +424,7 @@ def cf_cluster_sizes(spark, sf):
 
 
 def cf_item_vectors(spark, sf):
-    train = _split(spark, sf)[1]
-    return item_blocks.entries(item_blocks.item_vectors(train, item_blocks.vector_size(train)))
+    return item_blocks.entries(_split(spark, sf)[1])
 
 
 def cf_item_clusters(spark, sf):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cairn.functions.kernels import closest, groups_inside, neighbours_inside
 from cairn.functions.vectors import distance
 from cairn.operators.balls import LEAF, SLACK, Cover, cover, leaf, tile_pairs, widened
+from cairn.operators.checks import require_numbers
 from cairn.operators.graph import components
 from cairn.session import cut
 
@@ -182,8 +183,9 @@ def dbscan(points: DataFrame, eps: float, min_points: int = MIN_POINTS, leaf_row
 
     A group is named by the smallest id among its core points.  A border point
     within reach of several groups joins the one with the smallest name, as a
-    scan in id order would decide.
+    scan in id order would decide.  Features that are null or no finite numbers raise.
     """
+    require_numbers(points)
     found = neighbourhood(points, eps, leaf_rows)
     shape = found.balls.select("ball", "pivot", "r")
     state = cut(_core(found, eps, min_points))

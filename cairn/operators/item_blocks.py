@@ -2,58 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.session import cut
 
-MAX_VECTOR = 5_000_000  # longest vector, and most ratings of one item, held in one row
+#: Rounds after which a split is taken as it is; most settle in fewer.
+ROUNDS = 20
 
 
-def vector_size(train: DataFrame) -> int:
-    """Users are vector positions; ids without ratings are zeros and change no distance."""
-    return train.agg(F.max("user_id")).first()[0] + 1
+def entries(train: DataFrame) -> DataFrame:
+    """The non-zero entries of the items' vectors as rows ``item_id, user_id, rating``.
 
-
-def item_vectors(train: DataFrame, size: int) -> DataFrame:
-    """``item_id, ratings``: one sparse vector per item, for MLlib."""
-    @F.udf(returnType=VectorUDT())
-    def sparse(cells):
-        return SparseVector(size, [c.user_id for c in cells], [float(c.rating) for c in cells])
-
-    cells = F.sort_array(F.collect_list(F.struct("user_id", "rating")))
-    return train.groupBy("item_id").agg(cells.alias("cells")).select("item_id", sparse("cells").alias("ratings"))
-
-
-def entries(vectors: DataFrame) -> DataFrame:
-    """The non-zero entries of item vectors as rows ``item_id, user_id, rating``."""
-    @F.udf(returnType="array<struct<user_id:int,rating:double>>")
-    def pairs(v):
-        return [(int(i), float(x)) for i, x in zip(v.indices, v.values)]
-
-    return vectors.select("item_id", F.explode(pairs("ratings")).alias("e")).select("item_id", "e.user_id", "e.rating")
-
-
-def item_blocks(train: DataFrame, k: int = 50, min_divisible: float | None = None, seed: int = 1,
-                max_vector: int = MAX_VECTOR) -> DataFrame:
-    """``item_id, cluster_id``: items in at most k blocks.
-
-    A block may split while it has ``min_divisible`` items (a share of all items
-    below 1, 1/k by default).  Vectors go to MLlib while one fits a row; beyond
-    ``max_vector`` the same clustering runs on the ratings in long form.
+    Users are vector positions; an item's vector is never put together in one row.
     """
-    least = 1 / k if min_divisible is None else min_divisible
-    size = vector_size(train)
-    if size > max_vector:
-        return long_blocks(train, k, least, seed)
-    vectors = cut(item_vectors(train, size)).persist()  # as a table first: few partitions for many passes
-    model = BisectingKMeans(
-        featuresCol="ratings", predictionCol="cluster_id", k=k, minDivisibleClusterSize=least, seed=seed).fit(vectors)
-    blocks = cut(model.transform(vectors).select("item_id", "cluster_id"))
-    vectors.unpersist()
-    return blocks
+    return train.select("item_id", "user_id", F.col("rating").cast("double").alias("rating"))
 
 
 def _two_means(cells: DataFrame, seed: int, rounds: int) -> DataFrame:
@@ -65,7 +28,7 @@ def _two_means(cells: DataFrame, seed: int, rounds: int) -> DataFrame:
     sizes = items.groupBy("node").agg(F.count("*").alias("items"))
     mean = cells.groupBy("node", "user_id").agg(F.sum("rating").alias("total")).join(sizes, "node").withColumn(
         "value", F.col("total") / F.col("items"))
-    nudge = F.pmod(F.xxhash64("user_id", F.lit(seed)), F.lit(1000)) / 1000 * 1e-2
+    nudge = F.pmod(F.col("user_id").cast("long") * 7919 + seed * 104729, F.lit(1000)) / 1000 * 1e-2
     centres = mean.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         "node", "side", "user_id", (F.col("value") * F.when(F.col("side") == 0, 1 - nudge).otherwise(1 + nudge)).alias("value"))
     sides = None
@@ -76,11 +39,15 @@ def _two_means(cells: DataFrame, seed: int, rounds: int) -> DataFrame:
             F.sum(F.col("rating") * F.col("value")).alias("dot"))
         costs = items.join(lengths, "node").join(dots, ["node", "item_id", "side"], "left").withColumn(
             "cost", F.col("length") - 2 * F.coalesce("dot", F.lit(0.0)))
-        now = cut(costs.groupBy("node", "item_id").agg(F.min(F.struct("cost", "side")).alias("best")).select(
-            "node", "item_id", F.col("best.side").alias("side")))
-        moved = sides is None or not now.join(sides, ["node", "item_id", "side"], "left_anti").isEmpty()
-        sides = now
-        if not moved:
+        now = costs.groupBy("node", "item_id").agg(F.min(F.struct("cost", "side")).alias("best")).select(
+            "node", "item_id", F.col("best.side").alias("side"))
+        if sides is None:
+            now = cut(now.withColumn("moved", F.lit(True)))
+        else:
+            before = sides.select("node", "item_id", F.col("side").alias("before"))
+            now = cut(now.join(before, ["node", "item_id"]).withColumn("moved", F.col("side") != F.col("before")).drop("before"))
+        sides = now.select("node", "item_id", "side")
+        if now.filter("moved").isEmpty():
             break
         parts = now.groupBy("node", "side").agg(F.count("*").alias("items"))
         centres = cells.join(now, ["node", "item_id"]).groupBy("node", "side", "user_id").agg(
@@ -89,13 +56,17 @@ def _two_means(cells: DataFrame, seed: int, rounds: int) -> DataFrame:
     return sides
 
 
-def long_blocks(train: DataFrame, k: int, least: float, seed: int, rounds: int = 20) -> DataFrame:
-    """Bisecting k-means without vectors: centres and items stay ratings in long form.
+def item_blocks(train: DataFrame, k: int = 50, min_divisible: float | None = None, seed: int = 1, rounds: int = ROUNDS) -> DataFrame:
+    """``item_id, cluster_id``: items in at most k blocks, by bisecting k-means.
 
-    Every distance is a join on (node, user) added up per item, so neither an item
-    rated by everyone nor a centre with every user has to fit into one row.
+    A block may split while it has ``min_divisible`` items (a share of all items
+    below 1, 1/k by default); the largest split first.  ``rounds`` bounds the passes of
+    one split.  Centres and items stay ratings in long form at every size: distances are joins on
+    (node, user) added up per item, so neither an item rated by everyone nor
+    a centre with every user has to fit into one row.
     """
-    r = train.select("item_id", "user_id", F.col("rating").cast("double").alias("rating"))
+    least = 1 / k if min_divisible is None else min_divisible
+    r = entries(train)
     nodes = cut(r.select("item_id").distinct().withColumn("node", F.lit(1).cast("long")))
     enough = max(1.0, least if least >= 1 else least * nodes.count())
     stuck: set[int] = set()

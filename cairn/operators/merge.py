@@ -125,17 +125,28 @@ def matching(sets: DataFrame, alpha: float, leaf_rows: int = LEAF) -> DataFrame:
     return reduce(DataFrame.unionByName, taken) if taken else mutual
 
 
-def listed(states: DataFrame) -> DataFrame:
-    """Put keys of any form in front of all keys that merging will make."""
-    return states.withColumn("set_key", F.concat_ws("/", F.lit(f"{0:06d}"), "set_key"))
+def ranked(rows: DataFrame, step: int, order: str, into: str) -> DataFrame:
+    """``rows`` with a key ``(step, rank)`` each, both BIGINT, in the order of column ``order``.
+
+    Rows are sorted over many tasks; ranks have gaps, as they only have to keep the order.
+    """
+    sorted_ = rows.repartitionByRange(order).sortWithinPartitions(order)
+    return cut(sorted_.withColumn(into, F.struct(F.lit(step).cast("long").alias("step"), F.monotonically_increasing_id().alias("rank"))))
+
+
+def listed(states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """States with keys of any form under keys of step 0 in the same order, and the names ``set_key, old_key``."""
+    names = ranked(states.select(F.col("set_key").alias("name")).distinct(), 0, "name", "set_key")
+    keyed = states.withColumnRenamed("set_key", "name").join(names, "name").select("set_key", "dim", "n", "s", "q")
+    return keyed, names
 
 
 def merge_sets(states: DataFrame, alpha: float, step: int = 1, leaf_rows: int = LEAF) -> tuple[DataFrame, DataFrame, int]:
     """Merge until nothing fits: the states left, the renamings and the next step number.
 
-    The renamings ``old_key, new_key`` cover all sets that came in.  Keys start
-    with the number of the step that made them (see `listed`), so that later sets
-    come last and sets of one step keep the order of their first members.
+    Keys are ``(step, rank)``: the step that made a set, and its place among the sets of
+    that step (see `ranked`), so that later sets come last and sets of one step keep the order of
+    their first members.  The renamings ``old_key, new_key`` cover all sets that came in.
     """
     now = cut(states)
     names = now.select(F.col("set_key").alias("old_key"), F.col("set_key").alias("new_key")).distinct()
@@ -144,7 +155,7 @@ def merge_sets(states: DataFrame, alpha: float, step: int = 1, leaf_rows: int =
         pairs = cut(matching(cut(sets), alpha, leaf_rows))
         if pairs.isEmpty():
             return now, names, step
-        fresh = pairs.withColumn("to", F.concat_ws("/", F.lit(f"{step:06d}"), "lo"))
+        fresh = ranked(pairs, step, "lo", "to")
         step += 1
         moves = fresh.select(F.col("lo").alias("from"), "to").unionByName(fresh.select(F.col("hi").alias("from"), "to"))
         renamed = now.join(moves, F.col("set_key") == F.col("from"), "left").withColumn("set_key", F.coalesce("to", "set_key"))

@@ -9,6 +9,7 @@ from cairn.functions.kernels import farthest
 from cairn.functions.vectors import distance
 from cairn.operators.balls import LEAF, cover, leaf, tile_pairs
 from cairn.operators.states import centroids
+from cairn.session import cut
 
 
 def density(n: Column, length: Column) -> Column:
@@ -16,10 +17,20 @@ def density(n: Column, length: Column) -> Column:
     return F.when(length == 0, F.lit(float("inf"))).otherwise(F.try_divide(n, length * length))
 
 
+#: Parts that the points of one cluster are dealt over where centroids are too many to broadcast.
+SALTS = 64
+
+
 def radius(points: DataFrame, keys: tuple[str, ...] = ("cluster_id",)) -> DataFrame:
-    """Largest distance of a member to its cluster's centroid, and size per squared radius."""
-    middle = centroids(points, keys).drop("n")
-    far = points.join(middle, list(keys)).groupBy(*keys).agg(
+    """Largest distance of a member to its cluster's centroid, and size per squared radius.
+
+    Centroids are written first, so Spark knows their size: while it is small they are broadcast and
+    points stay where they are; beyond that points are dealt by cluster and a salt.
+    """
+    middle = cut(centroids(points, keys).drop("n"))
+    salted = middle.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = points.withColumn("salt", F.pmod(F.xxhash64("point_id"), F.lit(SALTS)).cast("int"))
+    far = dealt.join(salted, [*keys, "salt"]).groupBy(*keys).agg(
         F.count("*").alias("n"), F.max(distance("features", "centroid")).alias("radius"))
     return far.withColumn("density_r", density(F.col("n"), F.col("radius")))
 
@@ -35,7 +46,9 @@ def diameter(points: DataFrame, keys: tuple[str, ...] = ("cluster_id",), leaf_ro
     """Largest distance between two members of a cluster, and size per squared diameter.
 
     Exact.  The distance of two known points is a lower limit; pairs of balls
-    that cannot reach it are dropped together with their points.
+    that cannot reach it are dropped together with their points.  Where points lie so evenly
+    that bounds drop nothing, as in many dimensions, leaves meet all leaves of
+    their cluster: the work is then quadratic in it, in tiles spread over tasks.
     """
     grp = F.struct(*keys)
     work = points.select(grp.alias("grp"), F.col("point_id").alias("id"), F.col("features").alias("x"))

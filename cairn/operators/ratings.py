@@ -34,9 +34,17 @@ from pyspark.sql import functions as F
 
 from cairn.session import cut
 
+NO_SIMILARITY = 1e-12  # sums of similarities up to this count as 0
 MIN_HEAVY = 256  # below this many rated items a user is never heavy
 
 
+def check_once(train: DataFrame) -> None:
+    """Raise if a user rated an item more than once: sums would count the pair twice."""
+    twice = train.groupBy("user_id", "item_id").agg(F.count("*").alias("n")).filter("n > 1").head()
+    if twice is not None:
+        raise ValueError(f"user {twice.user_id} rated item {twice.item_id} {twice.n} times; keep one rating")
+
+
 def user_means(train: DataFrame) -> DataFrame:
     return train.groupBy("user_id").agg(F.avg("rating").alias("user_mean"))
 
@@ -255,12 +263,14 @@ def predict(test: DataFrame, train: DataFrame, blocks: DataFrame, mu: float, n_u
     user rated nothing else in the block, or whose user or item was not trained
     on, get no row; the prediction is null when the similarities add up to 0.
     """
+    check_once(train)
     rated = cut(_tag_heavy(_placed(train, train, blocks, mu, n_users), limit))
     asked = cut(_placed(test.dropDuplicates(), train, blocks, mu, n_users))
     sums = _light_sums(asked, rated, n_users)
     if not rated.filter("heavy").isEmpty():
         sums = sums.unionByName(_heavy_sums(asked, rated, train, n_users))
-    predicted = F.col("base") + F.try_divide(F.col("num"), F.col("den"))
+    # both ways of summing agree up to rounding only, so a sum this close to 0 is 0
+    predicted = F.col("base") + F.when(F.abs("den") > NO_SIMILARITY, F.col("num") / F.col("den"))
     return asked.join(sums, ["user_id", "item_id"]).select(
         *test.columns, predicted.alias("predicted_rating")
     )

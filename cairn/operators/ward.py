@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.kernels import all_merges, cheapest_partner
 from cairn.operators.balls import LEAF, SLACK, cover, leaf, tile_pairs
+from cairn.operators.checks import require_numbers
 from cairn.operators.graph import components
 from cairn.session import cut
 
@@ -68,7 +69,11 @@ def _weighted_mean(live: DataFrame) -> DataFrame:
 
 
 def history(points: DataFrame, leaf_rows: int = LEAF) -> DataFrame:
-    """All merges ``(cost, lo, hi)``; a cluster goes by the smallest point id in it."""
+    """All merges ``(cost, lo, hi)``; a cluster goes by the smallest point id in it.
+
+    Features that are null or no finite numbers raise.
+    """
+    require_numbers(points)
     same = points.groupBy("features").agg(F.min("point_id").alias("id"), F.count("*").alias("n"))
     live = cut(same.select("id", "n", F.col("features").alias("centroid")))
     copies = points.join(same.select("features", "id"), "features").filter(F.col("point_id") != F.col("id"))
@@ -79,6 +84,8 @@ def history(points: DataFrame, leaf_rows: int = LEAF) -> DataFrame:
             best.groupBy("best").agg(F.count("*").alias("sides")).filter(F.col("sides") == 2).select("best.*")
         )
         found = cut(mutual)
+        if found.isEmpty():
+            raise RuntimeError("no two clusters are each other's cheapest partner; are all features numbers?")
         merges.append(found)
         lo = F.coalesce("lo", F.col("id"))
         renamed = live.join(found.select("lo", F.col("hi").alias("id")), "id", "left").select(lo.alias("id"), "n", "centroid")

@@ -91,18 +91,62 @@ def planted(spark):
     return frame(spark, rows)
 
 
-@pytest.mark.parametrize("max_vector", [item_blocks.MAX_VECTOR, 1])
-def test_item_blocks_find_planted_groups(spark, max_vector):
-    got = item_blocks.item_blocks(planted(spark), k=3, min_divisible=1.0, max_vector=max_vector).collect()
+def test_item_blocks_find_planted_groups(spark):
+    got = item_blocks.item_blocks(planted(spark), k=3, min_divisible=1.0).collect()
     groups = {}
     for r in got:
         groups.setdefault(r.cluster_id, set()).add(r.item_id % 3)
     assert len(got) == 24 and sorted(map(sorted, groups.values())) == [[0], [1], [2]]
 
 
-def test_item_vectors_hold_every_rating(spark):
+def brute_blocks(rows, k, least, seed, rounds):
+    """The same bisecting k-means on dense vectors."""
+    users, items = sorted({u for u, _, _ in rows}), sorted({i for _, i, _ in rows})
+    x = np.zeros((len(items), len(users)))
+    for u, i, r in rows:
+        x[items.index(i), users.index(u)] = r
+    nudge = np.array([(u * 7919 + seed * 104729) % 1000 / 1000 * 1e-2 for u in users])
+    node, stuck, enough = np.ones(len(items), int), set(), max(1.0, least if least >= 1 else least * len(items))
+    while True:
+        sizes = {n: int((node == n).sum()) for n in np.unique(node).tolist()}
+        chosen = sorted((n for n, c in sizes.items() if c >= enough and c > 1 and n not in stuck), key=lambda n: (-sizes[n], n))[: k - len(sizes)]
+        if not chosen:
+            return {i: sorted(sizes).index(n) for i, n in zip(items, node.tolist())}
+        first = max(sizes) + 1
+        for at, n in enumerate(chosen):
+            mine, side = np.flatnonzero(node == n), None
+            mean = x[mine].mean(axis=0)
+            centres = [mean * (1 - nudge), mean * (1 + nudge)]
+            for _ in range(rounds):
+                cost = np.array([c @ c - 2 * x[mine] @ c for c in centres])
+                now = (cost[1] < cost[0]).astype(int)
+                if side is not None and (now == side).all():
+                    break
+                side = now
+                centres = [x[mine][side == s].mean(axis=0) if (side == s).any() else np.full(len(users), np.nan) for s in (0, 1)]
+                if not (side == 0).any() or not (side == 1).any():
+                    break
+            node[mine] = first + 2 * at + side
+            if len(set(side.tolist())) == 1:
+                stuck |= {first + 2 * at, first + 2 * at + 1}
+
+
+@pytest.mark.parametrize("k,least", [(5, 0.2), (5, 1.0), (4, 3.0)])
+def test_item_blocks_equal_dense_vectors(spark, k, least):
     t = planted(spark)
-    v = item_blocks.item_vectors(t, item_blocks.vector_size(t))
-    assert v.first().ratings.size == 30
-    back = item_blocks.entries(v)
+    rows = [(r.user_id, r.item_id, r.rating) for r in t.collect()]
+    got = {r.item_id: r.cluster_id for r in item_blocks.item_blocks(t, k=k, min_divisible=least).collect()}
+    assert got == brute_blocks(rows, k, least, 1, item_blocks.ROUNDS)
+
+
+def test_a_pair_is_rated_once(spark):
+    train = frame(spark, [(1, 1, 3), (1, 1, 4), (2, 1, 3)])
+    blocks = spark.createDataFrame([(1, 0)], "item_id int, cluster_id int")
+    with pytest.raises(ValueError, match="once|times"):
+        ratings.predict(frame(spark, [(2, 1, 3)]), train, blocks, 3.0, 2, 10)
+
+
+def test_entries_hold_every_rating(spark):
+    t = planted(spark)
+    back = item_blocks.entries(t)
     assert back.count() == t.count() and back.exceptAll(t.select("item_id", "user_id", F.col("rating").cast("double"))).isEmpty()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brute import dbscan as brute_dbscan
 from brute import merge_pass
-from cairn.operators import merge
+from cairn.operators import density, merge, quality, ward
 from cairn.operators import states as st
 from cairn.operators.assign import assign, distance_matrix, nearest
 from cairn.plans import sweep
@@ -69,10 +69,12 @@ def test_merge_sets(spark, seed, alpha, leaf_rows):
     groups = {f"{i:03d}": rng.normal(size=2) * 2 + rng.normal(size=(rng.integers(2, 7), 2)) * rng.uniform(0.1, 1.5) for i in range(14)}
     groups["014"] = groups["015"] = np.array([[3.0, 3.0], [3.0, 3.0]])  # no spread: never merge with each other
     expected = merge_pass([(len(x), x.sum(axis=0), (x**2).sum(axis=0), [k]) for k, x in groups.items()], alpha)
-    left, names, _ = merge.merge_sets(merge.listed(state(spark, groups)), alpha, leaf_rows=leaf_rows)
+    keyed, first = merge.listed(state(spark, groups))
+    left, names, _ = merge.merge_sets(keyed, alpha, leaf_rows=leaf_rows)
+    name = {r.set_key: r.name for r in first.collect()}
     got = {}
     for r in names.collect():
-        got.setdefault(r.new_key, []).append(r.old_key.split("/")[1])
+        got.setdefault(r.new_key, []).append(name[r.old_key])
     order = [sorted(got[k]) for k in sorted(got)]
     assert order == [sorted(m) for *_, m in expected]
     sizes = {r.set_key: r.n for r in left.groupBy("set_key").agg(F.max("n").alias("n")).collect()}
@@ -161,6 +163,62 @@ def test_sweep_resumes(spark, tmp_path):
     todo = sweep.pending(sweep.grid(spark, {"deviations": [2.0, 1.0]}), first)
     assert [r.deviations for r in todo.collect()] == [1.0]
     both = sweep.run(seed, rest, tracks, genres, {"deviations": [2.0, 1.0]}, path, base)
+    assert {r["count"] for r in spark.read.parquet(f"{path}/counts").collect()} and spark.read.parquet(f"{path}/counts").columns[:3] == ["cluster_id", "genre_title", "count"]
     assert sorted(r.deviations for r in both.select("deviations").distinct().collect()) == [1.0, 2.0]
     assert {r.points for r in both.groupBy("deviations").agg(F.sum("points").alias("points")).collect()} == {32}
     assert spark.read.parquet(f"{path}/portions").count() >= 2
+
+
+def test_sweep_shares_a_clustering_between_folds(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    seed = frame(spark, rng.normal(size=(12, 2)), 100)
+    rest = frame(spark, np.concatenate([rng.normal(size=(10, 2)), np.array([9.0, 9.0]) + rng.normal(size=(12, 2)) * 0.1]))
+    tracks = spark.createDataFrame([(str(i), "[1]") for i in range(22)], "track_id string, `track-genres_all` string")
+    genres = spark.createDataFrame([("1", "0", "Rock")], "genre_id string, parent string, title string")
+    runs = []
+    monkeypatch.setattr(sweep, "bfr", lambda *a: runs.append(1) or bfr(*a))
+    path, base = str(tmp_path / "sweep"), Settings(clusters=2, eps=0.5)
+    sweep.run(seed, rest, tracks, genres, {"alpha": [1.1], "fold": [False, True]}, path, base)
+    assert len(runs) == 1
+    counted = {str(r.fold) == "true": r.n for r in spark.read.parquet(f"{path}/counts").filter("cluster_id IS NOT NULL").groupBy("fold").agg(F.sum("count").alias("n")).collect()}
+    alone = {f: bfr(seed, rest, Settings(clusters=2, eps=0.5, alpha=1.1, fold=f)).assignment.filter("point_id < 22").count() for f in (False, True)}
+    assert counted[True] - counted[False] == alone[True] - alone[False] > 0
+
+
+def test_keys_of_any_length_stay_apart(spark):
+    groups = {f"{10 ** 21 + i}": np.array([[float(i), 0.0], [float(i), 1.0]]) for i in range(6)}
+    groups["-5"] = np.array([[99.0, 0.0], [99.0, 1.0]])
+    keyed, first = merge.listed(state(spark, groups))
+    assert first.select("set_key").distinct().count() == first.select("name").distinct().count() == 7
+    assert [r.name for r in first.orderBy("set_key").collect()] == sorted(groups)
+    late = merge.ranked(keyed.select("set_key").distinct(), 1_000_000, "set_key", "to")
+    assert late.filter(F.col("to") <= F.col("set_key")).isEmpty()
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_bad_features_raise(spark, bad):
+    rows = [(i, [float(i), 1.0]) for i in range(10)] + [(10, [bad, 1.0])]
+    points = spark.createDataFrame(rows, "point_id long, features array<double>")
+    for use in (lambda: ward.ward(points, 2, leaf_rows=4), lambda: density.dbscan(points, 1.0), lambda: bfr(points.filter("point_id < 5"), points.filter("point_id >= 5"), Settings(clusters=2))):
+        with pytest.raises(ValueError, match="non-finite"):
+            use()
+    with pytest.raises(ValueError, match="non-finite"):
+        density.dbscan(spark.createDataFrame([(1, None)], "point_id long, features array<double>"), 1.0)
+    with pytest.raises(ValueError, match="entries"):
+        density.dbscan(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "point_id long, features array<double>"), 1.0)
+
+
+def test_radius_does_not_shuffle_points_by_cluster(spark):
+    points = spark.createDataFrame([(i, [float(i), 0.0], i % 2) for i in range(100)], "point_id long, features array<double>, cluster_id int")
+    r = {x.cluster_id: x.radius for x in quality.radius(points).collect()}
+    assert r == {0: pytest.approx(49.0), 1: pytest.approx(49.0)}
+    assert "hashpartitioning(cluster_id" not in quality.radius(points)._jdf.queryExecution().executedPlan().toString().split("Join")[-1].replace("salt", "")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        far = quality.radius(points)
+        assert {x.cluster_id: x.radius for x in far.collect()} == r
+        plan = far._jdf.queryExecution().executedPlan().toString()
+        assert all("salt" in line for line in plan.splitlines() if "Exchange hashpartitioning(cluster_id" in line and "partial" not in line and line.count("cluster_id") > 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
