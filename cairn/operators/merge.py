@@ -5,9 +5,9 @@ order and merges a pair when the mean variance of the union stays below ``alpha`
 times the larger mean variance, each set at most once per pass; passes repeat
 until one merges nothing.  A merged set comes after all others.
 
-A pass equals a greedy matching in the order of the pairs, which is found in
-parallel: a pair is taken when it is the first possible pair of both its sets
-(Blelloch, Fineman and Shun 2012).  Each set only ever offers its first pair.
+A pass equals a greedy matching in the order of the pairs.  It is settled prefix by
+prefix of the list: the first sets of it meet all others in parallel, and only who takes
+whom among their first possible partners is decided in order.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from cairn.functions.kernels import matrix
@@ -59,30 +60,6 @@ def first_partner(n_a: pa.Array, s_a: pa.Array, q_a: pa.Array, n_b: pa.Array, s_
     return pa.array(out, PAIR_ARROW)
 
 
-@arrow_udf(PAIR)
-def greedy_pairs(n: pa.Array, s: pa.Array, q: pa.Array, alpha: pa.Array) -> pa.Array:
-    """All pairs one pass merges among the sets of a single tile."""
-    out = []
-    for size, total, square, al in zip(n, s, q, alpha):
-        n1, s1, q1 = np.array(size.as_py(), float)[:, None], matrix(total.values), matrix(square.values)
-        spread, used, rows = _mean_variance(n1, s1, q1), np.zeros(len(n1), bool), []
-        for i in range(len(n1)):
-            fits = _mean_variance(n1[i] + n1, s1[i] + s1, q1[i] + q1) < al.as_py() * np.maximum(spread[i], spread)
-            later = np.flatnonzero(fits[i + 1 :] & ~used[i + 1 :]) + i + 1
-            if not used[i] and len(later):
-                rows.append({"side": 0, "i": i, "j": int(later[0])})
-                used[later[0]] = True
-        out.append(rows)
-    return pa.array(out, PAIR_ARROW)
-
-
-def _one_tile(sets: DataFrame, alpha: float) -> DataFrame:
-    p = sets.agg(F.sort_array(F.collect_list(F.struct("set_key", "n", "s", "q"))).alias("p"))
-    found = p.filter(F.size("p") > 1).select(
-        F.col("p.set_key").alias("keys"), F.explode(greedy_pairs("p.n", "p.s", "p.q", F.lit(float(alpha)))).alias("o"))
-    return found.select(F.get("keys", "o.i").alias("lo"), F.get("keys", "o.j").alias("hi"))
-
-
 def first_pairs(sets: DataFrame, alpha: float, tiles: int) -> DataFrame:
     """``set_key, best``: the first pair ``(lo, hi)`` in list order that each set could merge in.
 
@@ -107,22 +84,82 @@ def first_pairs(sets: DataFrame, alpha: float, tiles: int) -> DataFrame:
     return offers.select(mine.alias("set_key"), best.alias("best")).groupBy("set_key").agg(F.min("best").alias("best"))
 
 
+def _key(value) -> tuple:
+    """A set's key as something that Python orders as Spark does."""
+    return tuple(value.values()) if isinstance(value, dict) else tuple(value) if isinstance(value, tuple) else (value,)
+
+
+def _partners(live: DataFrame, alpha: float, head: list, most: int) -> DataFrame:
+    """``at, set_key``: per set of ``head`` (rows in list order) its first ``most`` mergeable later sets of each task."""
+    keys = [_key(r.set_key) for r in head]
+    n, s, q = np.array([r.n for r in head], float)[:, None], np.array([r.s for r in head]), np.array([r.q for r in head])
+    held = live.sparkSession.sparkContext.broadcast((keys, n, s, q, _mean_variance(n, s, q)))
+
+    def found(batches):
+        first, size, total, square, spread = held.value
+        best: list[list] = [[] for _ in first]
+        for batch in batches:
+            rows = batch.to_pylist()
+            if not rows:
+                continue
+            n2, s2, q2 = np.array([r["n"] for r in rows], float)[:, None], np.array([r["s"] for r in rows]), np.array([r["q"] for r in rows])
+            mine, names = _mean_variance(n2, s2, q2), [_key(r["set_key"]) for r in rows]
+            for i in range(len(first)):
+                fits = _mean_variance(size[i] + n2, total[i] + s2, square[i] + q2) < alpha * np.maximum(spread[i], mine)
+                more = [(names[j], rows[j]["set_key"]) for j in np.flatnonzero(fits) if names[j] > first[i]]
+                best[i] = sorted(best[i] + more, key=lambda x: x[0])[:most]
+        at = [i for i, b in enumerate(best) for _ in b]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array([k for b in best for _, k in b], kind)], ["at", "set_key"])
+
+    kind = to_arrow_type(live.schema["set_key"].dataType)
+    schema = StructType([StructField("at", IntegerType()), StructField("set_key", live.schema["set_key"].dataType)])
+    return live.select("set_key", "n", "s", "q").mapInArrow(found, schema)
+
+
 def matching(sets: DataFrame, alpha: float, leaf_rows: int = LEAF) -> DataFrame:
-    """Pairs ``(lo, hi)`` one pass merges; at most ``leaf_rows`` sets are matched in one go."""
-    live, taken = sets, []
-    tiles = 1 + (sets.count() - 1) // leaf_rows
-    if tiles == 1:
-        return _one_tile(sets, alpha)
+    """Pairs ``(lo, hi)`` one pass merges.
+
+    Each round settles the first ``leaf_rows`` sets of the list: they are sent to the tasks, and a set's
+    first ``2 * leaf_rows`` possible partners are enough, as fewer sets can be taken before its turn.  The
+    round's pairs, at most ``leaf_rows``, are picked in list order on the driver.
+    """
+    live, taken, most = sets, [], 2 * leaf_rows
     while True:
-        offered = cut(first_pairs(live, alpha, tiles))
-        mutual = cut(offered.groupBy("best").agg(F.count("*").alias("sides")).filter(F.col("sides") == 2).select("best.*"))
-        if mutual.isEmpty():
+        head = live.orderBy("set_key").limit(leaf_rows).collect()
+        if len(head) < 2:
+            break
+        offers = _partners(live, alpha, head, most)
+        nth = F.row_number().over(Window.partitionBy("at").orderBy("set_key"))
+        offers = offers.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth").collect()
+        wanted: dict[int, list] = {}
+        for r in sorted(offers, key=lambda r: (r.at, _key(r.set_key))):
+            wanted.setdefault(r.at, []).append(r.set_key)
+        used, pairs = set(), []
+        for i, r in enumerate(head):
+            if _key(r.set_key) in used:
+                continue
+            partner = next((k for k in wanted.get(i, []) if _key(k) not in used), None)
+            if partner is not None:
+                pairs.append((r.set_key, partner))
+                used |= {_key(r.set_key), _key(partner)}
+        if pairs:
+            kind = live.schema["set_key"].dataType
+            taken.append(cut(live.sparkSession.createDataFrame(pairs, StructType([StructField("lo", kind), StructField("hi", kind)]))))
+        if len(head) < leaf_rows:
             break
-        taken.append(mutual)
-        used = mutual.select(F.col("lo").alias("set_key")).unionByName(mutual.select(F.col("hi").alias("set_key")))
-        # a set without a possible pair never gets one later in the pass
-        live = cut(live.join(offered.select("set_key"), "set_key", "left_semi").join(used, "set_key", "left_anti"))
-    return reduce(DataFrame.unionByName, taken) if taken else mutual
+        live = live.filter(F.col("set_key") > F.lit(head[-1].set_key) if not isinstance(head[-1].set_key, tuple) else _after(head[-1].set_key))
+        if taken and pairs:
+            live = live.join(taken[-1].select(F.col("hi").alias("set_key")), "set_key", "left_anti")
+        live = cut(live)
+    if taken:
+        return reduce(DataFrame.unionByName, taken)
+    return sets.select(F.col("set_key").alias("lo"), F.col("set_key").alias("hi")).limit(0)
+
+
+def _after(key: Row):
+    """Keys that come later in the list than ``key``."""
+    return F.col("set_key") > F.struct(*[F.lit(v).cast("long").alias(n) for n, v in key.asDict().items()])
 
 
 def ranked(rows: DataFrame, step: int, order: str, into: str) -> DataFrame:

@@ -222,3 +222,27 @@ def test_radius_does_not_shuffle_points_by_cluster(spark):
         assert all("salt" in line for line in plan.splitlines() if "Exchange hashpartitioning(cluster_id" in line and "partial" not in line and line.count("cluster_id") > 1)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_round_settles_a_prefix_of_the_list(spark, monkeypatch):
+    # 24 sets that could all merge with each other: 12 pairs in a pass
+    groups = {f"{i:02d}": np.array([[0.0, 0.0], [1.0, 1.0]]) for i in range(24)}
+    keyed, _ = merge.listed(state(spark, groups))
+    sets = st.as_vectors(keyed, ["s", "q"], merge.KEY)
+    rounds, original = [], merge._partners
+    monkeypatch.setattr(merge, "_partners", lambda *a: rounds.append(1) or original(*a))
+    pairs = merge.matching(sets, 1.1, leaf_rows=8).orderBy("lo").collect()
+    order = [r.set_key for r in keyed.select("set_key").distinct().orderBy("set_key").collect()]
+    assert [(r.lo, r.hi) for r in pairs] == list(zip(order[::2], order[1::2]))
+    assert len(rounds) <= 3
+
+
+def test_fixture_points_have_outliers_groups_and_merges(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    kinds = {r.set_kind: r.n for r in entry.bfr_leftover(spark, sf).groupBy("set_kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds["compression"] > 20 and kinds["retained"] > 20
+    merged = entry.cs_merge(spark, sf)
+    sets, left = merged.count(), merged.select("first_name").distinct().count()
+    assert 1 < left < sets
