@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import cut
+from cairn.session import cut, forget
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(_clean(edges.select("u", "v")))
     while not _only_stars(now):
-        now = cut(_small_star(_large_star(now)))
+        before, now = now, cut(_small_star(_large_star(now)))
+        forget(before)
     named = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
     roots = named.select(F.col("component").alias("node"), "component").distinct()
     return named.unionByName(roots)

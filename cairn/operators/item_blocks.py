@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import cut
+from cairn.session import cut, forget
 
 #: Rounds after which a split is taken as it is; most settle in fewer.
 ROUNDS = 20
@@ -31,7 +31,7 @@ def _two_means(cells: DataFrame, seed: int, rounds: int) -> DataFrame:
     nudge = F.pmod(F.col("user_id").cast("long") * 7919 + seed * 104729, F.lit(1000)) / 1000 * 1e-2
     centres = mean.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         "node", "side", "user_id", (F.col("value") * F.when(F.col("side") == 0, 1 - nudge).otherwise(1 + nudge)).alias("value"))
-    sides = None
+    sides = last = None
     for _ in range(rounds):
         centres = cut(centres)
         lengths = centres.groupBy("node", "side").agg(F.sum(F.col("value") * F.col("value")).alias("length"))
@@ -47,6 +47,8 @@ def _two_means(cells: DataFrame, seed: int, rounds: int) -> DataFrame:
             before = sides.select("node", "item_id", F.col("side").alias("before"))
             now = cut(now.join(before, ["node", "item_id"]).withColumn("moved", F.col("side") != F.col("before")).drop("before"))
         sides = now.select("node", "item_id", "side")
+        forget(centres, last)
+        last = now
         if now.filter("moved").isEmpty():
             break
         parts = now.groupBy("node", "side").agg(F.count("*").alias("items"))
@@ -82,9 +84,10 @@ def item_blocks(train: DataFrame, k: int = 50, min_divisible: float | None = Non
         first = max(sizes) + 1
         base = {n: first + 2 * i for i, n in enumerate(chosen)}
         child = _lookup(base)[F.col("node")] + F.col("side")
-        nodes = cut(moved.select("item_id", F.coalesce(child, F.col("node")).alias("node")))
+        old, nodes = nodes, cut(moved.select("item_id", F.coalesce(child, F.col("node")).alias("node")))
         whole = split.groupBy("node").agg(F.countDistinct("side").alias("sides")).filter(F.col("sides") == 1)
         stuck |= {c for x in whole.collect() for c in (base[x.node], base[x.node] + 1)}
+        forget(old, cells)
     numbers = _lookup({n: i for i, n in enumerate(sorted(sizes))})
     return nodes.select("item_id", numbers[F.col("node")].cast("int").alias("cluster_id"))
 

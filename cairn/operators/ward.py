@@ -21,7 +21,7 @@ from cairn.functions.kernels import all_merges, cheapest_partner
 from cairn.operators.balls import LEAF, SLACK, cover, leaf, tile_pairs
 from cairn.operators.checks import require_numbers
 from cairn.operators.graph import components
-from cairn.session import cut
+from cairn.session import cut, forget
 
 
 def _cost(n: Column, m: Column, d: Column) -> Column:
@@ -91,7 +91,8 @@ def history(points: DataFrame, leaf_rows: int = LEAF) -> DataFrame:
         renamed = live.join(found.select("lo", F.col("hi").alias("id")), "id", "left").select(lo.alias("id"), "n", "centroid")
         touched = renamed.join(found.select(F.col("lo").alias("id")), "id", "left_semi")
         rest = renamed.join(found.select(F.col("lo").alias("id")), "id", "left_anti")
-        live = cut(rest.unionByName(_weighted_mean(touched)))
+        before, live = live, cut(rest.unionByName(_weighted_mean(touched)))
+        forget(before, best)
     merges.append(_last_merges(live))
     return reduce(DataFrame.unionByName, merges)
 

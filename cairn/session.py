@@ -44,4 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = new_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step.__dict__["_cairn_step"] = path
+    return step
+
+
+def forget(*steps: DataFrame | None) -> None:
+    """Remove the tables behind steps made by `cut` that nothing will read again.
+
+    Loops call it for the step before the last, once the last is written, so that an
+    iteration leaves one copy of its state and not one per round.
+    """
+    for step in steps:
+        path = None if step is None else step.__dict__.pop("_cairn_step", None)
+        if path:
+            jvm, conf = step.sparkSession._jvm, step.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)

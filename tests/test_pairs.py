@@ -90,3 +90,17 @@ def test_sweep_summary_and_zscores(spark):
     endless = per.withColumn("density_d", F.when(F.col("cluster_id") == 0, float("inf")).otherwise(F.col("density_d")))
     r = quality.sweep_summary(endless).first()
     assert r.avg_density_d == float("inf") and np.isnan(r.var_density_d)
+
+
+def test_components_leave_one_step(spark):
+    import os
+
+    from cairn.operators.graph import components
+    from cairn.session import new_path
+
+    folder = os.path.dirname(new_path(spark, "x"))
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    named = components(chain)
+    assert {r.component for r in named.collect()} == {0} and named.count() == 41
+    assert len(set(os.listdir(folder)) - before) == 1
