@@ -14,13 +14,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from cairn.functions.kernels import matrix
 from cairn.operators.states import as_vectors, finish
+from cairn.session import cut, forget
 
 OUTLIER = -1
 BLOCK_CELLS = 4_000_000  # cluster x dimension cells sent to the tasks at a time (32 MB)
@@ -96,7 +97,7 @@ def _nearest(spark, block: Block, measure, id_type):
         picked = np.array(ids)[which]
         return pa.StructArray.from_arrays([pa.array(best), pa.array(picked)], ["distance", "cluster_id"])
 
-    return nearest.asNondeterministic()
+    return nearest.asNondeterministic(), held
 
 
 def distance_matrix(points: DataFrame, states: DataFrame, measure=mahalanobis,
@@ -116,15 +117,26 @@ def distance_matrix(points: DataFrame, states: DataFrame, measure=mahalanobis,
 
 def nearest(points: DataFrame, states: DataFrame, measure=mahalanobis,
             block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """Points with ``distance`` and ``cluster_id`` of the nearest cluster, lowest id on ties."""
+    """Points with ``distance`` and ``cluster_id`` of the nearest cluster, lowest id on ties.
+
+    A task and the driver hold one block of states at a time, ``block_cells`` numbers of each kind.  Where
+    there are several blocks, the points are written with their best answer after each one,
+    and the block's broadcast is released.
+    """
     id_type = states.schema["cluster_id"].dataType
-    best: Column | None = None
+    now, best, step, held = points, None, None, None
     for block in cluster_blocks(states, block_cells):
-        found = _nearest(points.sparkSession, block, measure, id_type)("features")
-        best = found if best is None else F.least(best, found)
+        if best is not None:  # the blocks before are done with: their answer is kept, not their states
+            before, step = step, cut(now.withColumn("nearest", best))
+            held.unpersist()
+            forget(before)
+            now = step
+        measured, held = _nearest(points.sparkSession, block, measure, id_type)
+        found = measured("features")
+        best = found if step is None else F.least(F.col("nearest"), found)
     if best is None:
         raise ValueError("no clusters to assign to")
-    return points.withColumn("nearest", best).select(*points.columns, "nearest.distance", "nearest.cluster_id")
+    return now.withColumn("nearest", best).select(*points.columns, "nearest.distance", "nearest.cluster_id")
 
 
 def assign(points: DataFrame, states: DataFrame, deviations: float, dimensions: int,
