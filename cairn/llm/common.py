@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -30,6 +31,12 @@ def kept_by_worker(key: tuple, make: Callable):
     return store[key]
 
 
+def release_kept() -> None:
+    """Drop what `kept_by_worker` holds, in functions of a stage that needs the memory for itself."""
+    if sys.__dict__.pop("_cairn_kept", None):
+        gc.collect()
+
+
 def strings(column: Iterable) -> list[str]:
     """Texts with null as the empty text."""
     return ["" if t is None or t is pd.NA or t != t else t for t in column]

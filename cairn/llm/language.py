@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, slices, strings, unused
+from cairn.llm.common import cut, release_kept, slices, strings, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 15
@@ -69,6 +69,7 @@ def train(df: DataFrame, text: str, declared: str, languages: tuple[str, ...] =
     number = {lang: i for i, lang in enumerate(languages)}
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_kept()
         n = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in batches:
             for b in slices(batch, "text", _PART):
@@ -162,6 +163,7 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
 
     @F.pandas_udf("language string, confidence double, accepted boolean")
     def fused(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        release_kept()
         for batch in batches:
             frame = pd.concat(batch, axis=1, keys=["text", *kinds])
             for b in slices(frame, "text", _PART):

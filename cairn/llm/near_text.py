@@ -19,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, slices, small_batches, strings, text_key
+from cairn.llm.common import cut, release_kept, slices, small_batches, strings, text_key
 from cairn.operators.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: Places of a signature: BANDS bands of ROWS.  A pair at 0.8 is missed with probability (1 - 0.8**5)**30 < 1e-5.
 BANDS, ROWS = 30, 5
 #: Rounds in which a bucket's texts meet one text of it, before groups still open are compared tile by tile.
-ROUNDS, TILE = 2, 512
+ROUNDS, TILE = 2, 256
 
 _P = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -132,6 +132,7 @@ def _signed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, sha, size, bands) of every row; no bands where there is no word."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_kept()
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
                 items = []
@@ -269,6 +270,7 @@ def _compared(active: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     dealt = dealt.select("grp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "class", "items")
 
     def compared(batch: pd.DataFrame) -> pd.DataFrame:
+        release_kept()
         node, owner = batch["node"].to_numpy(), batch["class"].to_numpy()
         near = jaccard([np.asarray(x) for x in batch["items"]]) >= SIMILARITY
         near &= owner[:, None] != owner[None, :]
