@@ -32,6 +32,8 @@ BLOCK = 1 << 20
 #: Bounds of the dictionary's training sample: documents, and ids used of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY = 2000, 1024, 64 * 1024
 LEVEL = 3
+#: Pieces of text that a worker remembers the ids of (some 200 MB).
+MEMO = 1_000_000
 _INDEX = "doc_id long, row long, offset long, length long, start long, n_tokens long"
 
 
@@ -80,7 +82,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, end: int, shards: int |
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        library = kept_by_worker(("library", path), lambda: Library(shared.value[0]))
+        library = kept_by_worker(("library", path, MEMO), lambda: Library(shared.value[0], MEMO))
         known = zstandard.ZstdCompressionDict(shared.value[1]) if shared.value[1] else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=known)
         shard, block, row, start = TaskContext.get().partitionId(), 0, 0, 0
