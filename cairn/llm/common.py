@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ def release_kept() -> None:
     """Drop what `kept_by_worker` holds, in functions of a stage that needs the memory for itself."""
     if sys.__dict__.pop("_cairn_kept", None):
         gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def strings(column: Iterable) -> list[str]:

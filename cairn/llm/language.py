@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, release_kept, slices, strings, unused
+from cairn.llm.common import cut, release_kept, slices, small_batches, strings, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 15
@@ -80,7 +80,8 @@ def train(df: DataFrame, text: str, declared: str, languages: tuple[str, ...] =
         yield pd.DataFrame({"lang": lang, "code": code, "n": n[lang, code]})
 
     rows = df.select(F.col(text).cast("string").alias("text"), _tag(F.col(declared)).alias("lang")).filter(F.col("lang").isin(*languages))
-    got = rows.mapInPandas(counted, "lang long, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    with small_batches(df.sparkSession):
+        got = rows.mapInPandas(counted, "lang long, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((len(languages), BUCKETS))
     n[got["lang"].astype(int), got["code"].astype(int)] = got["n"]
     return np.log((n + SMOOTH) / (n.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS))
@@ -155,7 +156,8 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
                 out += list(np.rint(softmax(said_by_text(*evidence(model, strings(b["text"])))) * _UNIT).astype(np.int64))
             yield pd.Series(out, dtype=object)
 
-    own = cut(df.select(*[c.alias(k) for k, c in named.items()], own_posteriors(F.col(text).cast("string")).alias("p")))
+    with small_batches(df.sparkSession):
+        own = cut(df.select(*[c.alias(k) for k, c in named.items()], own_posteriors(F.col(text).cast("string")).alias("p")))
     sums = [F.coalesce(F.sum(F.get("p", F.lit(i))), F.lit(0)) for i in range(len(languages))]
     total = np.array(own.agg(*sums).head()) / _UNIT + 1.0
     tables = {k: cut(own.filter(F.col(k).isNotNull()).groupBy(k).agg(F.array(*sums).alias("rows"))) for k in kinds}
