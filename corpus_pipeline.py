@@ -12,22 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import language, line_chunks, near_text, packing, secret_scan
-from cairn.llm.common import small_batches, table
+from cairn.llm.common import table
 from cairn.session import cut
 
 #: Name of the vocabulary that packed ids come from, and the id that ends a document.
 VOCABULARY, END = "byte_bpe_50k.json", 0
+#: Rows that a Python worker gets at a time.
+BATCH = 1000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; ``lang`` becomes the language found.
 
-    Written here, a thousand rows at a time in the workers, so that they stay small for the stages after.
+    From here on workers get ``BATCH`` rows at a time: whole texts are in them, and workers outlive a stage.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     found = language.identify(docs, into=("language__", "confidence__", "accepted__")).filter("accepted__")
-    found = found.select([F.col("language__").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
-    with small_batches(spark):
-        return cut(found)
+    return found.select([F.col("language__").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
