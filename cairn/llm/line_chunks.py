@@ -1,4 +1,8 @@
-"""Removal of repeated line chunks, with DataFrame functions only.
+"""Removal of repeated runs of lines, and of repeated line chunks, with DataFrame functions only.
+
+`remove_repeated_runs` takes out every run of two lines with letters or more, or of one line of ``LONG``
+words, that occurred before, wherever the run starts and ends.  `remove_repeated_chunks` sees
+only runs that fill chunks; the rest of this text is about chunks.
 
 A text is a list of lines.  A polynomial over the hashes of the last ``WINDOW`` lines says
 after which lines a chunk ends, so the same lines give the same chunks wherever they
@@ -124,3 +128,80 @@ def remove_repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text
     if removed:
         columns.append(F.coalesce(F.size(F.col(out)), F.lit(0)).alias(removed))
     return docs.select(columns)
+
+
+def _runs_of(text: Column) -> Column:
+    """Array of (pos, to, lines) of the smallest runs that count: a line with letters and the next such one, or a long line.
+
+    ``pos`` and ``to`` are the numbers of the first and last line; blank lines between the two belong to the run.
+    """
+
+    def filled(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("x")))
+        return F.filter(numbered, lambda n: F.trim(n["x"]) != "")
+
+    def run(lines: Column, start: Column, to: Column) -> Column:
+        return F.struct(start.alias("pos"), to.alias("to"), F.slice(lines, start + 1, to - start + 1).alias("lines"))
+
+    def listed(lines: Column, known: Column) -> Column:
+        long = F.transform(F.filter(known, lambda n: _words(n["x"]) >= LONG), lambda n: run(lines, n["at"], n["at"]))
+        firsts = F.slice(known, 1, F.greatest(F.size(known) - 1, F.lit(0)))
+        pairs = F.transform(firsts, lambda n, j: run(lines, n["at"], F.get(known, j + 1)["at"]))
+        return F.concat(pairs, long)
+
+    return _let(F.split(text, "\n", -1), lambda lines: _let(filled(lines), lambda known: listed(lines, known)))
+
+
+def _run_hash(lines: Column) -> list[Column]:
+    return [F.xxhash64(lines).alias("a"), F.xxhash64(F.lit(1), lines, F.size(lines)).alias("b")]
+
+
+def remove_repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
+    """``df`` without the runs of lines in ``text`` that occur before, by key, then digest of the text, then line.
+
+    A run counts that begins and ends in a line with letters and has two such lines or more, or is one line of at least
+    ``LONG`` words.  A repeated run is covered by its pairs of neighbouring lines, each of them a repeated
+    run itself, so the pairs alone decide and no run has to be extended.  Every line taken out is left where it
+    occurs first.  A pair of equal lines that overlaps its own first occurrence loses only its second line.
+
+    All columns and rows stay; ``removed``, if given, names a new column with the number of stretches
+    of lines taken out.  Null, empty and equal rows are as in `remove_repeated_chunks`, and bytes are compared
+    as there.
+    """
+    rows = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), F.explode(_runs_of(F.col(text))).alias("r"))
+    found = cut(rows.select("id", "digest", F.col("r.pos").alias("pos"), F.col("r.to").alias("to"), *_run_hash(F.col("r.lines"))))
+    place = F.struct("id", "digest", "pos", "to")
+    groups = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    groups = groups.filter(~F.col("first").eqNullSafe(F.col("last")))
+    hits = found.join(groups.select("a", "b", "first"), ["a", "b"])
+    own = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.digest") == F.col("digest")) & (F.col("first.to") == F.col("pos")) & (F.col("first.pos") < F.col("pos"))
+    hits = cut(hits.select("id", "digest", "pos", "to", "a", "b", (~F.col("first").eqNullSafe(place)).alias("later"), own.alias("own")))
+
+    # bytes of the repeated runs, one smallest and one largest per hash
+    holders = hits.groupBy("id", "digest").agg(F.collect_set(F.struct("pos", "to")).alias("at"))
+    texts = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).alias("t")
+    texts = texts.join(holders.hint("merge").alias("h"), F.expr("t.id <=> h.id AND t.digest = h.digest")).select("t.text", "h.at")
+    picked = _let(F.split("text", "\n", -1), lambda lines: F.transform("at", lambda p: F.slice(lines, p["pos"] + 1, p["to"] - p["pos"] + 1)))
+    parts = texts.select(F.explode(picked).alias("lines")).select(*_run_hash(F.col("lines")), F.array_join("lines", "\n").alias("run"))
+    same = parts.groupBy("a", "b").agg(F.min("run").alias("low"), F.max("run").alias("high")).filter("low = high").select("a", "b")
+    gone = hits.filter("later").join(same, ["a", "b"], "left_semi")
+    span = F.sequence(F.col("pos") + F.col("own").cast("int"), F.col("to"))
+    gone = cut(gone.groupBy("id", "digest").agg(F.array_distinct(F.flatten(F.collect_set(span))).alias("gone")))
+
+    digest, out = (unused(df, n) for n in ("digest__", "gone__"))
+    docs = df.withColumn(digest, F.xxhash64(text))
+    gone = gone.select(F.col("id").alias("key__"), F.col("digest").alias("mark__"), F.col("gone").alias(out))
+    docs = docs.alias("d").join(gone.hint("merge").alias("g"), F.col(f"d.`{key}`").eqNullSafe(F.col("g.key__")) & (F.col(f"d.`{digest}`") == F.col("g.mark__")), "left")
+    docs = docs.select("d.*", f"g.`{out}`")
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
+        return F.array_join(F.transform(left, lambda j: F.get(lines, j)), "\n")
+
+    cleaned = _let(F.split(F.col(text), "\n", -1), rest)
+    columns = [F.when(F.col(out).isNull(), F.col(text)).otherwise(cleaned).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
+    if removed:
+        # a stretch starts at a line whose line before is not taken out
+        starts = F.size(F.array_except(F.col(out), F.transform(F.col(out), lambda j: j + 1)))
+        columns.append(F.coalesce(F.when(F.col(out).isNotNull(), starts), F.lit(0)).alias(removed))
+    return docs.select(columns)

@@ -63,7 +63,7 @@ def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 def op7_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return line_chunks.remove_repeated_chunks(docs, removed="chunks_removed")
+    return line_chunks.remove_repeated_runs(docs, removed="chunks_removed")
 
 
 def op8_packing(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:

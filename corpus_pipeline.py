@@ -32,8 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the line chunks that occurred before."""
-    return _counted(line_chunks.remove_repeated_chunks(docs), docs)
+    """Documents without the runs of lines that occurred before."""
+    return _counted(line_chunks.remove_repeated_runs(docs), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

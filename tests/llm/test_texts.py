@@ -107,6 +107,56 @@ def test_line_chunks_run_no_python(spark):
     assert "Python" not in d._jdf.queryExecution().executedPlan().toString()
 
 
+def without_repeated_runs(rows):
+    """{(key, text): text left} by brute force over all runs of lines, of any length."""
+    order = lambda k: (k is not None, k if k is not None else 0)
+    first, places = {}, []
+    for key, text in set(rows):
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip(" ")]
+        for i in full:
+            for j in full:
+                if j > i or j == i and lines[i].count(" ") >= line_chunks.LONG - 1:
+                    place = (order(key), plain._signed(text), i, j)
+                    run = "\n".join(lines[i:j + 1])
+                    first[run] = min(first.get(run, place), place)
+                    places.append((run, place, key, text))
+    gone = {}
+    for run, place, key, text in places:
+        if first[run] != place:
+            start = max(place[2], first[run][3] + 1) if first[run][:2] == place[:2] else place[2]
+            gone.setdefault((key, text), set()).update(range(start, place[3] + 1))
+    return {(k, t): "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((k, t), ())) for k, t in rows}
+
+
+def runs_table():
+    rng, rows = random.Random(8), []
+    for n in (3, 4, 5, 6, 8, 12):  # passages of 12 words a line between lines found nowhere else
+        for p in range(6):
+            passage = [" ".join(f"p{n}.{p}.{i}.{w}" for w in range(12)) for i in range(n)]
+            for d in range(2):
+                edge = [f"edge {rng.random()}" for _ in range(6)]
+                rows.append((1000 * n + 10 * p + d, "\n".join(edge[:3] + passage + edge[3:])))
+    rows += [(i, "\n".join(rng.choice(["a", "b", "c d", "", " "]) for _ in range(rng.randint(1, 8)))) for i in range(30)]
+    rows += [(i, "\n".join(rng.choice("abcdefghijklmnop") for _ in range(12))) for i in range(100, 110)]
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows += [(200, f"u\n{passage}\nv"), (201, passage), (202, ""), (203, "q\nq\nq\nq"), (204, "k1\n\n\nk2"), (205, "k1\n\nk2"), (206, "z\nk1\n\nk2"), (207, "same\nrow"), (207, "same\nrow"), (None, "same\nrow")]
+    return rows
+
+
+def test_repeated_runs_equal_brute_force(spark):
+    rows = runs_table()
+    got = line_chunks.remove_repeated_runs(frame(spark, short([*rows, (300, None)])), removed="gone")
+    want = without_repeated_runs(rows)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted([(str(k), want[k, t]) for k, t in rows] + [("300", "None")])
+    later = [(k, t) for k, t in rows if k is not None and k >= 3000 and k % 2]
+    assert len(later) == 36 and all(want[k, t].count("\n") == 5 for k, t in later)  # of each passage nothing is left
+    assert want[203, "q\nq\nq\nq"] == "q\nq"
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    assert line_chunks.remove_repeated_runs(frame(spark, [])).count() == 0
+
+
 # ---- near duplicates
 
 
