@@ -5,7 +5,10 @@ Poisson process at that rate; each arrival falls on one of the signature's place
 the shingle that came first.  A shingle is dropped once its arrivals are later than all places'
 first ones.  Two texts agree at a place with the probability Jaccard similarity of their weights.
 
-Texts that agree in a whole band of places are candidates.  Their distinct shingles are then
+A second signature has all weights 1, so two texts agree at a place of it with their plain Jaccard
+similarity, however often their unlike parts repeat.  Where no shingle repeats the two are one.
+
+Texts that agree in a whole band of places of either signature are candidates.  Their distinct shingles are then
 compared, and a Jaccard similarity of at least 0.8 links them.  Classes are the
 connected components of the links.
 """
@@ -23,7 +26,8 @@ from cairn.llm.common import cut, release_kept, slices, small_batches, strings,
 from cairn.operators.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
-#: Places of a signature: BANDS bands of ROWS.  A pair at 0.8 is missed with probability (1 - 0.8**5)**30 < 1e-5.
+#: Places of a signature: BANDS bands of ROWS.  A pair at 0.8 is missed by the signature of weights 1, and so by both
+#: together, with probability (1 - 0.8**5)**30 < 1e-5 at most.
 BANDS, ROWS = 30, 5
 #: Rounds in which a bucket's texts meet one text of it, before groups still open are compared tile by tile.
 ROUNDS, TILE = 2, 256
@@ -128,6 +132,17 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return v
 
 
+def banded(items: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Distinct bands of each set's weighted signature and of the one with all weights 1; none for an empty set."""
+    codes = bands(signatures(items)).view(np.int64)
+    out = [np.unique(c) if len(i[0]) else c[:0] for c, i in zip(codes, items)]
+    again = [n for n, i in enumerate(items) if (i[1] != 1).any()]
+    even = bands(signatures([(items[n][0], np.ones(len(items[n][0]))) for n in again])).view(np.int64)
+    for n, c in zip(again, even):
+        out[n] = np.union1d(out[n], c)
+    return out
+
+
 def _signed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, sha, size, bands) of every row; no bands where there is no word."""
 
@@ -139,9 +154,9 @@ def _signed(df: DataFrame, key: str, text: str) -> DataFrame:
                 for s in shingles(strings(b["text"])):
                     values, counts = np.unique(s, return_counts=True)
                     items.append((values, 1 + np.log(counts)))
-                codes = bands(signatures(items)).view(np.int64)
+                codes = banded(items)
                 yield pd.DataFrame({"id": b["id"], "sha": b["sha"], "size": [len(i[0]) for i in items],
-                                    "bands": [c if len(i[0]) else c[:0] for c, i in zip(codes, items)]})
+                                    "bands": codes})
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), text_key(text).alias("sha"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")

@@ -215,6 +215,19 @@ def test_near_duplicates_on_the_tables(spark):
     assert got == {k: rows[c][0] for (k, _), c in zip(rows, classes)}
 
 
+@pytest.mark.parametrize("times", [20, 1000])
+def test_pairs_whose_unlike_parts_repeat(spark, times):
+    rows = []
+    for n in range(20):  # 90 shared shingles, and 4 + 7 others on each side, of which 7 occur many times: Jaccard 0.804
+        shared = [f"s{n}.{i}" for i in range(94)]
+        for side in "ab":
+            rows.append((2 * n + (side == "b"), " ".join(shared + [f"{side}{n}.{i}" for i in range(7)] * times + [f"{side}{n}.{i}" for i in range(4)])))
+    sets = [set(s.tolist()) for s in near_text.shingles([t for _, t in rows[:2]])]
+    assert len(sets[0] & sets[1]) == 90 and len(sets[0] | sets[1]) == 112
+    got = {r["doc_id"]: r["class_id"] for r in near_text.near_duplicates(frame(spark, short(rows))).collect()}
+    assert got == {k: k // 2 * 2 for k, _ in rows}
+
+
 # ---- language
 
 
