@@ -40,8 +40,10 @@ MIN_LENGTH = 8
 
 _SIGN = re.compile(r":=|=>|[=:]")
 _NAME = re.compile(r"[\w.$-]{1,128}$")
-_PART = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.){0,4096})"|[rbuf]?'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`|([A-Za-z0-9_$.+/=~!@%^&-]{1,4096}))""")
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*")
+_PART = re.compile(r"""[ \t]*+(?:[rbuf]?"((?:[^"\\\n]|\\.)*+)"|[rbuf]?'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|(?=([A-Za-z0-9_$.+/=~!@%^&-])))""")
+_RUN = re.compile(r"[A-Za-z0-9_$.+/=~!@%^&-]++")
+_WORD = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*+")
+_PLUS = re.compile(r"[ \t]*+(?:\+|\.\.|&)[ \t]*+")
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -64,14 +66,68 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 5 + 0.15 * (classes - 1)) * (1.0 if classes > 1 else 0.5)  # letters of one kind are mostly words
 
 
+class _Value:
+    """Text of an expression as a graph of its parts, so that a value built from values is never written out.
+
+    ``n`` and ``counts`` are the length and the characters of the whole; ``spans`` are literals, ``parts`` other values.
+    """
+
+    __slots__ = ("n", "counts", "spans", "parts", "short", "edges")
+
+    def __init__(self, counts: list[Counter], spans: list[tuple[int, int]], parts: list[_Value], order: list) -> None:
+        self.counts = Counter()
+        for c in counts:
+            self.counts.update(c)
+        for p in parts:
+            self.counts.update(p.counts)
+        self.n, self.spans, self.parts = sum(self.counts.values()), spans, parts
+        if self.n > 1 << 60:  # a value that doubles itself: only the shares of the characters matter
+            self.counts = Counter({k: max(1, c >> 20) for k, c in self.counts.items()})
+            self.n = sum(self.counts.values())
+        pieces = [p if isinstance(p, str) else p.short if isinstance(p, _Value) else None for p in order]
+        head, last, lead, trail, blank = "", "", 0, 0, True
+        for p in order:
+            h, z, a, b, none = p.edges if isinstance(p, _Value) else _edges(p)
+            head, last, lead = (head + h)[:16], z or last, lead + a if blank else lead
+            trail, blank = trail + b if none else b, blank and none
+        self.edges = head, last, lead, trail, blank
+        joined = None if any(p is None for p in pieces) else "".join(pieces)
+        self.short = joined if joined is not None and len(joined) <= 4096 else None
+
+    def score(self) -> float:
+        """`literal_score` of the text; that of a text over 4096 characters from its characters and ends."""
+        if self.short is not None:
+            return literal_score(self.short)
+        head, last, lead, trail, _ = self.edges
+        one = len({c.lower() for c in self.counts}) == 1
+        told = PLACEHOLDER.match(head + last)
+        if self.counts[" "] > lead + trail or told and (one or len(set((head + last).lower())) > 1):
+            return 0.0
+        bits = -sum(c / self.n * math.log2(c / self.n) for c in self.counts.values())
+        letters = "".join(self.counts)
+        classes = sum(bool(re.search(p, letters)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
+        return min(1.0, bits / 5 + 0.15 * (classes - 1)) * (1.0 if classes > 1 else 0.5)
+
+
+def _edges(part: str | tuple[str, str]) -> tuple[str, str, int, int, bool]:
+    """First 16 characters, last one, blanks before and after the text, and whether there is nothing else; a pair is a long bare word's ends."""
+    if isinstance(part, tuple):
+        return *part, 0, 0, False
+    before, after = part[:len(part) - len(part.lstrip())], part[len(part.rstrip()):]
+    return part[:16], part[-1:], before.count(" "), after.count(" "), not part.strip()
+
+
 def named_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, in order and without repeats.
 
-    Linear in the text: work is done only at signs of assignment, a name has at
-    most 128 characters, and a value remembers at most 16 parts.
+    Literals and chains of any length count whole.  Work is done only at signs of assignment, and a name has at
+    most 128 characters.  A value refers to the values it is made of, so chains of chains stay small.
+    A bare word ends at a ``+`` that joins it to another operand: a known name, or a quoted literal.
     """
-    values: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
-    found: set[tuple[int, int]] = set()
+    values: dict[str, _Value] = {}
+    wanted: list[_Value] = []
+    stop = 0  # end of the bare run seen last
+    tail = (0, 0, Counter())  # start, end and characters of the long bare word seen last
     for sign in _SIGN.finditer(text):
         at = sign.start()
         head = text[max(0, at - 140):at].rstrip(" \t")
@@ -80,29 +136,59 @@ def named_spans(text: str) -> list[tuple[int, int]]:
         name = _NAME.search(head)
         if not name or not name[0].strip("-.$0123456789"):
             continue
-        pieces, spans, here = [], [], sign.end()
+        counts, spans, parts, order, here = [], [], [], [], sign.end()
         while part := _PART.match(text, here):
-            which = next(i for i in (1, 2, 3, 4) if part[i] is not None)
-            value = part[which]
-            if which == 4 and value in values:
-                pieces.append(values[value][0])
-                spans += values[value][1]
-            elif which < 4 or not pieces:
-                pieces.append(value)
+            if part[4] is None:
+                which = next(i for i in (1, 2, 3) if part[i] is not None)
+                order.append(part[which])
+                counts.append(Counter(part[which]))
                 spans.append(part.span(which))
-            here = part.end()
+                here = part.end()
+            else:
+                start = part.start(4)
+                if start >= stop:
+                    stop = _RUN.match(text, start).end()
+                word = _WORD.match(text, start)
+                end = stop
+                if word and text[word.end():word.end() + 1] == "+" and (order or word[0] in values):
+                    end = word.end()
+                elif text[stop - 1] == "+" and text[stop:stop + 1] in ("'", '"', "`") and stop - 1 > start:
+                    end = stop - 1
+                if order and text.find("=", start, end) >= 0:
+                    break  # the next assignment
+                value = text[start:end] if end - start <= 4096 else None
+                if value in values:
+                    order.append(values[value])
+                    parts.append(values[value])
+                elif not order:
+                    order.append(value if value is not None else (text[start:start + 16], text[end - 1]))
+                    spans.append((start, end))
+                    if value is None:  # its end is that of the word before where both are of one run
+                        if tail[1] == end:
+                            tail[2].subtract(text[tail[0]:start])
+                            tail = (start, end, +tail[2])
+                        else:
+                            tail = (start, end, Counter(text[start:end]))
+                    counts.append(Counter(value) if value is not None else tail[2])
+                here = end
             plus = _PLUS.match(text, here)
-            if not plus or len(spans) >= 16:
+            if not plus:
                 break
             here = plus.end()
-        if not pieces:
+        if not order:
             continue
-        value = "".join(pieces)
-        if len(value) <= 4096:
-            values[name[0]] = (value, tuple(spans))
-        score = name_score(name[0])
-        if score >= 0.5 and score + literal_score(value) >= THRESHOLD and literal_score(value) > 0.4:
-            found.update(s for s in spans if s[1] > s[0])
+        value = values[name[0]] = _Value(counts, spans, parts, order)
+        if (score := name_score(name[0])) >= 0.5:
+            literal = value.score()
+            if score + literal >= THRESHOLD and literal > 0.4:
+                wanted.append(value)
+    found, seen = set(), set()
+    while wanted:
+        value = wanted.pop()
+        if id(value) not in seen:
+            seen.add(id(value))
+            found.update(s for s in value.spans if s[1] > s[0])
+            wanted += value.parts
     return sorted(found)
 
 

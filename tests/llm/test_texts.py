@@ -67,6 +67,28 @@ def test_secrets_of_a_hard_line_are_linear():
     assert secret_scan.spans_of('"=' * 60_000) is not None
 
 
+def drawn(seed, n):
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+
+
+def test_long_values_and_chains_are_found_whole():
+    long, parts = drawn(1, 5000), [drawn(10 + i, 9) for i in range(20)]
+    cases = [(f'private_key = "{long}"', [long]), (f"private_key = {long}", [long]), (f"k = '{long}'\nclient_secret = k", [long]),
+             ("db_password = " + " + ".join(f'"{p}"' for p in parts), parts), ("db_password=" + "+".join(f'"{p}"' for p in parts), parts),
+             ('a="Zx9$kq"\nb="7Lm2pQ"\ndb_password=a+b', ["Zx9$kq", "7Lm2pQ"]), ('a="Zx9$kq"\nclient_secret=a+"7Lm2pQ"', ["Zx9$kq", "7Lm2pQ"]),
+             ("client_secret=ab3D+ef6H/ij9L+mn2P==", ["ab3D+ef6H/ij9L+mn2P=="])]
+    for text, found in cases:
+        assert [text[s:e] for s, e in secret_scan.named_spans(text)] == found, text[:60]
+        assert not any(p in secret_scan.replaced(text, "[SECRET]") for p in found)
+    grown = 'a="Zx9$kq7L"\n' + "a=a+a\n" * 200 + "db_password=a"
+    assert [grown[s:e] for s, e in secret_scan.named_spans(grown)] == ["Zx9$kq7L"]
+    for value, counts in ((long + "  ", True), (long[:2500] + " " + long[2500:], False), ("example" + long, False), ("x" * 5000, False), ("x" * 20 + long + "x", True)):
+        assert bool(secret_scan.named_spans(f'private_key = "{value}"')) == counts
+    for hard in ("key=" * 60_000, "x=a +" * 60_000, "x= +" * 60_000, 'a="b' * 60_001, "a=a+a\n" * 20_000):
+        assert secret_scan.named_spans(hard) is not None
+
+
 # ---- line chunks
 
 
