@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, language, line_chunks, near_text, near_vector, packing, quality, secret_scan, token_file, top_k
+from cairn.llm import bpe, language, line_chunks, near_text, near_vector, ns_clusters, packing, phrases, quality, secret_scan, token_file, top_k
 from cairn.llm.common import table
 from cairn.session import new_path
 
@@ -79,6 +79,14 @@ def op10_near_vector(spark: SparkSession, sf: str) -> DataFrame:
     return near_vector.near_vectors(table(spark, sf, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op13_ns_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return ns_clusters.cluster_vectors(table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -91,5 +99,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_near_text": op9_near_text,
     "op10_near_vector": op10_near_vector,
+    "op12_phrases": op12_phrases,
+    "op13_ns_clusters": op13_ns_clusters,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op12_phrases": phrases.ORACLE_SQL,
+    "op13_ns_clusters": ns_clusters.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
