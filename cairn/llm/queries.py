@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, language, line_chunks, near_text, near_vector, ns_clusters, packing, phrases, quality, secret_scan, token_file, top_k
+from cairn.llm import bpe, html_text, language, line_chunks, near_text, near_vector, ns_clusters, packing, phrases, quality, secret_scan, token_file, top_k
 from cairn.llm.common import table
 from cairn.session import new_path
 
@@ -79,6 +79,10 @@ def op10_near_vector(spark: SparkSession, sf: str) -> DataFrame:
     return near_vector.near_vectors(table(spark, sf, "embeddings"))
 
 
+def op11_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
+
+
 def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(table(spark, sf, "documents"))
 
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_near_text": op9_near_text,
     "op10_near_vector": op10_near_vector,
+    "op11_html_text": op11_html_text,
     "op12_phrases": op12_phrases,
     "op13_ns_clusters": op13_ns_clusters,
 }
