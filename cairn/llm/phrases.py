@@ -26,13 +26,13 @@ from cairn.llm.common import cut, kept_by_worker, small_batches
 
 WORDS, LEAST, TOP, INSIDE = 3, 10, 2000, 50
 #: Bytes of text in a chunk, and in all open chunks of a task.
-CHUNK, OPEN = 1 << 22, 1 << 24
+CHUNK, OPEN = 1 << 21, 1 << 23
 #: Bytes of text whose fingerprints make one range on average.
-RANGE = 1 << 22
+RANGE = 1 << 21
 #: Moduli, bases for words and for runs of words, and bits of a fingerprint.
 PRIMES, LETTER, WORD, BITS = (2_147_483_647, 2_147_483_629), (911_382_323, 972_663_749), (772_657_111, 1_048_583_477), 50
 #: Entries that a range gathers before it looks which are frequent.
-GATHER = 1 << 20
+GATHER = 1 << 19
 
 _BREAKS = ".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(
