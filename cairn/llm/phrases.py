@@ -22,15 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, kept_by_worker, small_batches
+from cairn.llm.common import cut, kept_by_worker, release_kept, small_batches
 
 WORDS, LEAST, TOP, INSIDE = 3, 10, 2000, 50
 #: Bytes of text in a chunk, and in all open chunks of a task.
-CHUNK, OPEN = 1 << 21, 1 << 23
+CHUNK, OPEN = 3 << 20, 1 << 23
 #: Bytes of text whose fingerprints make one range on average.
 RANGE = 1 << 21
 #: Moduli, bases for words and for runs of words, and bits of a fingerprint.
-PRIMES, LETTER, WORD, BITS = (2_147_483_647, 2_147_483_629), (911_382_323, 972_663_749), (772_657_111, 1_048_583_477), 50
+PRIMES, LETTER, WORD, BITS = (2_147_483_647, 2_147_483_629), (911_382_323, 972_663_749), (772_657_111, 1_048_583_477), 44
 #: Entries that a range gathers before it looks which are frequent.
 GATHER = 1 << 19
 
@@ -173,6 +173,7 @@ _ENTRY, _PLACE = ("<u8", "<u4", "<u4", "u1"), ("<u4", "<u4", "u1")
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, language, words, bytes, body) rows from (language, text) rows."""
+    release_kept()
     open_texts: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
     task, made = TaskContext.get().partitionId(), 0
@@ -276,7 +277,7 @@ def _frequent(least: int):
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, words, n) rows of the places let through, from their chunks' bodies."""
+    """(lang, phrase, n) rows of the places let through, from their chunks' bodies."""
     for batch in batches:
         for language, body, found in zip(batch["lang"].to_pylist(), batch["body"], batch["found"].to_pylist()):
             b, starts, ends, _ = places(zstandard.ZstdDecompressor().decompress(body.as_py()))
@@ -288,8 +289,8 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 letters = b[np.repeat(begin - offsets[:-1], length) + np.arange(offsets[-1])]
                 phrases = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(letters)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([language] * len(at), pa.string()), phrases.cast(pa.string()), pa.array(words, pa.int32()), pa.array(count[s:s + (1 << 16)], pa.int64())],
-                    names=["lang", "phrase", "words", "n"])
+                    [pa.array([language] * len(at), pa.string()), phrases.cast(pa.string()), pa.array(count[s:s + (1 << 16)], pa.int64())],
+                    names=["lang", "phrase", "n"])
 
 
 def frequent_phrases(df: DataFrame, text: str = "text", language: str = "lang", longest: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -308,9 +309,9 @@ def frequent_phrases(df: DataFrame, text: str = "text", language: str = "lang",
         blocks = chunks.select("chunk", "lang", "body").mapInArrow(_blocks(longest, ranges), "range int, chunk bigint, rows int, block binary")
         through = cut(blocks.repartitionById(ranges, "range").mapInArrow(_frequent(least), "chunk bigint, rows int, block binary"))
         found = through.groupBy("chunk").agg(F.collect_list(F.struct("rows", "block")).alias("found"))
-        spelled = chunks.select("chunk", "lang", "body").join(found, "chunk").select("lang", "body", "found").mapInArrow(_spelled, "lang string, phrase string, words int, n bigint")
-        counted = spelled.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        return cut(counted), totals
+        spelled = chunks.select("chunk", "lang", "body").join(found, "chunk").select("lang", "body", "found").mapInArrow(_spelled, "lang string, phrase string, n bigint")
+        counted = spelled.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        return cut(counted.withColumn("words", F.size(F.split("phrase", " ", -1)))), totals
 
 
 def _part(words: Column, start, n) -> Column:
