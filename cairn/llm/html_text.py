@@ -228,10 +228,15 @@ def fit(pages: list[str], drawn: int = DRAWN, epochs: int = EPOCHS, seed: int =
 
 
 def sampled(df: DataFrame, html: str = "html", most: int = SAMPLE) -> list[str]:
-    """At most ``most`` pages of at most ``SAMPLE_CHARS`` characters, those with the smallest hashes."""
+    """At most ``most`` different pages of at most ``SAMPLE_CHARS`` characters, those with the smallest hashes.
+
+    Hashes are drawn first, so that tasks send whole pages to the driver for those alone.
+    """
     page = F.col(f"`{html}`")
-    some = df.select(page.alias("page")).filter((F.length(page) > 0) & (F.length(page) <= SAMPLE_CHARS))
-    return [r["page"] for r in some.orderBy(F.xxhash64("page"), "page").limit(most).collect()]
+    some = df.select(page.alias("page"), F.xxhash64(page).alias("h")).filter((F.length(page) > 0) & (F.length(page) <= SAMPLE_CHARS))
+    least = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(most).collect()]
+    picked = some.filter(F.col("h").isin(least)).groupBy("h").agg(F.min("page").alias("page"))
+    return [r["page"] for r in picked.orderBy("h").collect()]
 
 
 def main_text(blocks: list[Block], scores: np.ndarray) -> str:
