@@ -58,6 +58,28 @@ def without_repeated_chunks(rows):
     return out
 
 
+def without_repeated_runs(rows, long=50):
+    """{(key, text): text left} by brute force over all runs of lines, of any length."""
+    order = lambda k: (k is not None, k if k is not None else 0)
+    first, places = {}, []
+    for key, text in set(rows):
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip(" ")]
+        for i in full:
+            for j in full:
+                if j > i or j == i and lines[i].count(" ") >= long - 1:
+                    place = (order(key), _signed(text), i, j)
+                    run = "\n".join(lines[i:j + 1])
+                    first[run] = min(first.get(run, place), place)
+                    places.append((run, place, key, text))
+    gone = {}
+    for run, place, key, text in places:
+        if first[run] != place:
+            start = max(place[2], first[run][3] + 1) if first[run][:2] == place[:2] else place[2]
+            gone.setdefault((key, text), set()).update(range(start, place[3] + 1))
+    return {(k, t): "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((k, t), ())) for k, t in rows}
+
+
 def _signed(text):
     h = xxhash.xxh64(text.encode(), seed=42).intdigest()
     return h - (1 << 64) if h >> 63 else h

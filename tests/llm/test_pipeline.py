@@ -22,7 +22,7 @@ def test_stages(spark):
     assert all(d.columns == columns for d in got[:-1])
     texts = [{r["doc_id"]: r["text"] for r in d.collect()} for d in got[:-1]]
     assert texts[1] == texts[0]  # all clean languages stay
-    want = plain.without_repeated_chunks(sorted(texts[1].items()))
+    want = plain.without_repeated_runs(sorted(texts[1].items()))
     assert texts[2] == {k: want[k, t] for k, t in texts[1].items()}
     rows = sorted(texts[2].items())
     classes = plain.text_classes([t for _, t in rows])

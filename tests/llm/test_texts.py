@@ -129,28 +129,6 @@ def test_line_chunks_run_no_python(spark):
     assert "Python" not in d._jdf.queryExecution().executedPlan().toString()
 
 
-def without_repeated_runs(rows):
-    """{(key, text): text left} by brute force over all runs of lines, of any length."""
-    order = lambda k: (k is not None, k if k is not None else 0)
-    first, places = {}, []
-    for key, text in set(rows):
-        lines = text.split("\n")
-        full = [i for i, x in enumerate(lines) if x.strip(" ")]
-        for i in full:
-            for j in full:
-                if j > i or j == i and lines[i].count(" ") >= line_chunks.LONG - 1:
-                    place = (order(key), plain._signed(text), i, j)
-                    run = "\n".join(lines[i:j + 1])
-                    first[run] = min(first.get(run, place), place)
-                    places.append((run, place, key, text))
-    gone = {}
-    for run, place, key, text in places:
-        if first[run] != place:
-            start = max(place[2], first[run][3] + 1) if first[run][:2] == place[:2] else place[2]
-            gone.setdefault((key, text), set()).update(range(start, place[3] + 1))
-    return {(k, t): "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((k, t), ())) for k, t in rows}
-
-
 def runs_table():
     rng, rows = random.Random(8), []
     for n in (3, 4, 5, 6, 8, 12):  # passages of 12 words a line between lines found nowhere else
@@ -169,7 +147,7 @@ def runs_table():
 def test_repeated_runs_equal_brute_force(spark):
     rows = runs_table()
     got = line_chunks.remove_repeated_runs(frame(spark, short([*rows, (300, None)])), removed="gone")
-    want = without_repeated_runs(rows)
+    want = plain.without_repeated_runs(rows)
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted([(str(k), want[k, t]) for k, t in rows] + [("300", "None")])
     later = [(k, t) for k, t in rows if k is not None and k >= 3000 and k % 2]
     assert len(later) == 36 and all(want[k, t].count("\n") == 5 for k, t in later)  # of each passage nothing is left
@@ -179,6 +157,26 @@ def test_repeated_runs_equal_brute_force(spark):
     assert line_chunks.remove_repeated_runs(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("marks", [1 << 23, 8])
+def test_repeated_runs_of_random_lines(spark, monkeypatch, marks):
+    monkeypatch.setattr(line_chunks, "MARKS", marks)
+    rng, rows = random.Random(5), []
+    lines = [*"abcdefgh", "", " ", "i j", "long " * 60, "other " * 49 + "x"]
+    for i in range(150):
+        rows.append((i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 14)))))
+    rows += [(i, rng.choice(rows)[1]) for i in range(150, 220)]  # copies
+    rows += [(i, rng.choice(rows)[1] + "\n" + rng.choice(rows)[1]) for i in range(220, 260)]  # texts end to end
+    long = "\n".join(f"line {k}" for k in range(5000))
+    want = plain.without_repeated_runs(rows) | {(900, long): long, (901, long + "\nend"): "end"}
+    rows += [(900, long), (901, long + "\nend"), *rows[:5]]  # a very long text, repeated rows
+    frame_ = spark.createDataFrame([(k, t, 1, 2, "s") for k, t in rows], "doc_id long, text string, bits__ int, Bucket__ int, found__ string")
+    got = line_chunks.remove_repeated_runs(frame_)
+    assert got.columns == frame_.columns
+    found = sorted((r["doc_id"], r["text"]) for r in got.collect())
+    assert [f for f in found if f[0] != 901] == sorted((k, want[k, t]) for k, t in rows if k != 901)
+    assert [t for k, t in found if k == 901] in (["end"], ["line 4999\nend"])
+
+
 # ---- near duplicates
 
 
