@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 NEAREST = StructType([StructField("pick", IntegerType()), StructField("d", DoubleType())])
 OFFERS = ArrayType(StructType([
@@ -17,6 +17,7 @@ OFFERS = ArrayType(StructType([
     StructField("j", IntegerType()), StructField("cost", DoubleType())]))
 OFFERS_ARROW = pa.list_(pa.struct([("side", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("cost", pa.float64())]))
 INDEXES = ArrayType(IntegerType())
+LINKS = ArrayType(StructType([StructField("u", StringType()), StructField("v", StringType())]))
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
@@ -114,6 +115,46 @@ def all_merges(tile: pa.Array, sizes: pa.Array) -> pa.Array:
     return pa.array(out, OFFERS_ARROW)
 
 
+@arrow_udf(INDEXES)
+def hits_within(a: pa.Array, b: pa.Array, eps: pa.Array) -> pa.Array:
+    """For every vector of the first tile, how many of the second are within eps."""
+    out = [(np.sqrt(sq_distances(x, y)) <= e.as_py()).sum(axis=1).astype(np.int32) for (x, y), e in zip(_tiles(a, b), eps)]
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+@arrow_udf(INDEXES)
+def first_within(a: pa.Array, b: pa.Array, eps: pa.Array) -> pa.Array:
+    """For every vector of the first tile, the first row of the second within eps, or null."""
+    out = []
+    for (x, y), e in zip(_tiles(a, b), eps):
+        close = np.sqrt(sq_distances(x, y)) <= e.as_py()
+        out.append([int(j) if hit else None for j, hit in zip(close.argmax(axis=1), close.any(axis=1))])
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+@arrow_udf(LINKS)
+def linking_pairs(a: pa.Array, names_a: pa.Array, b: pa.Array, names_b: pa.Array, eps: pa.Array) -> pa.Array:
+    """Pairs of names, as few as connect all names of two tiles that have vectors within eps of each other."""
+    out = []
+    for (x, y), p, q, e in zip(_tiles(a, b), names_a, names_b, eps):
+        p, q = p.as_py(), q.as_py()
+        up: dict = {}
+
+        def top(v):
+            while (w := up.setdefault(v, v)) != v:
+                v = w
+            return v
+
+        rows = []
+        for i, j in zip(*np.nonzero(np.sqrt(sq_distances(x, y)) <= e.as_py())):
+            u, v = top(p[i]), top(q[j])
+            if u != v:
+                up[v] = u
+                rows.append({"u": p[i], "v": q[j]})
+        out.append(rows)
+    return pa.array(out, pa.list_(pa.struct([("u", pa.string()), ("v", pa.string())])))
+
+
 @arrow_udf(INDEXES)
 def neighbours_inside(tile: pa.Array, eps: pa.Array) -> pa.Array:
     """For every vector of a tile, how many of the tile are within eps, itself included."""

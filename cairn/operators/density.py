@@ -5,6 +5,11 @@ eps: all its points are neighbours, so from ``min_points`` points on they are co
 points of one group without any counting, however many they are.  A loose ball
 is wider but holds at most ``leaf_rows`` points, which one task compares.
 
+Balls come from a tree over a bounded sample first, which every point descends at once, and
+from splitting further where that leaves them too large.  Each point keeps its distances to a few far-apart pivots, each
+ball their limits: two balls have nothing to do with each other if any pivot tells them
+apart.  What is left is compared tile by tile, which answers with at most one link per point.
+
 Only points still short of neighbours ask other balls; a ball wholly within or
 wholly beyond eps answers as a whole, and the rest is compared point by point,
 with the points of a crowded ball dealt out evenly over many tasks.
@@ -12,38 +17,125 @@ with the points of a crowded ball dealt out evenly over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.kernels import closest, groups_inside, neighbours_inside
+from cairn.functions.kernels import closest, first_within, groups_inside, hits_within, linking_pairs, matrix, neighbours_inside, sq_distances
 from cairn.functions.vectors import distance
-from cairn.operators.balls import LEAF, SLACK, Cover, cover, leaf, tile_pairs, widened
+from cairn.operators.balls import FAN, LEAF, PIVOTS, SLACK, Cover, cover, leaf, tile_pairs, widened
 from cairn.operators.checks import require_numbers
 from cairn.operators.graph import components
 from cairn.session import cut
 
 MIN_POINTS = 5  # fixed value: a core point's neighbours within eps, itself included
 SPREAD = 4096  # points of one ball compared by one task
+SAMPLE = 1 << 13  # points that the first balls and the pivots are taken from
 
 
 def _tight(r: Column, eps: float) -> Column:
     return 2 * r <= eps
 
 
+def _tree(sample: np.ndarray, rows: np.ndarray, most: int, rng) -> tuple | None:
+    """(seeds, children) of a node over ``rows`` of the sample; null for a leaf of at most ``most`` rows or one place."""
+    if len(rows) <= most or (sample[rows] == sample[rows[0]]).all():
+        return None
+    places = np.unique(sample[rows], axis=0)
+    seeds = places[rng.choice(len(places), size=min(FAN, len(places), -(-len(rows) // most) + 1), replace=False)]
+    near = sq_distances(sample[rows], seeds).argmin(axis=1)
+    return seeds, [_tree(sample, rows[near == k], most, rng) for k in range(len(seeds))]
+
+
+def _far_apart(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` points of the sample, each the farthest from those before it."""
+    picked = [int(sq_distances(sample[:1], sample)[0].argmax())]
+    least = sq_distances(sample[picked], sample)[0]
+    while len(picked) < n:
+        picked.append(int(least.argmax()))
+        least = np.minimum(least, sq_distances(sample[picked[-1:]], sample)[0])
+    return sample[picked]
+
+
+def first_balls(points: DataFrame, leaf_rows: int) -> DataFrame:
+    """``grp, id, x, t, ball, d, parent`` of every point: a leaf of the sample's tree and distances to the pivots.
+
+    The tree's leaves are at most as many as the sample has points, so their pairs are of bounded number too.
+    """
+    kind = points.schema["point_id"].dataType.simpleString()
+    work = points.select(F.lit(0).alias("grp"), F.col("point_id").alias("id"), F.col("features").alias("x"))
+    shape = f"grp int, id {kind}, x array<double>, t array<double>, ball string, d double, parent string"
+    number = work.count()
+    drawn = work.select("x", F.xxhash64("id").alias("h")).orderBy("h", "x").limit(SAMPLE).toArrow()["x"].combine_chunks()
+    sample = matrix(drawn)
+    if not len(sample):
+        return points.sparkSession.createDataFrame([], shape)
+    most = max(4, int(0.5 * leaf_rows * len(sample) / max(number, 1)))
+    tree = _tree(sample, np.arange(len(sample)), most, np.random.default_rng(1))
+    pivots = _far_apart(sample, PIVOTS)
+
+    def descend(node, x: np.ndarray, rows: np.ndarray, path: str, out: list, d: np.ndarray) -> None:
+        if node is None or not len(rows):
+            for r in rows.tolist():
+                out[r] = path
+            return
+        seeds, children = node
+        apart = sq_distances(x[rows], seeds)
+        near = apart.argmin(axis=1)
+        d[rows] = np.sqrt(apart[np.arange(len(rows)), near])
+        for k, child in enumerate(children):
+            descend(child, x, rows[near == k], path + chr(97 + k), out, d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b["x"])
+            paths, d = [""] * len(x), np.full(len(x), np.inf)
+            descend(tree, x, np.arange(len(x)), "", paths, d)
+            t = np.sqrt(sq_distances(x, pivots))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * PIVOTS), pa.array(t.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [b["grp"], b["id"], b["x"], rows, pa.array(paths), pa.array(d), pa.array([""] * len(x))], names=["grp", "id", "x", "t", "ball", "d", "parent"])
+
+    return cut(work.mapInArrow(run, shape))
+
+
 def neighbourhood(points: DataFrame, eps: float, leaf_rows: int) -> Cover:
     """Tight and loose balls, and the pairs of them that come within eps."""
+    reach = eps * (1 + SLACK)
+
+    def told_apart(one: str, other: str) -> Column:
+        gaps = F.zip_with(f"lo_{one}", f"hi_{other}", lambda low, high: low * (1 - SLACK) - high * (1 + SLACK))
+        return F.exists(gaps, lambda g: g > reach)
+
     def near(pairs: DataFrame) -> DataFrame:
-        return pairs.filter(F.col("gap") - F.col("r_a") - F.col("r_b") <= eps * (1 + SLACK))
+        return pairs.filter((F.col("gap") - F.col("r_a") - F.col("r_b") <= reach) & ~told_apart("a", "b") & ~told_apart("b", "a"))
 
-    work = points.select(
-        F.lit(0).alias("grp"), F.col("point_id").alias("id"), F.col("features").alias("x"))
-    return cover(work, lambda n, r: _tight(r, eps) | (n <= leaf_rows), near)
+    work = first_balls(points, leaf_rows)
+    roots = points.sparkSession.createDataFrame([(0, "", "")], "grp int, a string, b string")
+    return cover(work, lambda n, r: _tight(r, eps) | (n <= leaf_rows), near, roots)
 
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    """Both directions of every pair of two different balls."""
-    two = pairs.filter(F.col("a") != F.col("b")).select("a", "b")
-    return two.unionByName(two.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _sized(found: Cover) -> DataFrame:
+    """``a, b, n_a, n_b``: both directions of every pair of two different balls, with their points."""
+    two = found.pairs.filter(F.col("a") != F.col("b")).select("a", "b")
+    for s in "ab":
+        two = two.join(found.balls.select(F.col("ball").alias(s), F.col("n").alias(f"n_{s}")), s)
+    return cut(two.unionByName(two.select(*[F.col(f"{c}{y}").alias(f"{c}{x}") for c in ("", "n_") for x, y in ("ab", "ba")])))
+
+
+def _beside(asking: DataFrame, pairs: DataFrame, others: DataFrame, answer) -> DataFrame:
+    """``ids, v, more`` of the asking points of each pair of balls: the tile function's answers, and what the other tile carries.
+
+    ``asking`` holds ``id, x, ball``, ``others`` ``x, ball, label``; both balls have few points, and rows of ``others`` come by label.
+    """
+    a = asking.groupBy("ball").agg(F.collect_list(F.struct("id", "x")).alias("p")).select(F.col("ball").alias("a"), F.col("p.id").alias("ids"), F.col("p.x").alias("xs"))
+    b = others.groupBy("ball").agg(F.sort_array(F.collect_list(F.struct("label", "x"))).alias("p")).select(F.col("ball").alias("b"), F.col("p.label").alias("more"), F.col("p.x").alias("ys"))
+    return pairs.join(a, "a").join(b, "b").select("ids", answer("xs", "ys").alias("v"), "more")
 
 
 def _reached(asking: DataFrame, pairs: DataFrame, shape: DataFrame, others: DataFrame, eps: float) -> DataFrame:
@@ -83,7 +175,7 @@ def _per_tile(points: DataFrame, answer) -> DataFrame:
     ).select("ball", "ids", "o.id", "o.v")
 
 
-def _core(found: Cover, eps: float, min_points: int) -> DataFrame:
+def _core(found: Cover, sized: DataFrame, eps: float, min_points: int, leaf_rows: int) -> DataFrame:
     """``id, x, ball, tight, core`` of every point."""
     shape = found.balls.select("ball", "n", "pivot", "r")
     pts = cut(found.points.join(
@@ -91,15 +183,18 @@ def _core(found: Cover, eps: float, min_points: int) -> DataFrame:
     ).select("id", "x", "ball", "n", "tight"))
     inside = _per_tile(pts.filter(~F.col("tight")), lambda xs: neighbours_inside(xs, F.lit(eps)))
     counted = cut(pts.join(inside.select("id", "v"), "id", "left").select(
-        "id", "x", "ball", "tight", F.when(F.col("tight"), F.col("n")).otherwise(F.col("v")).alias("own")))
-    if found.pairs.filter(F.col("a") != F.col("b")).isEmpty():
-        return counted.select("id", "x", "ball", "tight", (F.col("own") >= min_points).alias("core"))
+        "id", "x", "ball", "tight", "n", F.when(F.col("tight"), F.col("n")).otherwise(F.col("v")).alias("own")))
     short = counted.filter(F.col("own") < min_points)
-    hits = _reached(short, _both_ways(found.pairs), shape.drop("n"),
-                    counted.select("id", "x", "ball", F.lit("").alias("party")), eps)
+    few = counted.filter(F.col("n") <= leaf_rows).select("x", "ball", F.lit(0).alias("label"))
+    found_ = _beside(short, sized.filter(F.col("n_b") <= leaf_rows).select("a", "b"), few, lambda x, y: hits_within(x, y, F.lit(eps)))
+    hits = found_.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("v").alias("hits"))).alias("o")).select("o.id", F.col("o.hits").cast("long").alias("hits"))
+    crowds = sized.filter(F.col("n_b") > leaf_rows).select("a", "b")
+    if not crowds.isEmpty():
+        many = counted.filter(F.col("n") > leaf_rows).select("id", "x", "ball", F.lit("").alias("party"))
+        hits = hits.unionByName(_reached(short, crowds, shape.drop("n"), many, eps).select("id", "hits"))
     total = F.col("own") + F.coalesce("hits", F.lit(0))
-    return counted.join(hits.select("id", "hits"), "id", "left").select(
-        "id", "x", "ball", "tight", (total >= min_points).alias("core"))
+    return counted.join(hits.groupBy("id").agg(F.sum("hits").alias("hits")), "id", "left").select(
+        "id", "x", "ball", "tight", "n", (total >= min_points).alias("core"))
 
 
 def core_points(points: DataFrame, eps: float, min_points: int = MIN_POINTS, leaf_rows: int = LEAF) -> DataFrame:
@@ -109,7 +204,7 @@ def core_points(points: DataFrame, eps: float, min_points: int = MIN_POINTS, lea
     eps?
     """
     found = neighbourhood(points, eps, leaf_rows)
-    return _core(found, eps, min_points).select(F.col("id").alias("point_id"), "core")
+    return _core(found, _sized(found), eps, min_points, leaf_rows).select(F.col("id").alias("point_id"), "core")
 
 
 def _parties(cores: DataFrame, eps: float) -> DataFrame:
@@ -117,20 +212,43 @@ def _parties(cores: DataFrame, eps: float) -> DataFrame:
     loose = cores.filter(~F.col("tight"))
     inside = _per_tile(loose, lambda xs: groups_inside(xs, F.lit(eps))).select(
         "id", F.concat_ws("/", "ball", F.get("ids", "v").cast("string")).alias("party"))
-    return cores.join(inside, "id", "left").select("id", "x", "ball", F.coalesce("party", "ball").alias("party"))
+    return cores.join(inside, "id", "left").select("id", "x", "ball", "n", F.coalesce("party", "ball").alias("party"))
+
+
+def _linked(cores: DataFrame, shape: DataFrame, sized: DataFrame, eps: float, leaf_rows: int) -> DataFrame:
+    """Pairs of parties ``(u, v)``, enough to connect all that hold core points within eps of each other.
+
+    Balls are compared tile by tile where one of the two has at most ``leaf_rows`` points, so the work is
+    linear in the other.  Two larger ones are tight, one party each, and need one link at most.
+    """
+    sized = sized.filter(F.col("a") < F.col("b"))
+    small = (F.col("n_a") <= leaf_rows) | (F.col("n_b") <= leaf_rows)
+    large = sized.filter(~small).select("a", "b")
+    linked = _linked_tiles(cores, sized.filter(small).select("a", "b"), eps, leaf_rows)
+    return linked if large.isEmpty() else linked.unionByName(_linked_crowds(cores, shape, large, eps, leaf_rows))
+
+
+def _linked_tiles(cores: DataFrame, pairs: DataFrame, eps: float, leaf_rows: int) -> DataFrame:
+    """Links between parties of two balls, by tiles of at most about ``leaf_rows`` points."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / leaf_rows))
+    dealt = cores.withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    tile = cut(dealt.groupBy("ball", "part").agg(F.collect_list("x").alias("xs"), F.collect_list("party").alias("names")))
+
+    def side(s: str) -> DataFrame:
+        return tile.select(F.col("ball").alias(s), F.col("xs").alias(f"xs_{s}"), F.col("names").alias(f"names_{s}"))
+
+    links = pairs.join(side("a"), "a").join(side("b"), "b").select(linking_pairs("xs_a", "names_a", "xs_b", "names_b", F.lit(eps)).alias("l"))
+    return links.select(F.explode("l").alias("l")).select("l.u", "l.v").distinct()
 
 
-def _linked(cores: DataFrame, shape: DataFrame, pairs: DataFrame, eps: float, leaf_rows: int) -> DataFrame:
-    """Pairs of parties ``(u, v)`` that hold core points within eps of each other.
+def _linked_crowds(cores: DataFrame, shape: DataFrame, across: DataFrame, eps: float, leaf_rows: int) -> DataFrame:
+    """Pairs of parties that hold core points within eps of each other.
 
     Parties whose first points are within eps are linked at once.  Of the other
     pairs, those already joined through further parties need no look; what is
     left is searched by splitting the points that face each other into ever
     smaller balls until two within eps turn up or none can.
     """
-    across = pairs.filter(F.col("a") != F.col("b"))
-    if across.isEmpty():
-        return across.select(F.col("a").alias("u"), F.col("b").alias("v"))
     party = cut(
         cores.groupBy("ball", "party").agg(F.min_by("x", "id").alias("some")).join(shape, "ball")
         .withColumn("r", widened(F.col("r"))))
@@ -187,19 +305,25 @@ def dbscan(points: DataFrame, eps: float, min_points: int = MIN_POINTS, leaf_row
     """
     require_numbers(points)
     found = neighbourhood(points, eps, leaf_rows)
-    shape = found.balls.select("ball", "pivot", "r")
-    state = cut(_core(found, eps, min_points))
+    shape, sized = found.balls.select("ball", "pivot", "r"), _sized(found)
+    state = cut(_core(found, sized, eps, min_points, leaf_rows))
     cores = cut(_parties(state.filter("core"), eps))
-    named = components(_linked(cores, shape, found.pairs.select("a", "b"), eps, leaf_rows))
+    named = components(_linked(cores, shape, sized, eps, leaf_rows))
     first = cores.groupBy("party").agg(F.min("id").alias("first"))
     placed = first.join(named, F.col("party") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "party"))
     names = placed.groupBy("component").agg(F.min("first").alias("label"))
     labels = cut(placed.join(names, "component").select("party", "label"))
-    labelled = cores.join(labels, "party").select("id", "label")
+    labelled = cut(cores.join(labels, "party").select("id", "x", "ball", "n", "party", "label"))
     border = state.filter(~F.col("core"))
-    itself = found.balls.select(F.col("ball").alias("a"), F.col("ball").alias("b"))
-    reach = _reached(border, _both_ways(found.pairs).unionByName(itself), shape, cores, eps)
-    joined = reach.join(labels, "party").groupBy("id").agg(F.min("label").alias("label"))
-    return state.select("id").join(labelled.unionByName(joined), "id", "left").select(
+    itself = found.balls.select(F.col("ball").alias("a"), F.col("ball").alias("b"), F.col("n").alias("n_b"))
+    pairs = sized.select("a", "b", "n_b").unionByName(itself)
+    reach = _beside(border, pairs.filter(F.col("n_b") <= leaf_rows).select("a", "b"), labelled.filter(F.col("n") <= leaf_rows), lambda x, y: first_within(x, y, F.lit(eps)))
+    joined = reach.select("more", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("v").alias("at"))).alias("o")).filter("o.at IS NOT NULL").select("o.id", F.get("more", F.col("o.at")).alias("label"))
+    crowds = pairs.filter(F.col("n_b") > leaf_rows).select("a", "b")
+    if not crowds.isEmpty():
+        hit = _reached(border, crowds, shape, labelled.filter(F.col("n") > leaf_rows).select("id", "x", "ball", "party"), eps)
+        joined = joined.unionByName(hit.join(labels, "party").select("id", "label"))
+    joined = joined.groupBy("id").agg(F.min("label").alias("label"))
+    return state.select("id").join(labelled.select("id", "label").unionByName(joined), "id", "left").select(
         F.col("id").alias("point_id"), "label")

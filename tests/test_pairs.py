@@ -55,6 +55,23 @@ def test_dbscan(spark, seed, d, eps, leaf_rows):
     assert [cores[i] for i in range(len(x))] == list(core)
 
 
+@pytest.mark.parametrize("d,eps", [(2, 0.3), (8, 1.5)])
+def test_dbscan_beyond_the_sample(spark, monkeypatch, d, eps):
+    monkeypatch.setattr(density, "SAMPLE", 24)  # so that balls of the sample's tree have to split further
+    x = clumps(np.random.default_rng(9), 240, d)
+    expected, core = brute_dbscan(x, eps)
+    got = {r.point_id: r.label for r in density.dbscan(frame(spark, x), eps, leaf_rows=6).collect()}
+    assert [got[i] for i in range(len(x))] == expected
+
+
+def test_compared_pairs_of_points(spark):
+    x = clumps(np.random.default_rng(3), 400, 2)
+    found = density.neighbourhood(frame(spark, x), 0.2, 16)
+    n = {r.ball: r.n for r in found.balls.collect()}
+    compared = sum(n[r.a] * n[r.b] if r.a != r.b else n[r.a] ** 2 / 2 for r in found.pairs.collect() if max(n[r.a], n[r.b]) <= 16)
+    assert sum(n.values()) == 400 and compared < 0.1 * 400 * 400 / 2
+
+
 def test_dbscan_border_point_between_two_groups_and_exact_eps(spark):
     left = [[-3.0 - 0.01 * i, 0.0] for i in range(5)]
     right = [[3.0 + 0.01 * i, 0.0] for i in range(5)]
