@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import bpe, html_text, language, line_chunks, near_text, near_vector, ns_clusters, packing, phrases, quality, secret_scan, token_file, top_k
 from cairn.llm.common import table
+from cairn.llm.sql_checks import ORACLE_SQL as ORACLE_SQL  # re-exported: the entry point reads both
 from cairn.session import new_path
 
 
@@ -107,7 +108,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_phrases": op12_phrases,
     "op13_ns_clusters": op13_ns_clusters,
 }
-ORACLE_SQL: dict[str, str] = {
-    "op12_phrases": phrases.ORACLE_SQL,
-    "op13_ns_clusters": ns_clusters.ORACLE_SQL,
-}
