@@ -5,7 +5,9 @@ anywhere in the data: Ward's cost is reducible, so the merges found this way are
 those of the one-by-one method (Bruynooghe 1977, Murtagh 1983).  One merge history
 serves every number of clusters.
 
-A round costs a partner search among the clusters still alive.  Once they fit one
+A table keeps each cluster's cheapest partner.  As the cost is reducible, a merge makes no cluster cheaper for others than
+its parts were, so after a round only the merged clusters and those whose partner was merged search again,
+and a search that finds a cluster cheaper than that one's own partner tells it so.  Once the clusters alive fit one
 tile, a fixed number of rows however large the seed was, the last merges are made
 in one go.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.kernels import all_merges, cheapest_partner
-from cairn.operators.balls import LEAF, SLACK, cover, leaf, tile_pairs
+from cairn.operators.balls import LEAF, PIVOTS, SLACK, cover, leaf, tile_pairs
 from cairn.operators.checks import require_numbers
 from cairn.operators.graph import components
 from cairn.session import cut, forget
@@ -29,7 +31,7 @@ def _cost(n: Column, m: Column, d: Column) -> Column:
 
 
 def _may_be_cheapest(pairs: DataFrame) -> DataFrame:
-    """Keep pairs that could hold the cheapest partner of a cluster of either ball."""
+    """Keep pairs that could hold the cheapest partner of an asking cluster of either ball."""
     apart = F.greatest(F.col("gap") - F.col("r_a") - F.col("r_b"), F.lit(0.0))
     low = _cost(F.col("w_min_a"), F.col("w_min_b"), apart)
     high = _cost(F.col("w_max_a"), F.col("w_max_b"), F.col("gap") + F.col("r_a") + F.col("r_b"))
@@ -42,14 +44,16 @@ def _may_be_cheapest(pairs: DataFrame) -> DataFrame:
     )
     top_a = ceilings.select("grp", F.col("ball").alias("a"), F.col("top").alias("top_a"))
     top_b = ceilings.select("grp", F.col("ball").alias("b"), F.col("top").alias("top_b"))
-    useful = (F.col("low") <= F.col("top_a")) | (F.col("low") <= F.col("top_b"))
+    asks_a, asks_b = (F.get(f"hi_{s}", F.lit(0)) > 0 for s in "ab")
+    useful = (asks_a & (F.col("low") <= F.col("top_a"))) | (asks_b & (F.col("low") <= F.col("top_b")))
     return priced.join(top_a, ["grp", "a"]).join(top_b, ["grp", "b"]).filter(
-        useful | (F.col("a") == F.col("b")))
+        useful | (asks_a & (F.col("a") == F.col("b"))))
 
 
 def _best_partners(live: DataFrame, leaf_rows: int) -> DataFrame:
-    """Cheapest merge ``(cost, lo, hi)`` of every live cluster."""
-    pts = live.select(F.lit(0).alias("grp"), "id", F.col("centroid").alias("x"), F.col("n").alias("w"))
+    """Cheapest merge ``(cost, lo, hi)``, among all live clusters, of every one that ``asks``."""
+    asks = F.array_repeat(F.col("asks").cast("double"), PIVOTS)  # a ball's limits say if any of its clusters asks
+    pts = live.select(F.lit(0).alias("grp"), "id", F.col("centroid").alias("x"), F.col("n").alias("w"), asks.alias("t"))
     pairs = tile_pairs(cover(pts, leaf(leaf_rows), _may_be_cheapest))
     offers = pairs.select(
         "ids_a", "ids_b",
@@ -57,7 +61,12 @@ def _best_partners(live: DataFrame, leaf_rows: int) -> DataFrame:
     mine = F.when(F.col("o.side") == 0, F.get("ids_a", "o.i")).otherwise(F.get("ids_b", "o.i"))
     other = F.when(F.col("o.side") == 0, F.get("ids_b", "o.j")).otherwise(F.get("ids_a", "o.j"))
     merge = F.struct(F.col("o.cost").alias("cost"), F.least(mine, other).alias("lo"), F.greatest(mine, other).alias("hi"))
-    return offers.select(mine.alias("id"), merge.alias("best")).groupBy("id").agg(F.min("best").alias("best"))
+    offers = offers.select(mine.alias("id"), merge.alias("best")).join(live.filter("asks").select("id"), "id", "left_semi")
+    return offers.groupBy("id").agg(F.min("best").alias("best"))
+
+
+def _ends(merges: DataFrame) -> DataFrame:
+    return merges.select(F.col("lo").alias("end")).unionByName(merges.select(F.col("hi").alias("end")))
 
 
 def _weighted_mean(live: DataFrame) -> DataFrame:
@@ -68,18 +77,24 @@ def _weighted_mean(live: DataFrame) -> DataFrame:
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("dim", "c")))["c"].alias("centroid"))
 
 
-def history(points: DataFrame, leaf_rows: int = LEAF) -> DataFrame:
+def history(points: DataFrame, leaf_rows: int = LEAF, log: list[tuple[int, int]] | None = None) -> DataFrame:
     """All merges ``(cost, lo, hi)``; a cluster goes by the smallest point id in it.
 
-    Features that are null or no finite numbers raise.
+    Features that are null or no finite numbers raise.  ``log`` gets, for each round, how many clusters
+    searched and how many were alive.
     """
     require_numbers(points)
     same = points.groupBy("features").agg(F.min("point_id").alias("id"), F.count("*").alias("n"))
-    live = cut(same.select("id", "n", F.col("features").alias("centroid")))
+    live, table = cut(same.select("id", "n", F.col("features").alias("centroid"), F.lit(True).alias("asks"))), None
     copies = points.join(same.select("features", "id"), "features").filter(F.col("point_id") != F.col("id"))
     merges = [copies.select(F.lit(0.0).alias("cost"), F.col("id").alias("lo"), F.col("point_id").alias("hi"))]
     while live.limit(leaf_rows + 1).count() > leaf_rows:
-        best = cut(_best_partners(live, leaf_rows))
+        if log is not None:
+            log.append((live.filter("asks").count(), live.count()))
+        asked = cut(_best_partners(live, leaf_rows))
+        told = asked.select(F.when(F.col("id") == F.col("best.lo"), F.col("best.hi")).otherwise(F.col("best.lo")).alias("id"), "best")
+        every = asked.unionByName(told) if table is None else asked.unionByName(told).unionByName(table)
+        best = cut(every.groupBy("id").agg(F.min("best").alias("best")))
         mutual = (
             best.groupBy("best").agg(F.count("*").alias("sides")).filter(F.col("sides") == 2).select("best.*")
         )
@@ -87,12 +102,18 @@ def history(points: DataFrame, leaf_rows: int = LEAF) -> DataFrame:
         if found.isEmpty():
             raise RuntimeError("no two clusters are each other's cheapest partner; are all features numbers?")
         merges.append(found)
-        lo = F.coalesce("lo", F.col("id"))
+        lo, ends = F.coalesce("lo", F.col("id")), _ends(found)
+        left = best
+        for end in ("id", "best.lo", "best.hi"):  # partners stay where none of the two was merged
+            left = left.join(ends, F.col(end) == F.col("end"), "left_anti")
+        last, table = table, cut(left)
         renamed = live.join(found.select("lo", F.col("hi").alias("id")), "id", "left").select(lo.alias("id"), "n", "centroid")
         touched = renamed.join(found.select(F.col("lo").alias("id")), "id", "left_semi")
         rest = renamed.join(found.select(F.col("lo").alias("id")), "id", "left_anti")
-        before, live = live, cut(rest.unionByName(_weighted_mean(touched)))
-        forget(before, best)
+        settled = table.select("id", F.lit(False).alias("again"))
+        merged = rest.unionByName(_weighted_mean(touched)).join(settled, "id", "left")
+        before, live = live, cut(merged.select("id", "n", "centroid", F.coalesce("again", F.lit(True)).alias("asks")))
+        forget(before, best, asked, last)
     merges.append(_last_merges(live))
     return reduce(DataFrame.unionByName, merges)
 

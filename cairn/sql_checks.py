@@ -91,6 +91,42 @@ met AS (SELECT k, cluster_id, n, radius, diameter, n / (radius * radius) AS dens
   FROM rad JOIN dia USING (k, cluster_id))"""
 
 
+#: Merges that the SQL of a loop has room for, each a few common tables; the tables of the smallest two sizes need fewer.
+STEPS = 110
+
+
+def _ward(k: int) -> str:
+    """The cheapest merge, one after the other, until ``k`` clusters are left."""
+    parts = ["w0 AS MATERIALIZED (SELECT min(vec_id) AS id, count(*) AS n, embedding::DOUBLE[] AS c, list(vec_id) AS m FROM embeddings WHERE label < 2 GROUP BY embedding)"]
+    for i in range(STEPS):
+        parts.append(f"""p{i} AS MATERIALIZED (SELECT a.id AS lo, b.id AS hi, a.n * b.n / (a.n + b.n) * list_distance(a.c, b.c) ^ 2 AS cost
+            FROM w{i} a JOIN w{i} b ON a.id < b.id WHERE (SELECT count(*) FROM w{i}) > {k} ORDER BY cost, lo, hi LIMIT 1)""")
+        parts.append(f"""w{i + 1} AS MATERIALIZED (SELECT id, n, c, m FROM w{i} WHERE id NOT IN (SELECT lo FROM p{i}) AND id NOT IN (SELECT hi FROM p{i})
+            UNION ALL SELECT lo, a.n + b.n, list_transform(list_zip(a.c, b.c), lambda z: (a.n * z[1] + b.n * z[2]) / (a.n + b.n)), list_concat(a.m, b.m)
+            FROM p{i} JOIN w{i} a ON a.id = lo JOIN w{i} b ON b.id = hi)""")
+    return f"""WITH {", ".join(parts)}
+        SELECT unnest(m) AS point_id, (dense_rank() OVER (ORDER BY id) - 1)::INT AS cluster_id FROM w{STEPS}"""
+
+
+def _merge_passes(sets: str, alpha: float) -> str:
+    """The first pair in list order that fits, one after the other; a pass ends when none is left, and its merged sets join the next."""
+    spread = "list_avg(list_transform(list_zip(s, q), lambda z: z[2] / n - (z[1] / n) * (z[1] / n)))"
+    both = """list_avg(list_transform(list_zip(a.s, b.s, a.q, b.q), lambda z: (z[3] + z[4]) / (a.n + b.n) - ((z[1] + z[2]) / (a.n + b.n)) * ((z[1] + z[2]) / (a.n + b.n))))"""
+    parts = [
+        sets, "g0 AS MATERIALIZED (SELECT 0 AS g)",
+        f"""l0 AS MATERIALIZED (SELECT 0 AS gen, row_number() OVER (ORDER BY set_key) AS ord, n, s, q, {spread} AS v, [set_key] AS m FROM (
+            SELECT set_key, any_value(n) AS n, list(s ORDER BY dim) AS s, list(q ORDER BY dim) AS q FROM cs GROUP BY set_key))"""]
+    for i in range(STEPS):
+        parts.append(f"""p{i} AS MATERIALIZED (SELECT a.gen AS ga, a.ord AS oa, b.gen AS gb, b.ord AS ob FROM l{i} a JOIN l{i} b ON a.gen < b.gen OR (a.gen = b.gen AND a.ord < b.ord)
+            WHERE a.gen <= (SELECT g FROM g{i}) AND b.gen <= (SELECT g FROM g{i}) AND {both} < {alpha} * greatest(a.v, b.v) ORDER BY ga, oa, gb, ob LIMIT 1)""")
+        parts.append(f"""n{i} AS MATERIALIZED (SELECT (SELECT g FROM g{i}) + 1 AS gen, {1000 + i} AS ord, a.n + b.n AS n, list_transform(list_zip(a.s, b.s), lambda z: z[1] + z[2]) AS s,
+            list_transform(list_zip(a.q, b.q), lambda z: z[1] + z[2]) AS q, list_concat(a.m, b.m) AS m FROM p{i} JOIN l{i} a ON a.gen = ga AND a.ord = oa JOIN l{i} b ON b.gen = gb AND b.ord = ob)""")
+        parts.append(f"""l{i + 1} AS MATERIALIZED (SELECT l.* FROM l{i} l WHERE NOT EXISTS (SELECT 1 FROM p{i} WHERE (gen = ga AND ord = oa) OR (gen = gb AND ord = ob))
+            UNION ALL SELECT gen, ord, n, s, q, {spread} AS v, m FROM n{i})""")
+        parts.append(f"""g{i + 1} AS MATERIALIZED (SELECT CASE WHEN (SELECT count(*) FROM p{i}) = 0 AND (SELECT max(gen) FROM l{i}) > g THEN g + 1 ELSE g END AS g FROM g{i})""")
+    return f"""WITH {", ".join(parts)} SELECT unnest(m) AS old_key, list_min(m) AS first_name, n::BIGINT AS n FROM l{STEPS}"""
+
+
 def statements(deviations: float, eps: float, alpha: float, ks: list[int], max_bytes: int) -> dict[str, str]:
     assigned = f"{POINTS}, {SEED_STATES}, {ASSIGNED.format(deviations=deviations)}"
     label_points = "lp AS (SELECT vec_id AS point_id, label AS cluster_id, embedding::DOUBLE[] AS f FROM embeddings)"
@@ -160,6 +196,8 @@ kp AS (SELECT k, (cluster_id % k)::INT AS cluster_id, point_id, f FROM lp, lk)""
             ok AS (SELECT lo, hi FROM un JOIN mv x ON x.set_key = lo JOIN mv y ON y.set_key = hi WHERE un.v < {alpha} * greatest(x.v, y.v)),
             ends AS (SELECT lo AS set_key, lo, hi FROM ok UNION ALL SELECT hi, lo, hi FROM ok)
             SELECT set_key, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY set_key ORDER BY lo, hi) AS nth FROM ends) WHERE nth = 1""",
+        "cs_merge": _merge_passes(sets, alpha),
+        "ward_seed": _ward(8),
         "cs_fold": f"""WITH {sets}, {SEED_STATES},
             d AS (SELECT set_key, cluster_id, sum((cs.s / cs.n - ss.s / ss.n) ^ 2) AS d FROM cs JOIN ss USING (dim) GROUP BY 1, 2),
             goal AS (SELECT set_key, arg_min(cluster_id, d) AS cluster_id FROM d GROUP BY 1)

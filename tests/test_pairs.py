@@ -87,6 +87,18 @@ def partition(rows):
     return {frozenset(v) for v in out.values()}
 
 
+def test_ward_searches_only_where_partners_went(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(150, 3))
+    log = []
+    pts = frame(spark, x)
+    cuts = ward.labels(pts, ward.history(pts, leaf_rows=10, log=log), [4]).collect()
+    assert partition(cuts) == brute_ward(x, 4)
+    searched, alive = zip(*log)
+    assert searched[0] == alive[0] == 150 and all(a < 0.9 * b for a, b in log[1:])
+    assert list(searched) == sorted(searched, reverse=True) and searched[-1] < 50
+
+
 @pytest.mark.parametrize("leaf_rows", [6, 256])
 def test_ward(spark, leaf_rows):
     x = np.random.default_rng(7).normal(size=(40, 3))
