@@ -44,6 +44,6 @@ def test_stages_of_no_rows_and_extra_columns(spark):
 
 def test_one_query_for_each_operator():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
