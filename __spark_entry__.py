@@ -5,6 +5,7 @@ Values are rounded to six places on both sides, as sums run in different orders.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -472,22 +473,28 @@ def entry(spark: SparkSession) -> DataFrame:
 def _text_queries() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """Queries and SQL of the optional subpackage and of its pipeline, none where they are not installed."""
     found, sql = {}, {}
-    try:
-        from cairn.llm import queries as text_queries
-    except ImportError:
+    if not _installed("cairn.llm"):
         return found, sql
+    from cairn.llm import queries as text_queries
+
     found |= text_queries.QUERIES
     sql |= text_queries.ORACLE_SQL
-    try:
-        import corpus_pipeline
-    except ImportError:
+    if not _installed("corpus_pipeline"):
         return found, sql
+    import corpus_pipeline
+
     found["pipeline"] = corpus_pipeline.run
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found, sql
 
 
+def _installed(name: str) -> bool:
+    """True if the module's own file is there, so that an error inside it is not taken for its absence."""
+    spec = importlib.util.find_spec(name)
+    return spec is not None and spec.origin is not None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: globals()[name] for name in NAMES} | _text_queries()[0]
 
