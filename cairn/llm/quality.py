@@ -21,14 +21,18 @@ from pyspark.sql import functions as F
 from cairn.llm.common import cut, slices, small_batches, strings
 from cairn.llm.near_text import word_hashes
 
-#: Bounds of what the classifiers are fitted on: labelled rows, and pseudo-labels per teacher, class and round.
-LABELLED, PSEUDO = 12_000, 1500
+#: Bound of the labelled rows that the classifiers are fitted on; pseudo-labels have none.
+LABELLED = 12_000
 #: Every fifth labelled row is kept aside for calibration.
 ASIDE = 5
 #: Rounds of exchange, and the calibrated probability from which a row counts as sure.
 ROUNDS, SURE = 3, 0.97
+#: The views, each with the one that teaches it.
+VIEWS = {"content": "page", "page": "content"}
 WORDS, SOURCES, LANGS = 128, 64, 16
-RIDGE, WEIGHT = 1.0, 0.5  # penalty on coefficients; weight of a pseudo-label against a true one
+#: Penalty on coefficients; weight of a class's pseudo-labels against its labelled rows, all together and one by one at most.
+RIDGE, WEIGHT = 1.0, 0.5
+STEPS, CLOSE = 25, 1e-6  # Newton steps at most, and the step at which they end
 _SEGMENT = 1 << 20
 _STATS = 14
 _DRAWS = 1_000_003  # rows are drawn by a hash modulo this
@@ -101,19 +105,32 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log1p(-p)
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = RIDGE) -> np.ndarray:
-    """Coefficients of a logistic regression by Newton steps; the last one is the constant, which is not drawn to 0."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(float)
-    weight = np.ones(len(x)) if weight is None else weight
-    beta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def _with_constant(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(float)
+
+
+def _sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Curvature of the likelihood with its slope as last column; those of separate rows add up."""
+    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    return np.concatenate([(x * (weight * p * (1 - p))[:, None]).T @ x, (x.T @ (weight * (y - p)))[:, None]], axis=1)
+
+
+def _step(beta: np.ndarray, sums: np.ndarray, ridge: float) -> tuple[np.ndarray, bool]:
+    """Coefficients after a Newton step, and whether it was small; the constant is not drawn to 0."""
+    penalty = np.full(len(beta), ridge)
     penalty[-1] = 1e-6
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (weight * (y - p)) - penalty * beta
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
-        beta = beta + step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+    step = np.linalg.solve(sums[:, :-1] + np.diag(penalty), sums[:, -1] - penalty * beta)
+    size = np.abs(step).max()
+    return beta + step * min(1.0, 5.0 / max(1e-12, size)), size < CLOSE
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Coefficients of a logistic regression by Newton steps; the last one is the constant."""
+    x = _with_constant(x)
+    beta = np.zeros(x.shape[1])
+    for _ in range(STEPS):
+        beta, done = _step(beta, _sums(x, y, np.ones(len(x)), beta), ridge)
+        if done:
             break
     return beta
 
@@ -134,8 +151,7 @@ class View:
         return np.clip(linear(linear(x, self.beta)[:, None], self.scale), -20, 20)
 
 
-def _learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray, aside: tuple[np.ndarray, np.ndarray]) -> View:
-    beta = fit(x, y, weight)
+def _calibrated(beta: np.ndarray, aside: tuple[np.ndarray, np.ndarray]) -> View:
     return View(beta, fit(linear(aside[0], beta)[:, None], aside[1], ridge=0.1))
 
 
@@ -164,54 +180,83 @@ def train(rows: DataFrame) -> tuple[View, View, np.ndarray] | float:
     known = rows.filter("label IS NOT NULL")
     n, good = known.agg(F.count("*"), F.coalesce(F.avg("label"), F.lit(0.5))).head()
     share = min(1.0, LABELLED / max(n, 1))
-    some = known.filter(F.pmod(drawn, F.lit(_DRAWS)) < int(share * _DRAWS) + 1).limit(2 * LABELLED).toPandas().sort_values("id")
+    some = known.filter(F.pmod(drawn, F.lit(_DRAWS)) < int(share * _DRAWS) + 1).orderBy(drawn, "id", "content", "page").limit(2 * LABELLED).toPandas().sort_values("id", kind="stable")
     y = some["label"].to_numpy(float)
     aside = np.arange(len(some)) % ASIDE == 0
     if min([*(np.bincount(part.astype(int), minlength=2).min() for part in (y[aside], y[~aside]))]) < 2:
         return float(good)
-    views = {name: _matrix(some[name]) for name in ("content", "page")}
+    views = {name: _matrix(some[name]) for name in VIEWS}
     held = {name: (x[aside], y[aside]) for name, x in views.items()}
-    data = {name: (x[~aside], y[~aside], np.ones((~aside).sum())) for name, x in views.items()}
-    models = {name: _learn(*data[name], held[name]) for name in views}
-    unknown = rows.filter("label IS NULL")
-    for turn in range(ROUNDS):
-        counts = {(r["teacher"], r["said"]): r["n"] for r in _sure(unknown, models, turn).groupBy("teacher", "said").agg(F.count("*").alias("n")).collect()}
+    data = {name: _with_constant(x[~aside]) for name, x in views.items()}
+    y = y[~aside]
+    betas = {name: fit(x[~aside], y) for name, x in views.items()}
+    models = {name: _calibrated(betas[name], held[name]) for name in VIEWS}
+    unknown = rows.filter("label IS NULL").select(*VIEWS)
+    for _ in range(ROUNDS):
+        counts = {(r["teacher"], r["said"]): r["n"] for r in _sure_counts(unknown, models).collect()}
         if not counts:
             break
-        limits = {pair: int(min(1.0, PSEUDO / n) * _DRAWS) + 1 for pair, n in counts.items()}
-        chosen = _sure(unknown, models, turn, limits).limit(8 * PSEUDO).toPandas().sort_values(["teacher", "id"])
-        if not len(chosen):
-            break
-        for teacher, pupil in (("content", "page"), ("page", "content")):
-            got = chosen[chosen["teacher"] == teacher]
-            if len(got):
-                x, t, w = data[pupil]
-                more = _matrix(got[pupil])
-                data[pupil] = (np.concatenate([x, more]), np.concatenate([t, got["said"].to_numpy(float)]), np.concatenate([w, np.full(len(got), WEIGHT)]))
-        models = {name: _learn(*data[name], held[name]) for name in views}
-    both = np.stack([models[name].score(held[name][0]) for name in ("content", "page")], axis=1)
-    return models["content"], models["page"], fit(both, y[aside], ridge=0.1)
-
-
-def _sure(unknown: DataFrame, models: dict[str, View], turn: int, limits: dict[tuple[str, int], int] | None = None) -> DataFrame:
-    """(id, teacher, said) of all unlabelled rows that a view is sure of; with ``limits`` those drawn below
-    the limit of their teacher and class, and their features too."""
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = {(t, c): WEIGHT * min(1.0, (y == c).sum() / n) for (t, c), n in counts.items()}
+        open_ = {pupil for pupil, teacher in VIEWS.items() if any(t == teacher for t, _ in weights)}
+        for _ in range(STEPS):
+            told = _sums_of_sure(unknown, models, {p: betas[p] for p in open_}, weights)
+            for pupil in sorted(open_):
+                betas[pupil], done = _step(betas[pupil], _sums(data[pupil], y, np.ones(len(y)), betas[pupil]) + told[pupil], RIDGE)
+                if done:
+                    open_.remove(pupil)
+            if not open_:
+                break
+        models = {name: _calibrated(betas[name], held[name]) for name in VIEWS}
+    both = np.stack([models[name].score(held[name][0]) for name in VIEWS], axis=1)
+    return models["content"], models["page"], fit(both, held["page"][1], ridge=0.1)
+
+
+def _said(model: View, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class that a view gives each row, and whether it is sure of it."""
+    odds = model.score(x)
+    return (odds > 0).astype(int), np.abs(odds) >= logit(np.array(SURE))
+
+
+def _sure_counts(unknown: DataFrame, models: dict[str, View]) -> DataFrame:
+    """(teacher, said, n): how many unlabelled rows each view is sure of, by class."""
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = {(name, c): 0 for name in models for c in (0, 1)}
         for b in batches:
-            if not len(b):
-                continue
             for name, model in models.items():
-                odds = model.score(_matrix(b[name]))
-                said, hit = (odds > 0).astype(int), np.abs(odds) >= logit(np.array(SURE))
-                if limits is None:
-                    yield pd.DataFrame({"id": b["id"][hit], "teacher": name, "said": said[hit]})
-                    continue
-                hit &= b["drawn"].to_numpy() < np.array([limits.get((name, 0), 0), limits.get((name, 1), 0)])[said]
-                yield pd.DataFrame({"id": b["id"][hit], "teacher": name, "said": said[hit], "content": b["content"][hit], "page": b["page"][hit]})
+                if len(b):
+                    said, sure = _said(model, _matrix(b[name]))
+                    for c in (0, 1):
+                        n[name, c] += int((sure & (said == c)).sum())
+        yield pd.DataFrame([(*pair, k) for pair, k in n.items()], columns=["teacher", "said", "n"])
 
-    rows = unknown.select("id", "content", "page", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(_DRAWS)).alias("drawn"))
-    more = "" if limits is None else ", content array<float>, page array<float>"
-    return rows.mapInPandas(chosen, f"id long, teacher string, said int{more}")
+    parts = unknown.mapInPandas(counted, "teacher string, said int, n long")
+    return parts.groupBy("teacher", "said").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def _sums_of_sure(unknown: DataFrame, models: dict[str, View], betas: dict[str, np.ndarray], weights: dict[tuple[str, int], float]) -> dict[str, np.ndarray]:
+    """`_sums` for each pupil over all unlabelled rows that its teacher is sure of.
+
+    A task hands on one matrix per pupil, whatever its rows; Spark adds them cell by cell.
+    """
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = {name: np.zeros((len(beta), len(beta) + 1)) for name, beta in betas.items()}
+        for b in batches:
+            for pupil, total in totals.items():
+                if len(b):
+                    teacher = VIEWS[pupil]
+                    said, sure = _said(models[teacher], _matrix(b[teacher]))
+                    if sure.any():
+                        weight = np.array([weights.get((teacher, c), 0.0) for c in (0, 1)])[said[sure]]
+                        total += _sums(_with_constant(_matrix(b[pupil][sure])), said[sure], weight, betas[pupil])
+        for pupil, total in totals.items():
+            yield pd.DataFrame({"pupil": pupil, "row": np.arange(len(total)), "sums": list(total)})
+
+    parts = unknown.mapInPandas(summed, "pupil string, row int, sums array<double>")
+    cells = parts.select("pupil", "row", F.posexplode("sums").alias("at", "x")).groupBy("pupil", "row", "at").agg(F.sum("x").alias("x")).toPandas()
+    out = {name: np.zeros((len(beta), len(beta) + 1)) for name, beta in betas.items()}
+    for pupil, part in cells.groupby("pupil"):
+        out[pupil][part["row"], part["at"]] = part["x"]
+    return out
 
 
 def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str | None = "source", lang: str | None = "lang", label: str = "quality") -> DataFrame:
@@ -222,8 +267,9 @@ def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     get equal scores; null keys are scored too.  Without labels of both classes every row gets their mean (0.5
     without any).  Extra columns are not read; an empty table gives no rows.
 
-    The classifiers are fitted on bounded samples (``LABELLED`` and ``PSEUDO`` rows drawn by hash);
-    features, the search for sure rows and scores cover the whole table.  Texts are read once.
+    The labelled rows fitted on are bounded (``LABELLED`` drawn by hash); the exchange takes every unlabelled
+    row that a view is sure of, and features and scores cover the whole table.  Texts are read once,
+    features once for each Newton step.
     """
     null = F.lit(None).cast("string")
     with small_batches(df.sparkSession, 2000):

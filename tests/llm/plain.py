@@ -133,3 +133,35 @@ def vector_links(ids, vectors, labels):
         r = groups.find(i)
         least[r] = min(least.get(r, ids[i]), ids[i])
     return links, [least[groups.find(i)] for i in range(n)]
+
+
+def co_trained(content, page, label, rounds, sure, weight, ridge, aside):
+    """Scores of all rows by co-training on whole arrays; rows by id, ``label`` is -1 where there is none."""
+    def regress(x, y, w, ridge):
+        x = np.column_stack([x, np.ones(len(x))])
+        beta, penalty = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-(x @ beta).clip(-30, 30)))
+            step = np.linalg.solve((x.T * (w * p * (1 - p))) @ x + np.diag(penalty), x.T @ (w * (y - p)) - penalty * beta)
+            beta = beta + step * min(1, 5 / np.abs(step).max().clip(1e-12))
+        return beta
+
+    at = lambda x, beta: x @ beta[:-1] + beta[-1]
+    views, known = [content.astype(float), page.astype(float)], np.flatnonzero(label >= 0)
+    held, used, free = known[::aside], np.setdiff1d(known, known[::aside]), np.flatnonzero(label < 0)
+    rows, said, share = [used, used], [label[used], label[used]], [np.ones(len(used))] * 2
+    odds = None
+    for turn in range(rounds + 1):
+        if turn:
+            rows, said, share = [], [], []
+            for teacher in (1, 0):
+                hit = free[np.abs(odds[teacher][free]) >= np.log(sure / (1 - sure))]
+                told = (odds[teacher][hit] > 0).astype(int)
+                w = np.array([weight * min(1, (label[used] == c).sum() / max(1, (told == c).sum())) for c in (0, 1)])[told]
+                rows.append(np.append(used, hit))
+                said.append(np.append(label[used], told))
+                share.append(np.append(np.ones(len(used)), w))
+        raw = [at(x, regress(x[r], s, w, ridge)) for x, r, s, w in zip(views, rows, said, share)]
+        odds = [at(o[:, None], regress(o[held][:, None], label[held], np.ones(len(held)), 0.1)).clip(-20, 20) for o in raw]
+    both = np.column_stack(odds)
+    return 1 / (1 + np.exp(-at(both, regress(both[held], label[held], np.ones(len(held)), 0.1))))

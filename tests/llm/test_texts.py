@@ -313,6 +313,20 @@ def test_quality_on_held_out_labels(spark):
     assert got.count() == d.count()
 
 
+def test_quality_equals_plain_co_training(spark):
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    some = labels.filter("doc_id % 3 <> 0")
+    said = {r["doc_id"]: r["quality"] for r in some.collect()}
+    rows = sorted(d.collect(), key=lambda r: r["doc_id"])
+    texts = [r["text"] or "" for r in rows]
+    content = quality.text_view(texts)
+    page = quality.page_view([r["source"] or "" for r in rows], [r["lang"] or "" for r in rows], [len(t) for t in texts], [t.count("\n") + 1 for t in texts])
+    label = np.array([said.get(r["doc_id"], -1) for r in rows])
+    want = plain.co_trained(content, page, label, quality.ROUNDS, quality.SURE, quality.WEIGHT, quality.RIDGE, quality.ASIDE)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(d, some).collect()}
+    assert np.abs(np.array([got[r["doc_id"]] for r in rows]) - want).max() < 1e-6
+
+
 def test_quality_of_odd_rows(spark):
     good, bad = "this is a fine sentence with words", "BUY!! NOW!! ###"
     rows = [(i, (good if i % 2 else bad) + f" {i * 7919}", "en", f"s{i % 3}") for i in range(60)]
