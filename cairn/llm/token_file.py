@@ -22,16 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import kept_by_worker, slices, small_batches, strings
 from cairn.llm.library import Library
 
 BLOCK = 1 << 20
-#: Bounds of the dictionary's training sample: documents, and ids used of each.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY = 2000, 1024, 64 * 1024
+#: Bounds of the dictionary's training sample: documents, and characters used of each, from a hashed place on.
+SAMPLE_DOCS, WINDOW, DICTIONARY = 2000, 4096, 64 * 1024
 LEVEL = 3
+#: Characters by which shards of equal keys are told apart; whole texts are ordered within a shard.
+BEGINNING = 256
 #: Pieces of text that a worker remembers the ids of (some 200 MB).
 MEMO = 1_000_000
 _INDEX = "doc_id long, row long, offset long, length long, start long, n_tokens long"
@@ -41,11 +43,17 @@ def _text(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def sample_window() -> Column:
+    """``WINDOW`` characters of ``text`` from a place that the row's hash names; all places are as likely."""
+    places = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    return F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", "text"), places) + 1).cast("int"), F.lit(WINDOW))
+
+
 def train_dictionary(texts: list[str], source: str, end: int) -> bytes:
     """A zstandard dictionary for serialized id arrays; empty when there is too little to learn from."""
     import zstandard
 
-    samples = [(i + np.array([end], dtype="<u4").tobytes())[:4 * SAMPLE_IDS] for i in Library(source).encode(texts)]
+    samples = [i + np.array([end], dtype="<u4").tobytes() for i in Library(source).encode(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
@@ -60,8 +68,8 @@ def write_tokens(df: DataFrame, folder: str, path: str, end: int, shards: int |
     are ordered by text, repeated rows are all written.  An empty table gives an
     empty folder that reads back as no rows.  Only ``key`` and ``text`` are read.
 
-    The dictionary is fitted on a bounded sample (``SAMPLE_DOCS`` texts of smallest
-    digest, ``SAMPLE_IDS`` ids of each); every document is then compressed with it.
+    The dictionary is fitted on a bounded sample (of ``SAMPLE_DOCS`` texts of smallest digest
+    a window of ``WINDOW`` characters, anywhere in the text); every document is then compressed with it.
     """
     spark = df.sparkSession
     rows = _text(df, key, text)
@@ -70,14 +78,15 @@ def write_tokens(df: DataFrame, folder: str, path: str, end: int, shards: int |
     # first the keys alone, so that no task sends more than its part of the sample's texts
     drawn = F.xxhash64("doc_id")
     last = rows.select(drawn.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).head()[0]
-    sample = rows.filter(drawn <= F.lit(last)).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text")) if last is not None else rows.limit(0)
+    sample = rows.filter(drawn <= F.lit(last)).select(sample_window().alias("text")) if last is not None else rows.limit(0)
     texts = sorted(r["text"] for r in sample.limit(SAMPLE_DOCS).collect())
     dictionary = train_dictionary(texts, source, end)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, bytes binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     shared = spark.sparkContext.broadcast((source, dictionary))
     parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    # a text's beginning is in order wherever the text is, so shards of one key follow each other by text
+    ordered = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, BEGINNING)).sortWithinPartitions("doc_id", "text")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard

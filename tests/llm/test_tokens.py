@@ -145,3 +145,23 @@ def test_packing_plan_is_whole():
                     assert spot not in fill and f + x // 64 < made.sequences
                     fill[spot] = s
         assert len(fill) == sum(s * c for s, c in demand.items())
+
+
+def test_dictionary_samples_lie_anywhere_in_a_text(spark):
+    numbers = " ".join(str(i) for i in range(20_000))
+    rows = [(i, f"{i} {numbers}") for i in range(40)] + [(50, "short"), (51, ""), (None, numbers)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = d.select("text", token_file.sample_window().alias("window")).collect()
+    assert all(r["window"] in r["text"] and len(r["window"]) == min(len(r["text"]), token_file.WINDOW) for r in got)
+    starts = [r["text"].index(r["window"]) for r in got if len(r["text"]) > token_file.WINDOW]
+    assert min(starts) < 30_000 and max(starts) > 80_000 and len(set(starts)) > 30
+
+
+def test_equal_keys_lie_in_order_of_text_over_shards(spark):
+    rows = [(7, f"text {i % 30}") for i in range(60)]
+    folder = new_path(spark, "ties")
+    token_file.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), folder, WORD, end=1, shards=4)
+    got = token_file.read_tokens(spark, folder).orderBy("start").collect()
+    encode = Tokenizer.from_file(WORD).encode
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [[*encode(t, add_special_tokens=False).ids, 1] for _, t in sorted(rows)]
+    assert spark.read.parquet(f"{folder}/shards").count() > 1
