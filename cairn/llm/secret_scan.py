@@ -1,11 +1,14 @@
 """Secret scan: fixed patterns, and literals assigned to sensitive names.
 
 Besides the patterns, every ``name = value`` or ``name: value`` of source code, JSON, YAML,
-INI or shell lines is read as a pair of a name and an expression.  An expression is a
-chain of string literals, earlier names and bare words joined by ``+``; names that hold
-literals are followed through the text, so a secret put together from parts or handed
-on under another name is found where its parts are written.  A literal counts by its
-target's name, its length and how random it looks.
+INI or shell lines, and every XML element, is read as a pair of a name and an expression.
+A target may be an attribute, a subscript (``a["name"]``, ``name[]``) or a declaration with
+its type (``name: str =``, ``const name string =``).  An expression is a chain of string
+literals, earlier names and bare words joined by ``+``, in brackets and over lines too; names
+that hold literals are followed through the text, also by ``+=``, ``{name}`` and ``$name``, so a
+secret put together from parts or handed on under another name is found where its parts are
+written.  A called function is no value; the literals after its first argument are.  A literal
+counts by its target's name, its length and how random it looks; one of several words does not.
 """
 
 from __future__ import annotations
@@ -39,7 +42,18 @@ THRESHOLD = 1.3
 MIN_LENGTH = 8
 
 _SIGN = re.compile(r":=|=>|[=:]")
-_NAME = re.compile(r"[\w.$-]{1,128}$")
+_BACKWARDS = re.compile(r"[\w.$-]*+")
+_TYPE = re.compile(r"[ \t]*(?:&[ \t]*)?(?:'\w+[ \t]+)?(?:mut[ \t]+)?[A-Za-z_][\w.]*+(?:[<\[][^\n=]*[>\]])?[?!]?[ \t]*(?:\|[^\n=]*)?$")
+_DECLARED = re.compile(r"\b(?:const|var)[ \t]+([\w.]++)[ \t]+\*?(?:string|String|str|text|bytes)[ \t]*$")
+_LEAD = re.compile(r"\s*+(?:\(\s*+)*+(?=[rbufRBUF]{0,2}[\"'`])")
+_TRIPLE = re.compile(r"[ \t]*+[rbufRBUF]{0,2}+(\"\"\"|\'\'\')")
+_KEY = re.compile(r"[ \t]*+[:=]")
+_BLOCK = re.compile(r"[ \t]++[|>][-+]?[ \t]*+\n([ \t]++)(?=\S)")
+_LINE = re.compile(r"\S++(?=[ \t\r]*+(?:\n|\Z))")
+_ARGUMENTS = re.compile(r"""\((?:[^()"'\n]++|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')*+\)""")
+_LITERAL = re.compile(r""",[ \t]*+(?:\w++[ \t]*+=[ \t]*+)?(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')[ \t]*+(?=[,)])""")
+_REFERENCE = re.compile(r"\$?\{([A-Za-z_][\w.]*+)\}|\$([A-Za-z_]\w*+)")
+_ELEMENT = re.compile(r"<([\w.:-]++)(?:\s[^<>]*+)?>\s*+([^<>\s]++)\s*+</\1\s*+>")
 _PART = re.compile(r"""[ \t]*+(?:[rbuf]?"((?:[^"\\\n]|\\.)*+)"|[rbuf]?'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|(?=([A-Za-z0-9_$.+/=~!@%^&-])))""")
 _RUN = re.compile(r"[A-Za-z0-9_$.+/=~!@%^&-]++")
 _WORD = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*+")
@@ -117,68 +131,161 @@ def _edges(part: str | tuple[str, str]) -> tuple[str, str, int, int, bool]:
     return part[:16], part[-1:], before.count(" "), after.count(" "), not part.strip()
 
 
+def _target(segment: str) -> str:
+    """The name that ``segment``, the text between two signs of assignment, ends with; empty if it is none."""
+    head = segment.rstrip()
+    if head[-1:] == "]":
+        at = head.rfind("[")
+        inner = head[at + 1:-1].strip() if at >= 0 else ""
+        if len(inner) > 2 and inner[0] == inner[-1] and inner[0] in "\"'`":
+            head = inner[:-1]
+        else:
+            head = head[:max(at, 0)].rstrip()
+    elif head[-1:] in "\"'`":
+        head = head[:-1]
+    elif declared := _DECLARED.search(head[head.rfind("\n") + 1:]):
+        head = declared[1]
+    name = _BACKWARDS.match(head[::-1])[0][::-1]
+    return name if name.strip("-.$0123456789") else ""
+
+
+def _quoted(literal: str, span: tuple[int, int], values: dict[str, _Value]) -> tuple[list, list[tuple[int, int]], list[_Value]]:
+    """Order, spans and parts of a literal whose references to known names stand for their values."""
+    if "{" not in literal and "$" not in literal:
+        return [literal], [span], []
+    order, parts, done = [], [], 0
+    for m in _REFERENCE.finditer(literal):
+        known = values.get(m[1] or m[2])
+        if known is not None:
+            order += [literal[done:m.start()], known]
+            parts.append(known)
+            done = m.end()
+    order = [o for o in [*order, literal[done:]] if o != ""] or [literal]
+    return order, [span] if any(isinstance(o, str) for o in order) else [], parts
+
+
 def named_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, in order and without repeats.
 
-    Literals and chains of any length count whole.  Work is done only at signs of assignment, and a name has at
-    most 128 characters.  A value refers to the values it is made of, so chains of chains stay small.
+    Names, literals and chains of any length count whole.  Work is done only at signs of assignment, and each looks
+    back no further than the sign before it.  A value refers to the values it is made of, so chains of chains stay small.
     A bare word ends at a ``+`` that joins it to another operand: a known name, or a quoted literal.
     """
     values: dict[str, _Value] = {}
     wanted: list[_Value] = []
     stop = 0  # end of the bare run seen last
     tail = (0, 0, Counter())  # start, end and characters of the long bare word seen last
+    closed = {'"""': True, "'''": True}  # whether such a quote may still end further on
+    before, kind, told = 0, "", ""  # end, kind and target of the sign before
     for sign in _SIGN.finditer(text):
         at = sign.start()
-        head = text[max(0, at - 140):at].rstrip(" \t")
-        if head[-1:] in "\"'`":
-            head = head[:-1]
-        name = _NAME.search(head)
-        if not name or not name[0].strip("-.$0123456789"):
+        segment = text[before:at]
+        grows = segment[-1:] == "+"
+        name = _target(segment[:-1] if grows else segment)
+        if sign[0] == "=" and kind == ":" and told and "\n" not in segment and _TYPE.match(segment):
+            name = told  # a declaration: what stood after its colon was the type
+            typed = values.pop(name, None)
+            if wanted and wanted[-1] is typed:
+                wanted.pop()
+        before, kind, told = sign.end(), sign[0], name
+        if not name:
             continue
         counts, spans, parts, order, here = [], [], [], [], sign.end()
-        while part := _PART.match(text, here):
-            if part[4] is None:
+        if grows and name in values:
+            order.append(values[name])
+            parts.append(values[name])
+        own = len(order)
+        lead = _LEAD.match(text, here)
+        bracket = lead is not None and "(" in lead[0]
+        over = lead is not None and "\n" in lead[0]
+        if lead and (over or bracket):
+            here = lead.end()
+        elif block := _BLOCK.match(text, here) if sign[0] == ":" else None:
+            here, indent = block.end(), "\n" + block[1]
+            while line := _LINE.match(text, here):
+                order.append(line[0])
+                counts.append(Counter(line[0]))
+                spans.append(line.span())
+                here = text.find("\n", line.end())
+                if here < 0 or not text.startswith(indent, here):
+                    break
+                here += len(indent)
+            else:
+                order, spans = [], []
+            here = len(text)  # nothing follows a block
+        while True:
+            if triple := _TRIPLE.match(text, here):
+                end = text.find(triple[1], triple.end()) if closed[triple[1]] else -1
+                closed[triple[1]] = end >= 0
+                if end < 0:
+                    break
+                literal, span, here = text[triple.end():end], (triple.end(), end), end + 3
+            elif not (part := _PART.match(text, here)):
+                break
+            elif part[4] is None:
                 which = next(i for i in (1, 2, 3) if part[i] is not None)
-                order.append(part[which])
-                counts.append(Counter(part[which]))
-                spans.append(part.span(which))
-                here = part.end()
+                literal, span, here = part[which], part.span(which), part.end()
+                if over and _KEY.match(text, here):
+                    order, spans, counts, parts = [], [], [], []  # the next key, not a value on the next line
+                    break
             else:
+                literal = None
                 start = part.start(4)
                 if start >= stop:
                     stop = _RUN.match(text, start).end()
                 word = _WORD.match(text, start)
                 end = stop
-                if word and text[word.end():word.end() + 1] == "+" and (order or word[0] in values):
+                if word and text[word.end():word.end() + 1] == "+" and (len(order) > own or word[0] in values):
                     end = word.end()
                 elif text[stop - 1] == "+" and text[stop:stop + 1] in ("'", '"', "`") and stop - 1 > start:
                     end = stop - 1
-                if order and text.find("=", start, end) >= 0:
+                if len(order) > own and text.find("=", start, end) >= 0:
                     break  # the next assignment
-                value = text[start:end] if end - start <= 4096 else None
-                if value in values:
-                    order.append(values[value])
-                    parts.append(values[value])
-                elif not order:
-                    order.append(value if value is not None else (text[start:start + 16], text[end - 1]))
-                    spans.append((start, end))
-                    if value is None:  # its end is that of the word before where both are of one run
-                        if tail[1] == end:
-                            tail[2].subtract(text[tail[0]:start])
-                            tail = (start, end, +tail[2])
-                        else:
-                            tail = (start, end, Counter(text[start:end]))
-                    counts.append(Counter(value) if value is not None else tail[2])
-                here = end
+                if word and word.end() == end and text[end:end + 1] == "(":
+                    call = _ARGUMENTS.match(text, end)
+                    if not call:
+                        break
+                    for m in _LITERAL.finditer(text, end, call.end()):
+                        which = 1 if m[1] is not None else 2
+                        order.append(m[which])
+                        counts.append(Counter(m[which]))
+                        spans.append(m.span(which))
+                    here = call.end()
+                else:
+                    value = text[start:end] if end - start <= 4096 else None
+                    known = values.get(value[1:] if value[:1] == "$" and value[1:] in values else value) if value is not None else None
+                    if known is not None:
+                        order.append(known)
+                        parts.append(known)
+                    elif len(order) == own:
+                        order.append(value if value is not None else (text[start:start + 16], text[end - 1]))
+                        spans.append((start, end))
+                        if value is None:  # its end is that of the word before where both are of one run
+                            if tail[1] == end:
+                                tail[2].subtract(text[tail[0]:start])
+                                tail = (start, end, +tail[2])
+                            else:
+                                tail = (start, end, Counter(text[start:end]))
+                        counts.append(Counter(value) if value is not None else tail[2])
+                    here = end
+            if literal is not None:
+                found, where, inner = _quoted(literal, span, values)
+                order += found
+                spans += where
+                parts += inner
+                counts.append(Counter("".join(o for o in found if isinstance(o, str))))
             plus = _PLUS.match(text, here)
-            if not plus:
+            if plus:
+                here = plus.end()
+            if bracket and (more := _LEAD.match(text, here)):
+                here = more.end()
+            elif not plus:
                 break
-            here = plus.end()
         if not order:
+            values.pop(name, None)
             continue
-        value = values[name[0]] = _Value(counts, spans, parts, order)
-        if (score := name_score(name[0])) >= 0.5:
+        value = values[name] = _Value(counts, spans, parts, order)
+        if (score := name_score(name)) >= 0.5:
             literal = value.score()
             if score + literal >= THRESHOLD and literal > 0.4:
                 wanted.append(value)
@@ -192,6 +299,17 @@ def named_spans(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def element_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of the contents of XML elements with a sensitive name."""
+    out = []
+    for m in _ELEMENT.finditer(text):
+        if (score := name_score(m[1])) >= 0.5:
+            literal = literal_score(m[2])
+            if score + literal >= THRESHOLD and literal > 0.4:
+                out.append(m.span(2))
+    return out
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of all spans by start, then kind; offsets are code points."""
     out = []
@@ -201,8 +319,10 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
-        out += [(s, e, 3) for s, e in named_spans(text)]
+    named = set(named_spans(text)) if "=" in text or ":" in text else set()
+    if "</" in text:
+        named.update(element_spans(text))
+    out += [(s, e, 3) for s, e in named]
     return sorted(out, key=lambda x: (x[0], x[2], x[1]))
 
 

@@ -47,6 +47,50 @@ def test_named_literals(text, found):
     assert [text[s:e] for s, e in secret_scan.named_spans(text)] == found
 
 
+KEY = "pQ7xZ2mK9w"
+
+
+@pytest.mark.parametrize("text, found", [
+    (f'db_password: str = "{KEY}"', [KEY]),
+    (f'password: SecretString = "{KEY}"', [KEY]),
+    (f'let client_secret: &str = "{KEY}";', [KEY]),
+    (f'const client_secret string = "{KEY}"', [KEY]),
+    (f'const apiToken: string | null = "{KEY}"', [KEY]),
+    (f'config["password"] = "{KEY}"', [KEY]),
+    (f"os.environ['DB_PASSWORD'] = '{KEY}'", [KEY]),
+    (f'char password[] = "{KEY}";', [KEY]),
+    (f'const char *password = "{KEY}";', [KEY]),
+    (f'db_password = """{KEY}"""', [KEY]),
+    (f'db_password = (\n    "{KEY}"\n    "Zx9$kq"\n)', [KEY, "Zx9$kq"]),
+    (f'{{"apiKey":\n  "{KEY}"}}', [KEY]),
+    (f'client_secret: |\n  {KEY}\nother: x', [KEY]),
+    (f'client_secret: >-\n  {KEY}\n  Zx9kq\nother: x', [KEY, "Zx9kq"]),
+    ('db_password = "Zx9$kq"\ndb_password += "7Lm2pQ"', ["Zx9$kq", "7Lm2pQ"]),
+    ('a = "Zx9$kq"\nb = "7Lm2pQ"\ndb_password = f"{a}{b}"', ["Zx9$kq", "7Lm2pQ"]),
+    ('A=Zx9kq4\nB=7Lm2pQ\nexport DB_PASSWORD="${A}$B"', ["Zx9kq4", "7Lm2pQ"]),
+    (f"KEY={KEY}\nexport DB_PASSWORD=$KEY", [KEY]),
+    (f'client_secret = os.getenv("X", "{KEY}")', [KEY]),
+    (f'client_secret = os.environ.get("CLIENT_SECRET_NAME", default="{KEY}")', [KEY]),
+    ('client_secret = os.getenv("CLIENT_SECRET_NAME")', []),
+    ("password = make_password(length)", []),
+    (f'password:\n"{KEY}": "some value"', []),
+    (f"{'x' * 200}_one = 'nothing'\n{'y' * 200}_one = '{KEY}'\ndb_password = {'x' * 200}_one + 'abc'", []),
+    (f"{'x' * 300}_password = '{KEY}'", [KEY]),
+    ("client_secret: |\n  several words here\nother: x", []),
+])
+def test_forms_of_assignment(text, found):
+    assert [text[s:e] for s, e in secret_scan.named_spans(text)] == found
+
+
+def test_elements_and_hard_forms():
+    text = f'<config><password>{KEY}</password><note id="1">{KEY}</note>\n<api-token scope="x">\n{KEY} </api-token></config>'
+    spans = [(s, e) for s, e, k in secret_scan.spans_of(text) if k == 3]
+    assert spans == [(text.index(KEY), text.index(KEY) + 10), (text.rindex(KEY), text.rindex(KEY) + 10)]
+    for hard in ('="""' * 60_000, "x='''\n" * 20_001, "x=a(" * 60_000, 'x=a("' * 60_000, "x=(" * 60_000, "a: |\n " * 40_000, "<a" * 60_000, "<a>x" * 60_000, "a[" * 60_000 + "]=" * 9,
+                 "x: a[ = " * 20_000, "var a " * 60_000 + "=1", 'a="${a}${a}"\n' * 20_000, "x=\n" * 60_000, "=(\n" * 60_000):
+        assert secret_scan.spans_of(hard) is not None
+
+
 def test_secret_columns_and_redaction(spark):
     rows = short([(1, 'my token = "abcdefgh12345678"'), (2, None), (3, ""), (None, "plain"), (1, "AKIA" + "A1" * 8), (1, "AKIA" + "A1" * 8), (4, "é" * 70_000 + " secret=abcdefghij " + "0a" * 20)])
     d = frame(spark, rows)
