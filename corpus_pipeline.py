@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import language, line_chunks, near_text, packing, secret_scan
-from cairn.llm.common import table
+from cairn.llm.common import small_batches, table
 from cairn.session import cut
 
 #: Name of the vocabulary that packed ids come from, and the id that ends a document.
@@ -25,6 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a known language; ``lang`` becomes the language found.
 
     From here on workers get ``BATCH`` rows at a time: whole texts are in them, and workers outlive a stage.
+    `run` gives the setting back; who calls the stages one by one does so after the last.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     found = language.identify(docs, into=("language__", "confidence__", "accepted__")).filter("accepted__")
@@ -74,8 +75,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; the session's settings are afterwards as they were."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with small_batches(spark, BATCH):
+        for _, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir))
+    return docs
