@@ -30,7 +30,11 @@ def test_stages(spark):
     assert texts[4] == {k: secret_scan.replaced(t, "[SECRET]") for k, t in texts[3].items()}
     assert all(r["n_chars"] == len(r["text"]) for r in got[4].collect())
     check_packing(sorted(texts[4].items()), got[5].collect())
-    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "ids_crc32").collect())) != []
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(setting)
+    before = spark.conf.get(setting)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "ids_crc32").collect())) == sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in got[5].collect())
+    assert spark.conf.get(setting) == before
 
 
 def test_stages_of_no_rows_and_extra_columns(spark):
