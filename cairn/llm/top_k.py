@@ -129,6 +129,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: st
     hold null or non-finite components take no part; rows of null key neither.  Vectors of unlike length are not
     compared.  A repeated query row is one query; repeated candidates all count; rows sharing the
     query's key are its own.  Extra columns are not read; an empty table gives no rows.
+    A finite component of which ``scale`` times x reaches 2**62 raises, as its score would not fit into a BIGINT.
 
     Each candidate block meets each query block once; what leaves it is about ``k`` rows per query.
     Query blocks are broadcast while they are known to be small and joined otherwise.
