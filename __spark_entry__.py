@@ -286,8 +286,8 @@ def _sets(spark, sf):
 
 
 def cs_merge_candidates(spark, sf):
-    sets = cut(st.as_vectors(_sets(spark, sf), ["s", "q"], merge.KEY))
-    return merge.first_pairs(sets, ALPHA, 3).select("set_key", "best.lo", "best.hi")
+    sets = st.as_vectors(_sets(spark, sf), ["s", "q", "m2"], merge.KEY)
+    return merge.first_pairs(sets, ALPHA, LEAF_ROWS).select("set_key", "best.lo", "best.hi")
 
 
 def cs_merge(spark, sf):

@@ -58,11 +58,12 @@ def mahalanobis(x: np.ndarray, centroid: np.ndarray, variance: np.ndarray) -> np
     """Distance with a diagonal covariance.
 
     A dimension without spread adds 0 where the point sits on the centroid and
-    infinity elsewhere; a variance rounded below zero adds 0.
+    infinity elsewhere, where a centroid rounded in its last digits still counts as the point's own
+    place; a variance rounded below zero adds 0.
     """
     spread = np.sqrt(np.where(variance > 0, variance, 1.0))
     z = np.where(variance > 0, (x - centroid) / spread, 0.0)
-    off = ((variance == 0) & (x != centroid)).any(axis=1)
+    off = ((variance == 0) & (np.abs(x - centroid) > 1e-14 * np.abs(centroid))).any(axis=1)
     return np.where(off, np.inf, np.sqrt((z * z).sum(axis=1)))
 
 

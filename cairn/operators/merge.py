@@ -5,6 +5,9 @@ order and merges a pair when the mean variance of the union stays below ``alpha`
 times the larger mean variance, each set at most once per pass; passes repeat
 until one merges nothing.  A merged set comes after all others.
 
+The mean variance of a union is that of its parts, weighed by their sizes, and ``n m / (n + m)^2`` times the mean
+squared difference of their centroids, so a set enters with its size, centroid and mean variance only.
+
 A pass equals a greedy matching in the order of the pairs.  It is settled prefix by
 prefix of the list: the first sets of it meet all others in parallel, and only who takes
 whom among their first possible partners is decided in order.
@@ -34,22 +37,30 @@ PAIR = ArrayType(StructType([
 PAIR_ARROW = pa.list_(pa.struct([("side", pa.int32()), ("i", pa.int32()), ("j", pa.int32())]))
 
 
-def _mean_variance(n, s, q):
-    return (q / n - (s / n) ** 2).mean(axis=-1)
+def described(sets: DataFrame) -> DataFrame:
+    """``set_key, n, c, v``: size, centroid and mean variance of sets with vectors ``s``, ``q`` and, if there, ``m2``."""
+    n = F.col("n")
+    spread = F.col("m2") if "m2" in sets.columns else F.zip_with("q", "s", lambda q, s: q - s * s / n)
+    mean = F.aggregate(spread, F.lit(0.0), lambda a, x: a + x) / n / F.size("s")
+    return sets.select("set_key", "n", F.transform("s", lambda s: s / n).alias("c"), mean.alias("v"))
+
+
+def _fits(n: float, c: np.ndarray, v: float, sizes: np.ndarray, centroids: np.ndarray, spreads: np.ndarray, alpha: float) -> np.ndarray:
+    """Which of many sets may merge with one."""
+    both = n + sizes
+    within, between = (n * v + sizes * spreads) / both, ((centroids - c) ** 2).mean(axis=1)
+    return within + n * sizes / both**2 * between < alpha * np.maximum(v, spreads)
 
 
 @arrow_udf(PAIR)
-def first_partner(n_a: pa.Array, s_a: pa.Array, q_a: pa.Array, n_b: pa.Array, s_b: pa.Array, q_b: pa.Array,
+def first_partner(n_a: pa.Array, c_a: pa.Array, v_a: pa.Array, n_b: pa.Array, c_b: pa.Array, v_b: pa.Array,
                   same: pa.Array, alpha: pa.Array) -> pa.Array:
     """First mergeable row of the other tile for every row of either; tiles are sorted by key."""
     out = []
-    for na, sa, qa, nb, sb, qb, one, al in zip(n_a, s_a, q_a, n_b, s_b, q_b, same, alpha):
-        n1, s1, q1 = np.array(na.as_py(), float)[:, None], matrix(sa.values), matrix(qa.values)
-        n2, s2, q2 = np.array(nb.as_py(), float)[:, None], matrix(sb.values), matrix(qb.values)
-        v1, v2 = _mean_variance(n1, s1, q1), _mean_variance(n2, s2, q2)
-        fits = np.array([
-            _mean_variance(n1[i] + n2, s1[i] + s2, q1[i] + q2) < al.as_py() * np.maximum(v1[i], v2)
-            for i in range(len(n1))])
+    for na, ca, va, nb, cb, vb, one, al in zip(n_a, c_a, v_a, n_b, c_b, v_b, same, alpha):
+        (n1, v1), (n2, v2) = ((np.array(n.as_py(), float), np.array(v.as_py(), float)) for n, v in ((na, va), (nb, vb)))
+        c1, c2 = matrix(ca.values), matrix(cb.values)
+        fits = np.array([_fits(n1[i], c1[i], v1[i], n2, c2, v2, al.as_py()) for i in range(len(n1))])
         rows = []
         if one.as_py():
             np.fill_diagonal(fits, False)
@@ -60,14 +71,16 @@ def first_partner(n_a: pa.Array, s_a: pa.Array, q_a: pa.Array, n_b: pa.Array, s_
     return pa.array(out, PAIR_ARROW)
 
 
-def first_pairs(sets: DataFrame, alpha: float, tiles: int) -> DataFrame:
+def first_pairs(sets: DataFrame, alpha: float, leaf_rows: int = LEAF) -> DataFrame:
     """``set_key, best``: the first pair ``(lo, hi)`` in list order that each set could merge in.
 
-    ``sets`` holds one row per set with vectors ``s`` and ``q``.  Every tile of
-    sets meets every other one in a task of its own.
+    ``sets`` holds one row per set with vectors ``s``, ``q`` and, if there, ``m2``.  Tiles hold about ``leaf_rows``
+    sets however many there are; every tile meets every other one in a row of its own.
     """
+    sets = cut(described(sets))
+    tiles = max(1, -(-sets.count() // leaf_rows))
     tile = F.pmod(F.xxhash64("set_key"), F.lit(tiles))
-    entry = F.struct("set_key", "n", "s", "q")
+    entry = F.struct("set_key", "n", "c", "v")
     packed = sets.groupBy(tile.alias("tile")).agg(F.sort_array(F.collect_list(entry)).alias("p"))
     meet = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("other", F.col("other").cast("long"))
     pair = F.struct(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
@@ -77,7 +90,7 @@ def first_pairs(sets: DataFrame, alpha: float, tiles: int) -> DataFrame:
     same = F.col("pair.a") == F.col("pair.b")
     offers = left.join(right, "pair").select(
         F.col("pa.set_key").alias("ka"), F.col("pb.set_key").alias("kb"),
-        F.explode(first_partner("pa.n", "pa.s", "pa.q", "pb.n", "pb.s", "pb.q", same, F.lit(float(alpha)))).alias("o"))
+        F.explode(first_partner("pa.n", "pa.c", "pa.v", "pb.n", "pb.c", "pb.v", same, F.lit(float(alpha)))).alias("o"))
     mine = F.when(F.col("o.side") == 0, F.get("ka", "o.i")).otherwise(F.get("kb", "o.i"))
     other = F.when(F.col("o.side") == 0, F.get("kb", "o.j")).otherwise(F.get("ka", "o.j"))
     best = F.struct(F.least(mine, other).alias("lo"), F.greatest(mine, other).alias("hi"))
@@ -92,21 +105,21 @@ def _key(value) -> tuple:
 def _partners(live: DataFrame, alpha: float, head: list, most: int) -> DataFrame:
     """``at, set_key``: per set of ``head`` (rows in list order) its first ``most`` mergeable later sets of each task."""
     keys = [_key(r.set_key) for r in head]
-    n, s, q = np.array([r.n for r in head], float)[:, None], np.array([r.s for r in head]), np.array([r.q for r in head])
-    held = live.sparkSession.sparkContext.broadcast((keys, n, s, q, _mean_variance(n, s, q)))
+    held = live.sparkSession.sparkContext.broadcast(
+        (keys, *[np.array([r[x] for r in head], float) for x in ("n", "c", "v")]))
 
     def found(batches):
-        first, size, total, square, spread = held.value
+        first, size, centroid, spread = held.value
         best: list[list] = [[] for _ in first]
         for batch in batches:
-            rows = batch.to_pylist()
-            if not rows:
+            if not batch.num_rows:
                 continue
-            n2, s2, q2 = np.array([r["n"] for r in rows], float)[:, None], np.array([r["s"] for r in rows]), np.array([r["q"] for r in rows])
-            mine, names = _mean_variance(n2, s2, q2), [_key(r["set_key"]) for r in rows]
+            rows = batch.column("set_key").to_pylist()
+            names, c2 = [_key(r) for r in rows], matrix(batch.column("c"))
+            n2, v2 = (batch.column(x).to_numpy(zero_copy_only=False).astype(float) for x in ("n", "v"))
             for i in range(len(first)):
-                fits = _mean_variance(size[i] + n2, total[i] + s2, square[i] + q2) < alpha * np.maximum(spread[i], mine)
-                more = [(names[j], rows[j]["set_key"]) for j in np.flatnonzero(fits) if names[j] > first[i]]
+                fits = _fits(size[i], centroid[i], spread[i], n2, c2, v2, alpha)
+                more = [(names[j], rows[j]) for j in np.flatnonzero(fits) if names[j] > first[i]]
                 best[i] = sorted(best[i] + more, key=lambda x: x[0])[:most]
         at = [i for i, b in enumerate(best) for _ in b]
         yield pa.RecordBatch.from_arrays(
@@ -114,7 +127,7 @@ def _partners(live: DataFrame, alpha: float, head: list, most: int) -> DataFrame
 
     kind = to_arrow_type(live.schema["set_key"].dataType)
     schema = StructType([StructField("at", IntegerType()), StructField("set_key", live.schema["set_key"].dataType)])
-    return live.select("set_key", "n", "s", "q").mapInArrow(found, schema)
+    return live.select("set_key", "n", "c", "v").mapInArrow(found, schema)
 
 
 def matching(sets: DataFrame, alpha: float, leaf_rows: int = LEAF) -> DataFrame:
@@ -124,7 +137,7 @@ def matching(sets: DataFrame, alpha: float, leaf_rows: int = LEAF) -> DataFrame:
     first ``2 * leaf_rows`` possible partners are enough, as fewer sets can be taken before its turn.  The
     round's pairs, at most ``leaf_rows``, are picked in list order on the driver.
     """
-    live, taken, most = sets, [], 2 * leaf_rows
+    live, taken, most = described(sets), [], 2 * leaf_rows
     while True:
         head = live.orderBy("set_key").limit(leaf_rows).collect()
         if len(head) < 2:
@@ -174,7 +187,7 @@ def ranked(rows: DataFrame, step: int, order: str, into: str) -> DataFrame:
 def listed(states: DataFrame) -> tuple[DataFrame, DataFrame]:
     """States with keys of any form under keys of step 0 in the same order, and the names ``set_key, old_key``."""
     names = ranked(states.select(F.col("set_key").alias("name")).distinct(), 0, "name", "set_key")
-    keyed = states.withColumnRenamed("set_key", "name").join(names, "name").select("set_key", "dim", "n", "s", "q")
+    keyed = st.with_moment(states).withColumnRenamed("set_key", "name").join(names, "name").select("set_key", "dim", *st.CELL)
     return keyed, names
 
 
@@ -185,10 +198,10 @@ def merge_sets(states: DataFrame, alpha: float, step: int = 1, leaf_rows: int =
     that step (see `ranked`), so that later sets come last and sets of one step keep the order of
     their first members.  The renamings ``old_key, new_key`` cover all sets that came in.
     """
-    now = cut(states)
+    now = cut(st.with_moment(states))
     names = now.select(F.col("set_key").alias("old_key"), F.col("set_key").alias("new_key")).distinct()
     while True:
-        sets = st.as_vectors(now, ["s", "q"], KEY)
+        sets = st.as_vectors(now, ["s", "q", "m2"], KEY)
         pairs = cut(matching(cut(sets), alpha, leaf_rows))
         if pairs.isEmpty():
             return now, names, step
@@ -196,7 +209,7 @@ def merge_sets(states: DataFrame, alpha: float, step: int = 1, leaf_rows: int =
         step += 1
         moves = fresh.select(F.col("lo").alias("from"), "to").unionByName(fresh.select(F.col("hi").alias("from"), "to"))
         renamed = now.join(moves, F.col("set_key") == F.col("from"), "left").withColumn("set_key", F.coalesce("to", "set_key"))
-        now = cut(st.merge(renamed.select("set_key", "dim", "n", "s", "q"), keys=KEY))
+        now = cut(st.merge(renamed, keys=KEY))
         names = cut(names.join(moves, F.col("new_key") == F.col("from"), "left").select(
             "old_key", F.coalesce("to", "new_key").alias("new_key")))
 
@@ -210,5 +223,5 @@ def fold_targets(compression: DataFrame, discard: DataFrame) -> DataFrame:
 
 def fold(compression: DataFrame, discard: DataFrame, targets: DataFrame) -> DataFrame:
     """Cluster states with the compression sets added to their targets."""
-    moved = compression.join(targets.select("set_key", "cluster_id"), "set_key").select("cluster_id", "dim", "n", "s", "q")
+    moved = st.with_moment(compression).join(targets.select("set_key", "cluster_id"), "set_key")
     return st.merge(discard, moved)

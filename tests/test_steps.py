@@ -246,3 +246,45 @@ def test_fixture_points_have_outliers_groups_and_merges(spark):
     merged = entry.cs_merge(spark, sf)
     sets, left = merged.count(), merged.select("first_name").distinct().count()
     assert 1 < left < sets
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e8, -3e8])
+def test_variances_far_from_zero(spark, offset):
+    x = np.random.default_rng(4).normal(size=(400, 3)) * [1.0, 1e-2, 30.0] + offset
+    x[:, 2] = x[0, 2]  # no spread at all
+    whole = frame(spark, x).withColumn("cluster_id", F.lit(1))
+    got = {r.dim: r for r in st.finish(st.summarize(whole)).collect()}
+    for d in range(3):
+        assert got[d].variance == pytest.approx(x[:, d].var(), rel=1e-6, abs=1e-12)
+        assert (got[d].n, got[d].s, got[d].q) == (400, pytest.approx(x[:, d].sum()), pytest.approx((x[:, d] ** 2).sum()))
+    parts = [st.summarize(whole.filter(F.col("point_id").between(a, b))) for a, b in ((0, 0), (1, 3), (4, 150), (151, 399))]
+    orders = [st.merge(*parts), st.merge(*parts[::-1]), st.merge(st.merge(parts[2], parts[0]), st.merge(parts[3], parts[1]))]
+    for merged in orders:
+        for r in st.finish(merged).collect():
+            # the last digit of a mean near 3e8 is 6e-8 of the spread of dimension 0, near 1e8 1.5e-6 of dimension 1's
+            rel = 1e-9 if offset == 0 or (r.dim == 0 and offset == 1e8) else 1e-6
+            assert r.n == 400 and r.variance == pytest.approx(got[r.dim].variance, rel=rel, abs=1e-12)
+
+
+def test_cells_of_nulls_only_merge_to_nulls(spark):
+    points = spark.createDataFrame([(1, [None, 2.0], 0), (2, [None, 4.0], 0)], "point_id long, features array<double>, cluster_id int")
+    merged = {r.dim: r for r in st.finish(st.merge(st.summarize(points), st.summarize(points.limit(0)))).collect()}
+    assert (merged[0].n, merged[0].s, merged[0].m2, merged[0].variance) == (0, None, None, None)
+    assert (merged[1].n, merged[1].variance) == (2, 1.0)
+
+
+def test_merging_does_not_depend_on_where_zero_is(spark):
+    rng = np.random.default_rng(11)
+    groups = {f"{i:02d}": rng.normal(size=2) * 2 + rng.normal(size=(5, 2)) for i in range(20)}
+    passes = []
+    for offset in (0.0, 1e8):
+        rows = [(i, k, [float(v) for v in p + offset]) for k, x in groups.items() for i, p in enumerate(x)]
+        states = st.summarize(spark.createDataFrame(rows, "point_id int, set_key string, features array<double>"), merge.KEY)
+        sets = st.as_vectors(states, ["s", "q", "m2"], merge.KEY)
+        first = {r.set_key: tuple(r.best) for r in merge.first_pairs(sets, 1.2, 6).collect()}
+        assert first == {r.set_key: tuple(r.best) for r in merge.first_pairs(sets, 1.2).collect()}  # tiles of any size
+        keyed, names = merge.listed(states)
+        word = {r.set_key: r.name for r in names.collect()}
+        pairs = merge.matching(st.as_vectors(keyed, ["s", "q", "m2"], merge.KEY), 1.2, 8).collect()
+        passes.append((first, sorted((word[r.lo], word[r.hi]) for r in pairs)))
+    assert passes[0] == passes[1] and passes[0][1]
