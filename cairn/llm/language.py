@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import cut, release_kept, slices, small_batches, strings, unused
 
+#: A language is a tag that more than one row and at least this share of the declaring rows declare, so there
+#: are 200 at most and their models a bounded broadcast; ``languages`` names others.
+LEAST = 1 / 200
+#: Languages named where no row declares any.
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 15
 #: Added to every trigram count, to declared and suffix counts, and rows' worth of the wider prior in a host's.
@@ -26,6 +30,10 @@ SMOOTH, TRUST, PULL = 0.5, 1.0, 10.0
 SHARE, MOST = 1 / 3, 60.0
 #: Rows below this posterior, or whose trigrams are less likely than chance, are rejected.
 CONFIDENCE = 0.5
+#: So are rows whose mean log likelihood lies more than ``REACH`` spreads below what is usual in their language.  The spread of
+#: a mean over n trigrams is that of one, times the root of 1 / n + 1 / ``ALIKE``: however long, a text keeps a manner of its own.
+#: On sf0.1 no row of a language that has a model is that far off, and 98.6 % or more of the rows of one that has none are.
+REACH, ALIKE = 12.0, 30.0
 _UNIT = 1_000_000  # posteriors are summed as whole millionths, so that sums do not depend on their order
 _PART = 1 << 20
 #: Letters of ASCII in lower case, other ASCII as space, other bytes as they are.
@@ -61,8 +69,28 @@ def _coded(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return owner[good], code[good].astype(np.int64)
 
 
-def train(df: DataFrame, text: str, declared: str, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """Log probabilities (language x bucket) from all rows with a declared language.
+def declared_languages(df: DataFrame, declared: str) -> tuple[str, ...]:
+    """The languages that a table declares, in the order of their tags (see ``LEAST``)."""
+    tags = df.select(_tag(F.col(declared)).alias("tag")).filter(F.col("tag").isNotNull()).groupBy("tag").agg(F.count("*").alias("n"))
+    rows = tags.collect()  # tags of two or three letters: 18,252 at most
+    least = max(2, LEAST * sum(r["n"] for r in rows))
+    return tuple(sorted(r["tag"] for r in rows if r["n"] >= least)) or LANGUAGES
+
+
+def usual(counts: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of a trigram's log probability in each language's own texts; 0 for a language without texts."""
+    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    mean = (share * model).sum(axis=1)
+    return mean, np.sqrt(np.maximum((share * model**2).sum(axis=1) - mean**2, 0.0))
+
+
+def far_off(mean: np.ndarray, n: np.ndarray, common: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Whether mean log likelihoods of texts of n trigrams lie too far below what is usual in their language."""
+    return mean < common - REACH * spread * np.sqrt(1 / np.maximum(n, 1) + 1 / ALIKE) - 1e-9
+
+
+def train(df: DataFrame, text: str, declared: str, languages: tuple[str, ...] = LANGUAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities and counts (language x bucket) from all rows with a declared language.
 
     Counts are summed in the tasks first; what reaches the driver is one number per language and bucket.
     """
@@ -84,7 +112,7 @@ def train(df: DataFrame, text: str, declared: str, languages: tuple[str, ...] =
         got = rows.mapInPandas(counted, "lang long, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((len(languages), BUCKETS))
     n[got["lang"].astype(int), got["code"].astype(int)] = got["n"]
-    return np.log((n + SMOOTH) / (n.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS))
+    return np.log((n + SMOOTH) / (n.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)), n
 
 
 def _tag(declared: Column) -> Column:
@@ -128,12 +156,13 @@ def fuse(mean: np.ndarray, n: np.ndarray, counts: dict[str, np.ndarray], known:
 
 
 def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: str | None = "source", domain: str | None = None,
-             suffix: str | None = None, languages: tuple[str, ...] = LANGUAGES, into: tuple[str, str, str] = ("language", "confidence", "accepted")) -> DataFrame:
+             suffix: str | None = None, languages: tuple[str, ...] | None = None, into: tuple[str, str, str] = ("language", "confidence", "accepted")) -> DataFrame:
     """``df`` with the most probable language, its posterior, and whether the row is accepted.
 
+    Languages are those that the table declares (`declared_languages`) unless ``languages`` names them.
     A row is rejected (``accepted`` false, the language still named) when its text has no letters, when its
-    posterior is below ``CONFIDENCE``, or when its trigrams are less likely in the language
-    than evenly drawn ones.  Null or unknown evidence of any kind says nothing; a null text counts as
+    posterior is below ``CONFIDENCE``, when its trigrams are less likely in the language
+    than evenly drawn ones, or far less likely than that language's own usually are (`far_off`).  Null or unknown evidence of any kind says nothing; a null text counts as
     empty.  Every row, repeated ones too, keeps its place; ties go to the first language listed.  A table
     without declared languages has even models and rejects by confidence.  The names ``into`` must be new.
 
@@ -142,7 +171,9 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
     """
     if {c.lower() for c in into} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {into} exist")
-    model = train(df, text, declared, languages)
+    languages = tuple(languages) if languages else declared_languages(df, declared)
+    model, counts = train(df, text, declared, languages)
+    common, spread = usual(counts, model)
     kinds = ("declared", "suffix", "domain", "host")
     null = F.lit(None).cast("string")
     named = {"declared": _tag(F.col(declared)), "suffix": F.col(suffix) if suffix else null, "domain": F.col(domain) if domain else null, "host": F.col(host) if host else null}
@@ -175,7 +206,8 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
                 p = fuse(mean, n, counts, known, total, values)
                 top = p.argmax(axis=1)
                 best, rows = p.max(axis=1), np.arange(len(p))
-                accepted = (n > 0) & (best >= CONFIDENCE) & (mean[rows, top] >= -np.log(BUCKETS))
+                said = mean[rows, top]
+                accepted = (n > 0) & (best >= CONFIDENCE) & (said >= -np.log(BUCKETS)) & ~far_off(said, n, common[top], spread[top])
                 yield pd.DataFrame({"language": [languages[i] for i in top], "confidence": best, "accepted": accepted})
 
     names = {k: unused(df, f"{k}__") for k in kinds}

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import re
 
 import numpy as np
@@ -165,3 +166,60 @@ def co_trained(content, page, label, rounds, sure, weight, ridge, aside):
         odds = [at(o[:, None], regress(o[held][:, None], label[held], np.ones(len(held)), 0.1)).clip(-20, 20) for o in raw]
     both = np.column_stack(odds)
     return 1 / (1 + np.exp(-at(both, regress(both[held], label[held], np.ones(len(held)), 0.1))))
+
+
+def languages(rows: list[tuple], names: list[str]) -> list[tuple[str, float, bool]]:
+    """Language, posterior and acceptance of (text, declared, host, domain, suffix) rows, one trigram after the other."""
+    from cairn.llm import language as op
+
+    def codes(text):
+        folded = (text or "").lower().encode()
+        raw = b" " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in folded) + b" "
+        for i in range(len(raw) - 2):
+            if raw[i:i + 3].count(32) < 2:
+                yield (int.from_bytes(raw[i:i + 3], "big") * 2654435761 % 2**32) >> 17
+
+    def normal(logs):
+        p = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(p) for x in p]
+
+    counts = [collections.Counter() for _ in names]
+    for text, declared, *_ in rows:
+        tag = (declared or "").lower()[:2]
+        if tag in names:
+            counts[names.index(tag)].update(codes(text))
+    sizes = [sum(c.values()) for c in counts]
+    logs = [lambda c, k=k: math.log((counts[k][c] + op.SMOOTH) / (sizes[k] + op.SMOOTH * op.BUCKETS)) for k in range(len(names))]
+    common = [sum(n * logs[k](c) for c, n in counts[k].items()) / max(sizes[k], 1) for k in range(len(names))]
+    spread = [math.sqrt(max(0, sum(n * logs[k](c) ** 2 for c, n in counts[k].items()) / max(sizes[k], 1) - common[k] ** 2)) for k in range(len(names))]
+    means, lengths, own = [], [], []
+    for text, *_ in rows:
+        found = list(codes(text))
+        mean = [sum(map(f, found)) / max(len(found), 1) for f in logs]
+        means.append(mean)
+        lengths.append(len(found))
+        own.append(normal([m * min(len(found) * op.SHARE, op.MOST) for m in mean]))
+    rounded = [[round(p * 1e6) / 1e6 for p in o] for o in own]
+    total = [sum(o[k] for o in rounded) + 1 for k in range(len(names))]
+    keys = [((d or "").lower()[:2] or None, s, g, h) for _, d, h, g, s in rows]
+    tables = [collections.defaultdict(lambda: [0.0] * len(names)) for _ in range(4)]
+    for key, o in zip(keys, rounded):
+        for table, value in zip(tables, key):
+            if value is not None:
+                table[value] = [a + b for a, b in zip(table[value], o)]
+    out = []
+    for key, mean, n, o in zip(keys, means, lengths, own):
+        others = [[max(a - b, 0) for a, b in zip(t[v], o)] if v is not None else None for t, v in zip(tables, key)]
+        score = [m * min(n * op.SHARE, op.MOST) for m in mean]
+        for rest, table in zip(others[:2], tables[:2]):
+            if rest is not None:
+                score = [s + math.log((r + op.TRUST) / (t + op.TRUST * (len(table) + 1))) for s, r, t in zip(score, rest, total)]
+        prior = [t / sum(total) for t in total]
+        for rest in others[2:]:
+            rest = rest or [0.0] * len(names)
+            prior = [(r + op.PULL * p) / (sum(rest) + op.PULL) for r, p in zip(rest, prior)]
+        p = normal([s + math.log(x) for s, x in zip(score, prior)])
+        k = p.index(max(p))
+        low = common[k] - op.REACH * spread[k] * math.sqrt(1 / max(n, 1) + 1 / op.ALIKE) - 1e-9
+        out.append((names[k], p[k], n > 0 and p[k] >= op.CONFIDENCE and mean[k] >= -math.log(op.BUCKETS) and mean[k] >= low))
+    return out

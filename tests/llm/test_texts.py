@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import language, line_chunks, near_text, quality, secret_scan
 from tests.llm import plain
@@ -330,6 +331,50 @@ def test_host_prior_decides_short_texts(spark):
     assert got[100] == "de" and got[101] == "fr"
 
 
+def same_languages(got, want):
+    assert [(r["language"], r["accepted"]) for r in got] == [(w[0], w[2]) for w in want]
+    assert max(abs(r["confidence"] - w[1]) for r, w in zip(got, want)) < 1e-6
+
+
+def test_languages_of_documents_by_plain_python(spark):
+    got = language.identify(spark.read.parquet(f"{SF}/documents.parquet")).orderBy("doc_id").collect()
+    same_languages(got, plain.languages([(r["text"], r["lang"], r["source"], None, None) for r in got], ["de", "en", "es", "fr"]))
+
+
+def test_languages_of_pages_by_plain_python(spark):
+    rows = language.page_rows(spark.read.parquet(f"{SF}/pages.parquet"))
+    rng = random.Random(8)  # one host in four has an own suffix and one domain has many hosts
+    odd = [(10_000 + i, speech(rng, lang, 1 + i % 7), lang if i % 3 else None, f"h{i % 4}.example.{tld}", f"example.{tld}", tld)
+           for i in range(60) for lang, tld in [(("de", "de"), ("fr", "fr"), ("es", "org"))[i % 3]]]
+    odd += [(20_000, None, None, None, None, None), (20_001, "", "de", "h1.example.de", "example.de", "de")]
+    every = rows.unionByName(spark.createDataFrame(odd, rows.schema))
+    names = language.declared_languages(every, "declared")
+    got = language.identify(every, declared="declared", host="host", domain="domain", suffix="suffix").orderBy("page_id").collect()
+    same_languages(got, plain.languages([(r["text"], r["declared"], r["host"], r["domain"], r["suffix"]) for r in got], list(names)))
+    none = language.identify(every.limit(0), declared="declared", host="host", domain="domain", suffix="suffix")
+    assert none.count() == 0
+
+
+@pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
+def test_a_language_without_model_is_rejected(spark, out):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    left = tuple(x for x in language.LANGUAGES if x != out)
+    found = language.identify(documents, languages=left).groupBy((F.col("lang") == out).alias("foreign")).agg(F.avg(F.col("accepted").cast("int")).alias("kept"))
+    kept = {r["foreign"]: r["kept"] for r in found.collect()}
+    assert kept[True] <= 0.1 and kept[False] >= 0.995
+
+
+def test_languages_come_from_the_declared_tags(spark):
+    rng = random.Random(12)
+    rows = [(i, speech(rng, lang, 40), tag, "h") for i, (lang, tag) in enumerate([("en", "pt-BR"), ("de", "nl")] * 150)]
+    rows += [(900, speech(rng, "en", 40), None, None), (901, speech(rng, "fr", 40), "qq", None)]
+    d = frame(spark, rows)
+    assert language.declared_languages(d, "lang") == ("nl", "pt")
+    got = {r["doc_id"]: r for r in language.identify(d).collect()}
+    assert all(got[i]["language"] == ("nl" if i % 2 else "pt") and got[i]["accepted"] for i in range(300))
+    assert got[900]["language"] == "pt" and language.declared_languages(d.limit(0), "lang") == language.LANGUAGES
+
+
 def test_trigrams_of_parts_are_those_of_the_whole(monkeypatch):
     texts = ["Grüße, Jürgen! ok", "", "a", "x" * 40, "The end"]
     whole = [np.concatenate(p) for p in zip(*language.trigrams(texts))]
