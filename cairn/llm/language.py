@@ -32,7 +32,7 @@ SHARE, MOST = 1 / 3, 60.0
 CONFIDENCE = 0.5
 #: So are rows whose mean log likelihood lies more than ``REACH`` spreads below what is usual in their language.  The spread of
 #: a mean over n trigrams is that of one, times the root of 1 / n + 1 / ``ALIKE``: however long, a text keeps a manner of its own.
-#: On sf0.1 no row of a language that has a model is that far off, and 98.6 % or more of the rows of one that has none are.
+#: On a third of sf0.1 no row of a language that has a model is that far off, and 98.6 % or more of the rows of one that has none are.
 REACH, ALIKE = 12.0, 30.0
 _UNIT = 1_000_000  # posteriors are summed as whole millionths, so that sums do not depend on their order
 _PART = 1 << 20
