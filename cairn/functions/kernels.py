@@ -17,6 +17,7 @@ OFFERS = ArrayType(StructType([
     StructField("j", IntegerType()), StructField("cost", DoubleType())]))
 OFFERS_ARROW = pa.list_(pa.struct([("side", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("cost", pa.float64())]))
 INDEXES = ArrayType(IntegerType())
+BLOCK = 256  # rows of a tile that `farthest` takes at a time
 LINKS = ArrayType(StructType([StructField("u", StringType()), StructField("v", StringType())]))
 
 
@@ -58,8 +59,11 @@ def _tiles(a: pa.Array, b: pa.Array):
 
 @arrow_udf(DoubleType())
 def farthest(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Largest squared distance between two tiles of vectors."""
-    return pa.array([float(sq_distances(x, y).max()) for x, y in _tiles(a, b)])
+    """Largest squared distance between two tiles of vectors, by blocks of them that stay in the processor's cache."""
+    def blocks(x: np.ndarray) -> list[np.ndarray]:
+        return [x[s:s + BLOCK] for s in range(0, len(x), BLOCK)]
+
+    return pa.array([float(np.max([sq_distances(p, q).max() for p in blocks(x) for q in blocks(y)])) for x, y in _tiles(a, b)])
 
 
 @arrow_udf(DoubleType())

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 from itertools import islice
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.session import cut as cut  # re-exported: operators cut their lineage with it
+from cairn.session import small_batches as small_batches
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,18 +66,6 @@ def runs(pattern, text: str, most: int = 1 << 18) -> Iterator[list[str]]:
         yield part
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Within it, workers get ``rows`` rows at a time, for jobs run there that hold whole texts in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def text_key(column: str = "text"):
     """A 256-bit digest that stands for equal texts; null stays null."""
     return F.sha2(F.col(column).cast("binary"), 256)

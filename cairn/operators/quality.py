@@ -9,7 +9,7 @@ from cairn.functions.kernels import farthest
 from cairn.functions.vectors import distance
 from cairn.operators.balls import LEAF, cover, leaf, tile_pairs
 from cairn.operators.states import centroids
-from cairn.session import cut
+from cairn.session import cut, small_batches
 
 
 def density(n: Column, length: Column) -> Column:
@@ -19,6 +19,10 @@ def density(n: Column, length: Column) -> Column:
 
 #: Parts that the points of one cluster are dealt over where centroids are too many to broadcast.
 SALTS = 64
+#: A cluster is cut into tiles of about this share of the largest one, as a tile goes to all tiles it is compared
+#: with, but into tiles of ``TILE_BYTES`` at most, some of which a task gets at a time.
+TILES = 16
+TILE_BYTES, BATCH_BYTES = 1 << 21, 1 << 26
 
 
 def radius(points: DataFrame, keys: tuple[str, ...] = ("cluster_id",)) -> DataFrame:
@@ -48,18 +52,24 @@ def diameter(points: DataFrame, keys: tuple[str, ...] = ("cluster_id",), leaf_ro
     Exact.  The distance of two known points is a lower limit; pairs of balls
     that cannot reach it are dropped together with their points.  Where points lie so evenly
     that bounds drop nothing, as in many dimensions, leaves meet all leaves of
-    their cluster: the work is then quadratic in it, in tiles spread over tasks.
+    their cluster: the distances are then quadratic in it, in tiles spread over tasks.  Leaves
+    hold ``leaf_rows`` points or a fixed share of the largest cluster, so that what is sent around is linear
+    in the points until tiles reach ``TILE_BYTES``.
     """
     grp = F.struct(*keys)
     work = points.select(grp.alias("grp"), F.col("point_id").alias("id"), F.col("features").alias("x"))
+    sizes = cut(points.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.size("features")).alias("dims")))
+    most = sizes.agg(F.max("n").alias("n"), F.max("dims").alias("dims")).first()
+    row_bytes = 8 * max(most.dims or 1, 1)
+    leaf_rows = max(leaf_rows, min(TILE_BYTES // row_bytes, -(-(most.n or 0) // TILES)))
     roots = work.select("grp").distinct().select(
         "grp", F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("best"))
     found = cover(work, leaf(leaf_rows), _may_be_farthest, roots, extra=("best",))
     inside = tile_pairs(found).select("grp", F.sqrt(farthest("xs_a", "xs_b")).alias("best"))
     both = found.pairs.select("grp", "best").unionByName(inside)
-    sizes = points.groupBy(*keys).agg(F.count("*").alias("n"))
-    widest = both.groupBy("grp").agg(F.max("best").alias("diameter")).select("grp.*", "diameter")
-    return sizes.join(widest, list(keys)).withColumn("density_d", density(F.col("n"), F.col("diameter")))
+    with small_batches(points.sparkSession, max(1, BATCH_BYTES // (2 * leaf_rows * row_bytes))):
+        widest = cut(both.groupBy("grp").agg(F.max("best").alias("diameter")).select("grp.*", "diameter"))
+    return sizes.drop("dims").join(widest, list(keys)).withColumn("density_d", density(F.col("n"), F.col("diameter")))
 
 
 def metrics(points: DataFrame, keys: tuple[str, ...] = ("k", "cluster_id"), leaf_rows: int = LEAF) -> DataFrame:

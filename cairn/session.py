@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +62,15 @@ def forget(*steps: DataFrame | None) -> None:
             jvm, conf = step.sparkSession._jvm, step.sparkSession._jsc.hadoopConfiguration()
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Within it, workers get ``rows`` rows at a time, for jobs run there that hold long rows in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

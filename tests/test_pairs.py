@@ -32,6 +32,20 @@ def test_diameter(spark, d, leaf_rows):
         assert got[c] == pytest.approx(distances(x[cluster == c]).max(), abs=1e-12)
 
 
+def test_diameter_sends_points_to_few_tiles(spark, monkeypatch):
+    """Points that lie so evenly that no bound drops a pair: tiles grow with the cluster, so pairs of them do not."""
+    tiles = []
+    found_pairs = quality.tile_pairs
+    monkeypatch.setattr(quality, "tile_pairs", lambda found: (tiles.append(found.pairs.count()), found_pairs(found))[1])
+    monkeypatch.setattr(quality, "TILES", 4)
+    for n in (400, 1600):
+        x = np.random.default_rng(n).normal(size=(n, 48))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        got = quality.diameter(frame(spark, x), leaf_rows=16).first()
+        assert got.diameter == pytest.approx(distances(x).max(), abs=1e-12) and got.n == n
+    assert tiles[1] < 2 * tiles[0]  # 16 times as many if tiles stayed as they were
+
+
 def test_diameter_of_one_point_is_zero_and_dense_without_end(spark):
     row = quality.diameter(frame(spark, np.array([[1.0, 2.0]]))).first()
     assert row.diameter == 0 and row.density_d == float("inf")
