@@ -21,8 +21,10 @@ computed without listing item pairs: for one heavy user,
     p_y = sum_j w_j r_yj,   A = sum_j w_j a_j,   V = sum_j w_j a_j (n_j - U)
 
 where j runs over the user's rated items: two joins linear in the ratings of the
-block.  The limit defaults to the square root of the number of ratings, which
-balances both sides.
+block, for each heavy user.  The limit defaults to the square root of the number of ratings, which
+balances both sides.  Users beyond it whose items have more ratings than they have pairs are
+left to the pairs: where few items have ratings of very many users, going through those
+ratings once per user is quadratic in the users.
 """
 
 from __future__ import annotations
@@ -116,9 +118,15 @@ def neighbour_totals(test: DataFrame, train: DataFrame, blocks: DataFrame, mu: f
 
 
 def _tag_heavy(rated: DataFrame, limit: int) -> DataFrame:
-    """Mark the rated rows of (user, block) groups above the limit."""
-    sizes = rated.groupBy("user_id", "cluster_id").agg(F.count("*").alias("size"))
-    heavy = sizes.filter(F.col("size") > limit).select("user_id", "cluster_id", F.lit(True).alias("h"))
+    """Mark the rated rows of (user, block) groups above the limit.
+
+    Where the rows hold ``n``, the ratings of their item, a group is heavy only if it has more item pairs
+    than its items have ratings, which are what the sums without pairs go through.
+    """
+    lookups = F.sum("n") if "n" in rated.columns else F.lit(0)
+    sizes = rated.groupBy("user_id", "cluster_id").agg(F.count("*").alias("size"), lookups.alias("lookups"))
+    costly = (F.col("size") > limit) & (F.col("size") * F.col("size") > F.col("lookups"))
+    heavy = sizes.filter(costly).select("user_id", "cluster_id", F.lit(True).alias("h"))
     return rated.join(heavy, ["user_id", "cluster_id"], "left").select(
         *rated.columns, F.coalesce("h", F.lit(False)).alias("heavy")
     )
@@ -212,7 +220,8 @@ def rated_pairs(test: DataFrame, train: DataFrame, blocks: DataFrame) -> DataFra
 def _light_sums(test_placed: DataFrame, rated: DataFrame, n_users: int) -> DataFrame:
     wanted = _ordered(_wanted(test_placed, rated.filter(~F.col("heavy"))))
     pairs = wanted.select("lo", "hi").distinct()
-    scored = _with_similarity(wanted, common_products(pairs, rated), n_users)
+    # written first: while pairs of items are few, Spark sends them to where the wanted rows are
+    scored = _with_similarity(wanted, cut(common_products(cut(pairs), rated)), n_users)
     sim = F.col("similarity")
     return scored.groupBy("user_id", "item_id").agg(
         F.sum(sim * F.col("deviation")).alias("num"), F.sum(sim).alias("den")
@@ -223,7 +232,7 @@ def _heavy_sums(test_placed: DataFrame, rated: DataFrame, train: DataFrame, n_us
     """The same sums for heavy (user, block) groups, without item pairs."""
     group = ["user_id", "cluster_id"]
     u = F.try_divide(F.lit(1.0), F.col("norm"))
-    mine = rated.filter("heavy").select(
+    mine = rated.filter("heavy").join(test_placed.select(*group), group, "left_semi").select(
         *group, F.col("item_id").alias("j"), "n", "a",
         (u * (F.col("rating") - F.col("base"))).alias("w"), u.alias("u"),
     )  # an item with a constant vector has no similarity: null weights, left out of every sum

@@ -54,6 +54,24 @@ def test_predict_light_and_heavy(spark, limit):
         assert got[k] == (pytest.approx(v, abs=1e-9) if v is not None else None)
 
 
+def test_users_of_popular_items_are_not_heavy(spark):
+    """Many users of few items: no group goes through all ratings of its items once per user."""
+    rng = np.random.default_rng(5)
+    rows = [(u, i, int(rng.integers(1, 6))) for u in range(60) for i in range(12) if rng.random() < 0.9]
+    rows += [(99, i, 1 + i % 5) for i in range(200, 240)]  # alone with its items: heavy, its pairs are more
+    test, train = rows[::7], [x for n, x in enumerate(rows) if n % 7]
+    t, s = frame(spark, train), frame(spark, test)
+    blocks = t.select("item_id").distinct().withColumn("cluster_id", F.lit(0))
+    mu, _, users = ratings.totals(t, t.unionByName(s))
+    placed = ratings._placed(t, t, blocks, mu, users)
+    assert {r.user_id for r in ratings._tag_heavy(placed, 5).filter("heavy").select("user_id").distinct().collect()} == {99}
+    got = {(r.user_id, r.item_id): r.predicted_rating for r in ratings.predict(s, t, blocks, mu, users, 5).collect()}
+    expected = dense_predictions(train, test, sorted({u for u, *_ in rows}), lambda i: 0)
+    assert set(got) == set(expected)
+    for k, v in expected.items():
+        assert got[k] == (pytest.approx(v, abs=1e-8) if v is not None else None)
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_pair_without_rated_neighbour_lowers_only_the_reference_rmse(spark, limit):
     train = frame(spark, [(1, 1, 5), (2, 1, 3), (2, 3, 1), (3, 3, 4), (1, 2, 2), (3, 1, 2)])
