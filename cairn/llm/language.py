@@ -35,13 +35,13 @@ CONFIDENCE = 0.5
 #: On a third of sf0.1 no row of a language that has a model is that far off, and 98.6 % or more of the rows of one that has none are.
 REACH, ALIKE = 12.0, 30.0
 _UNIT = 1_000_000  # posteriors are summed as whole millionths, so that sums do not depend on their order
-_PART = 1 << 20
+_PART = 1 << 18  # bytes of text that a task holds as arrays at a time, some 50 bytes for each
 #: Letters of ASCII in lower case, other ASCII as space, other bytes as they are.
 _FOLD = bytes(b | 32 if 65 <= b <= 90 or 97 <= b <= 122 else 32 if b < 128 else b for b in range(256))
 
 
 def trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, bucket) of every byte trigram with at most one space, some MB of text at a time."""
+    """(text number, bucket) of every byte trigram with at most one space, ``_PART`` bytes of text at a time."""
     parts: list[tuple[int, bytes]] = []
     size = 0
     for i, t in enumerate(texts):
@@ -181,6 +181,7 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
 
     @F.pandas_udf("array<long>")
     def own_posteriors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_kept()
         for batch in batches:
             out = []
             for b in slices(batch.to_frame("text"), "text", _PART):

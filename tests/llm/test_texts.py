@@ -437,3 +437,8 @@ def test_sums_of_segments_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(quality, "_SEGMENT", 10 ** 6)
     assert np.allclose(whole, quality.text_view(texts))
     assert not np.isnan(whole).any()
+
+
+def test_trigrams_hold_little_text_at_a_time():
+    sizes = [len(code) for _, code in language.trigrams(["ab " * 700_000, "x", "word " * 300_000])]
+    assert len(sizes) > 4 and max(sizes) <= 1 << 19
