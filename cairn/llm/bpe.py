@@ -12,9 +12,10 @@ import json
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,34 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def latin_words() -> re.Pattern:
+    """``WORDS`` for texts of Latin-1 characters alone, its classes listed for the standard library's matcher, which is quicker."""
+    kinds = (r"\p{L}", r"\p{N}", r"\s")
+    letters, digits, white = ("".join(re.escape(c) for c in map(chr, range(256)) if regex.match(kind, c)) for kind in kinds)
+    listed = WORDS.replace(r"[^\s\p{L}\p{N}]", f"[^{white}{letters}{digits}]").replace(r"\S", f"[^{white}]")
+    for kind, chars in zip(kinds, (letters, digits, white)):
+        listed = listed.replace(kind, f"[{chars}]")
+    return re.compile(listed)
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Known(dict):
+    """Ids of words as bytes, made when first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        return self.make(word)
+
+
 class Bpe:
     """Encoder and decoder of one byte-level vocabulary file (as JSON text)."""
 
@@ -65,8 +94,8 @@ class Bpe:
             self.strings[i] = content.encode()
         longest = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.words = regex.compile(WORDS)
-        self.memo: dict[str, bytes] = {}
+        self.words, self.latin = regex.compile(WORDS), latin_words()
+        self.memo = _Known(self._word)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -96,7 +125,8 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _word(self, word: str) -> bytes:
-        found = np.array(self.merge(word.encode()), dtype="<u4").tobytes()
+        ids = self.merge(word.encode())
+        found = pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -107,18 +137,25 @@ class Bpe:
         """Ids of a whole text; strings of added tokens in it become those tokens."""
         parts = self.cut.split(text) if self.cut and any(a in text for a in self.added) else [text]
         out: list[bytes] = []
-        known, word = self.memo.get, self._word
+        known, words_in = self.memo.__getitem__, self.latin if _latin(text) else self.words
         for part in parts:
             if part in self.added:
                 out.append(np.array([self.added[part]], dtype="<u4").tobytes())
                 continue
-            for words in runs(self.words, part):
-                out.append(b"".join([known(w) or word(w) for w in words]))
+            for words in runs(words_in, part):
+                out.append(b"".join(map(known, words)))
         return np.frombuffer(b"".join(out), dtype="<u4")
 
     def decode(self, ids) -> str:
         """Vocabulary strings end to end; bytes that are no UTF-8 become the replacement character."""
-        return b"".join([self.strings[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+
+
+def _lists(ids: pa.ListArray) -> list[list[int]]:
+    """Rows without a null list as Python lists."""
+    ends = ids.offsets.to_numpy()
+    values = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+    return [values[a:z] for a, z in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist())]
 
 
 def _shared(df: DataFrame, path: str):
@@ -135,32 +172,36 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     """
     source = _shared(df, path)
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept_by_worker(("bpe", path), lambda: Bpe(source.value))
         for batch in batches:
             for start in range(0, len(batch), 256):
-                part = batch.iloc[start:start + 256]
-                yield pd.DataFrame({"k": part["k"], "ids": [bpe.encode(t).astype("i4") for t in strings(part["t"])]})
+                part = batch.slice(start, 256)
+                ids = [bpe.encode(t) for t in strings(part["t"].to_pylist())]
+                ends = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(np.concatenate(ids).astype("i4")))
+                yield pa.RecordBatch.from_arrays([part["k"], lists], names=["k", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return rows.mapInPandas(encoded, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return rows.mapInArrow(encoded, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", into: str = "decoded") -> DataFrame:
     """(key, ids, ``into``) with the text of the ids; null ids count as none, ids outside the vocabulary raise."""
     source = _shared(df, path)
 
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept_by_worker(("bpe", path), lambda: Bpe(source.value))
         for batch in batches:
             for start in range(0, len(batch), 256):
-                part = batch.iloc[start:start + 256]
-                lists = [[] if x is None else np.asarray(x).tolist() for x in part["ids"]]
+                part = batch.slice(start, 256)
+                lists = [[] if x is None else x for x in part["ids"].to_pylist()] if part["ids"].null_count else _lists(part["ids"])
                 if any(x and min(x) < 0 for x in lists):
                     raise ValueError("negative token id")
-                yield part.assign(t=[bpe.decode(x) for x in lists])
+                texts = pa.array([bpe.decode(x) for x in lists], pa.string())
+                yield pa.RecordBatch.from_arrays([part["k"], part["ids"], texts], names=["k", "ids", "t"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(ids).alias("ids"))
-    return rows.mapInPandas(decoded, f"k {kind}, ids array<int>, t string").toDF(key, "ids", into)
+    return rows.mapInArrow(decoded, f"k {kind}, ids array<int>, t string").toDF(key, "ids", into)

@@ -48,6 +48,27 @@ def test_bpe_equals_library(spark):
     assert bpe.encode(frame(spark, []), BYTE).count() == 0
 
 
+def test_words_of_latin_texts_are_those_of_all_texts():
+    import random
+
+    import regex
+
+    draw = random.Random(3)
+    listed, plain = bpe.latin_words(), regex.compile(bpe.WORDS)
+    letters = [*map(chr, range(256)), *"'strevmdl  \n\t\x1c\x85\xa0" * 8]
+    for _ in range(5000):
+        text = "".join(draw.choices(letters, k=draw.randrange(16)))
+        assert listed.findall(text) == plain.findall(text), repr(text)
+
+
+def test_bpe_remembers_words_and_splits_them_by_the_text(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    own, tokenizer = bpe.Bpe(open(BYTE, encoding="utf-8").read()), Tokenizer.from_file(BYTE)
+    for text in ("it's a\x1cfine\x85 day  \n", "it's a fine day", "caf\u00e9 \u00b2\u00bd 12", "\u4f60\u597d it's \u2003 a", ""):
+        assert own.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own.memo) <= 3
+
+
 def test_bpe_decodes_broken_bytes_like_the_library():
     own, tokenizer = bpe.Bpe(open(BYTE, encoding="utf-8").read()), Tokenizer.from_file(BYTE)
     ids = own.encode("日本\U0001f600é").tolist()
