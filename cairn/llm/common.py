@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
@@ -36,9 +37,18 @@ def release_kept() -> None:
     """Drop what `kept_by_worker` holds, in functions of a stage that needs the memory for itself."""
     if sys.__dict__.pop("_cairn_kept", None):
         gc.collect()
+        give_back()
     pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Free memory of this process to the system, as workers outlive a stage and the next one's stand beside them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)
+
+
 def strings(column: Iterable) -> list[str]:
     """Texts with null as the empty text."""
     return ["" if t is None or t is pd.NA or t != t else t for t in column]

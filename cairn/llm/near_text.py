@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, release_kept, slices, small_batches, strings, text_key
+from cairn.llm.common import cut, give_back, release_kept, slices, small_batches, strings, text_key
 from cairn.operators.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -34,7 +34,7 @@ ROUNDS, TILE = 2, 256
 
 _P = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_STEP = 1 << 20
+_STEP = 1 << 17
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -62,7 +62,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edges[::2], edges[1::2]
     hashes = np.empty(len(starts), dtype=np.uint64)
     first = 0
-    while first < len(starts):  # whole words, about a MB of text at a time
+    while first < len(starts):  # whole words, about ``_STEP`` bytes of text at a time
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + _STEP)))
         a, z = int(starts[first]), int(ends[last - 1])
         up, down = _powers(1 << max(12, (z - a).bit_length()))
@@ -157,6 +157,7 @@ def _signed(df: DataFrame, key: str, text: str) -> DataFrame:
                 codes = banded(items)
                 yield pd.DataFrame({"id": b["id"], "sha": b["sha"], "size": [len(i[0]) for i in items],
                                     "bands": codes})
+        give_back()
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), text_key(text).alias("sha"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
@@ -170,6 +171,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
                 yield pd.DataFrame({"node": b["node"], "items": [np.unique(s).view(np.int64) for s in shingles(strings(b["text"]))]})
+        give_back()
 
     return docs.mapInPandas(listed, "node long, items array<long>")
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, kept_by_worker, slices, small_batches, strings
+from cairn.llm.common import cut, give_back, kept_by_worker, slices, small_batches, strings
 from cairn.llm.library import Library
 
 CAPACITY = 1024
@@ -32,8 +32,8 @@ CAPACITY = 1024
 PIVOTS, GAP = 2500, 1e-3
 #: A pattern fills up to this many sequences end to end, cutting what crosses their bounds; charge for a cut.
 ROLLS, CUT = 3, 0.25
-#: Pieces of text that a worker remembers the ids of (some 150 MB).
-MEMO = 700_000
+#: Pieces of text that a worker remembers the ids of (some 120 MB).
+MEMO = 400_000
 #: Rows of one rank group aimed at; groups are split further as the table grows.
 GROUP = 100_000
 
@@ -196,6 +196,7 @@ def _tokens(df: DataFrame, path: str, end: int, capacity: int, key: str, text: s
     stop = np.array([end], dtype="<u4").tobytes()
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         library = kept_by_worker(("library", path, MEMO), lambda: Library(source.value, MEMO))
         part, row, step = TaskContext.get().partitionId(), 0, 4 * capacity
         for batch in batches:
