@@ -17,7 +17,7 @@ OFFERS = ArrayType(StructType([
     StructField("j", IntegerType()), StructField("cost", DoubleType())]))
 OFFERS_ARROW = pa.list_(pa.struct([("side", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("cost", pa.float64())]))
 INDEXES = ArrayType(IntegerType())
-BLOCK = 256  # rows of a tile that `farthest` takes at a time
+BLOCK = 256  # rows of a tile that are compared at a time
 LINKS = ArrayType(StructType([StructField("u", StringType()), StructField("v", StringType())]))
 
 
@@ -105,24 +105,35 @@ def all_merges(tile: pa.Array, sizes: pa.Array) -> pa.Array:
         x, n = matrix(t.values).copy(), np.array(size.as_py(), float)
         cost = sq_distances(x, x) * (n[:, None] * n / (n[:, None] + n))
         np.fill_diagonal(cost, np.inf)
+        least = cost.min(axis=1)  # of each row, so that a merge looks at one row and not at the table
         rows = []
         for _ in range(len(x) - 1):
-            i, j = sorted(int(v) for v in np.unravel_index(cost.argmin(), cost.shape))
+            i = int(least.argmin())
+            i, j = sorted((i, int(cost[i].argmin())))
             rows.append({"side": 0, "i": i, "j": j, "cost": float(cost[i, j])})
+            stale = (cost[:, i] == least) | (cost[:, j] == least)
             x[i] = (n[i] * x[i] + n[j] * x[j]) / (n[i] + n[j])
             n[i] += n[j]
             cost[j, :] = cost[:, j] = np.inf
             fresh = sq_distances(x[i : i + 1], x)[0] * (n[i] * n / (n[i] + n))
             alive = np.isfinite(cost[i])
             cost[i, alive] = cost[alive, i] = fresh[alive]
+            least = np.minimum(least, cost[:, i])
+            stale[[i, j]] = True
+            least[stale] = cost[stale].min(axis=1)
         out.append(rows)
     return pa.array(out, OFFERS_ARROW)
 
 
+def _close(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Which vectors of the first tile are within eps of which of the second."""
+    return np.concatenate([np.sqrt(sq_distances(x[s:s + BLOCK], y)) <= eps for s in range(0, len(x), BLOCK)])
+
+
 @arrow_udf(INDEXES)
 def hits_within(a: pa.Array, b: pa.Array, eps: pa.Array) -> pa.Array:
     """For every vector of the first tile, how many of the second are within eps."""
-    out = [(np.sqrt(sq_distances(x, y)) <= e.as_py()).sum(axis=1).astype(np.int32) for (x, y), e in zip(_tiles(a, b), eps)]
+    out = [_close(x, y, e.as_py()).sum(axis=1).astype(np.int32) for (x, y), e in zip(_tiles(a, b), eps)]
     return pa.array(out, pa.list_(pa.int32()))
 
 
@@ -131,7 +142,7 @@ def first_within(a: pa.Array, b: pa.Array, eps: pa.Array) -> pa.Array:
     """For every vector of the first tile, the first row of the second within eps, or null."""
     out = []
     for (x, y), e in zip(_tiles(a, b), eps):
-        close = np.sqrt(sq_distances(x, y)) <= e.as_py()
+        close = _close(x, y, e.as_py())
         out.append([int(j) if hit else None for j, hit in zip(close.argmax(axis=1), close.any(axis=1))])
     return pa.array(out, pa.list_(pa.int32()))
 
@@ -150,11 +161,14 @@ def linking_pairs(a: pa.Array, names_a: pa.Array, b: pa.Array, names_b: pa.Array
             return v
 
         rows = []
-        for i, j in zip(*np.nonzero(np.sqrt(sq_distances(x, y)) <= e.as_py())):
-            u, v = top(p[i]), top(q[j])
-            if u != v:
-                up[v] = u
-                rows.append({"u": p[i], "v": q[j]})
+        codes = np.unique(q, return_inverse=True)[1]
+        for i, hits in enumerate(_close(x, y, e.as_py())):
+            at = np.flatnonzero(hits)
+            for j in at[np.unique(codes[at], return_index=True)[1]]:  # one vector of each name
+                u, v = top(p[i]), top(q[j])
+                if u != v:
+                    up[v] = u
+                    rows.append({"u": p[i], "v": q[j]})
         out.append(rows)
     return pa.array(out, pa.list_(pa.struct([("u", pa.string()), ("v", pa.string())])))
 
@@ -165,7 +179,7 @@ def neighbours_inside(tile: pa.Array, eps: pa.Array) -> pa.Array:
     out = []
     for x, e in zip(tile, eps):
         points = matrix(x.values)
-        out.append((np.sqrt(sq_distances(points, points)) <= e.as_py()).sum(axis=1).astype(np.int32))
+        out.append(_close(points, points, e.as_py()).sum(axis=1).astype(np.int32))
     return pa.array(out, pa.list_(pa.int32()))
 
 
@@ -175,9 +189,10 @@ def groups_inside(tile: pa.Array, eps: pa.Array) -> pa.Array:
     out = []
     for x, e in zip(tile, eps):
         points = matrix(x.values)
-        close = np.sqrt(sq_distances(points, points)) <= e.as_py()
+        close = _close(points, points, e.as_py())
         name, before = np.arange(len(points)), None
         while before is None or (name != before).any():
-            before, name = name, np.where(close, name[None, :], len(points)).min(axis=1)
+            before = name
+            name = np.concatenate([np.where(close[s:s + BLOCK], before, len(points)).min(axis=1) for s in range(0, len(points), BLOCK)])
         out.append(name.astype(np.int32))
     return pa.array(out, pa.list_(pa.int32()))

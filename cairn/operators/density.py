@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from cairn.functions.kernels import closest, first_within, groups_inside, hits_within, linking_pairs, matrix, neighbours_inside, sq_distances
 from cairn.functions.vectors import distance
-from cairn.operators.balls import FAN, LEAF, PIVOTS, SLACK, Cover, cover, leaf, tile_pairs, widened
+from cairn.operators.balls import BATCH_BYTES, FAN, LEAF, PIVOTS, SLACK, Cover, cover, grown, leaf, tile_pairs, widened
 from cairn.operators.checks import require_numbers
 from cairn.operators.graph import components
-from cairn.session import cut
+from cairn.session import cut, small_batches
 
 MIN_POINTS = 5  # fixed value: a core point's neighbours within eps, itself included
 SPREAD = 4096  # points of one ball compared by one task
+PARTS = 16  # share of all points that a ball may hold beyond ``leaf_rows``
 SAMPLE = 1 << 13  # points that the first balls and the pivots are taken from
 
 
@@ -120,6 +121,13 @@ def neighbourhood(points: DataFrame, eps: float, leaf_rows: int) -> Cover:
     return cover(work, lambda n, r: _tight(r, eps) | (n <= leaf_rows), near, roots)
 
 
+def _leaf_rows(points: DataFrame, leaf_rows: int) -> tuple[int, int]:
+    """Points of a loose ball at most, and pairs of such balls that a task gets at a time."""
+    size = points.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("dims")).first()
+    rows = grown(leaf_rows, size.n, size.dims or 1, PARTS)
+    return rows, max(1, BATCH_BYTES // (16 * rows * max(size.dims or 1, 1)))
+
+
 def _sized(found: Cover) -> DataFrame:
     """``a, b, n_a, n_b``: both directions of every pair of two different balls, with their points."""
     two = found.pairs.filter(F.col("a") != F.col("b")).select("a", "b")
@@ -167,12 +175,13 @@ def _reached(asking: DataFrame, pairs: DataFrame, shape: DataFrame, others: Data
     return answers.groupBy("id", "party").agg(F.sum("hits").alias("hits"))
 
 
-def _per_tile(points: DataFrame, answer) -> DataFrame:
-    """Apply a tile function to the points of every loose ball: ``id, answer`` as indexes."""
+def _per_tile(points: DataFrame, answer, named: bool = False) -> DataFrame:
+    """Apply a tile function to the points of every loose ball: ``ball, id, v``, the answer or the point that it numbers."""
     packed = points.groupBy("ball").agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("p"))
-    return packed.select("ball", F.col("p.id").alias("ids"), answer(F.col("p.x")).alias("v")).select(
-        "ball", "ids", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("v").alias("v"))).alias("o")
-    ).select("ball", "ids", "o.id", "o.v")
+    told = packed.select("ball", F.col("p.id").alias("id"), answer(F.col("p.x")).alias("v"))
+    if named:
+        told = told.withColumn("v", F.transform("v", lambda i: F.get("id", i)))
+    return told.select("ball", F.explode(F.arrays_zip("id", "v")).alias("o")).select("ball", "o.id", "o.v")
 
 
 def _core(found: Cover, sized: DataFrame, eps: float, min_points: int, leaf_rows: int) -> DataFrame:
@@ -203,15 +212,17 @@ def core_points(points: DataFrame, eps: float, min_points: int = MIN_POINTS, lea
     For every point: are at least ``min_points`` points, itself included, within
     eps?
     """
+    leaf_rows, most = _leaf_rows(points, leaf_rows)
     found = neighbourhood(points, eps, leaf_rows)
-    return _core(found, _sized(found), eps, min_points, leaf_rows).select(F.col("id").alias("point_id"), "core")
+    with small_batches(points.sparkSession, most):
+        return cut(_core(found, _sized(found), eps, min_points, leaf_rows).select(F.col("id").alias("point_id"), "core"))
 
 
 def _parties(cores: DataFrame, eps: float) -> DataFrame:
     """Give every core point its party: core points of one ball linked within the ball."""
     loose = cores.filter(~F.col("tight"))
-    inside = _per_tile(loose, lambda xs: groups_inside(xs, F.lit(eps))).select(
-        "id", F.concat_ws("/", "ball", F.get("ids", "v").cast("string")).alias("party"))
+    inside = _per_tile(loose, lambda xs: groups_inside(xs, F.lit(eps)), named=True).select(
+        "id", F.concat_ws("/", "ball", F.col("v").cast("string")).alias("party"))
     return cores.join(inside, "id", "left").select("id", "x", "ball", "n", F.coalesce("party", "ball").alias("party"))
 
 
@@ -304,7 +315,13 @@ def dbscan(points: DataFrame, eps: float, min_points: int = MIN_POINTS, leaf_row
     scan in id order would decide.  Features that are null or no finite numbers raise.
     """
     require_numbers(points)
+    leaf_rows, most = _leaf_rows(points, leaf_rows)
     found = neighbourhood(points, eps, leaf_rows)
+    with small_batches(points.sparkSession, most):
+        return cut(_labelled(found, eps, min_points, leaf_rows))
+
+
+def _labelled(found: Cover, eps: float, min_points: int, leaf_rows: int) -> DataFrame:
     shape, sized = found.balls.select("ball", "pivot", "r"), _sized(found)
     state = cut(_core(found, sized, eps, min_points, leaf_rows))
     cores = cut(_parties(state.filter("core"), eps))
@@ -319,7 +336,8 @@ def dbscan(points: DataFrame, eps: float, min_points: int = MIN_POINTS, leaf_row
     itself = found.balls.select(F.col("ball").alias("a"), F.col("ball").alias("b"), F.col("n").alias("n_b"))
     pairs = sized.select("a", "b", "n_b").unionByName(itself)
     reach = _beside(border, pairs.filter(F.col("n_b") <= leaf_rows).select("a", "b"), labelled.filter(F.col("n") <= leaf_rows), lambda x, y: first_within(x, y, F.lit(eps)))
-    joined = reach.select("more", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("v").alias("at"))).alias("o")).filter("o.at IS NOT NULL").select("o.id", F.get("more", F.col("o.at")).alias("label"))
+    told = reach.select(F.col("ids").alias("id"), F.transform("v", lambda at: F.get("more", at)).alias("label"))
+    joined = told.select(F.explode(F.arrays_zip("id", "label")).alias("o")).select("o.id", "o.label").filter("label IS NOT NULL")
     crowds = pairs.filter(F.col("n_b") > leaf_rows).select("a", "b")
     if not crowds.isEmpty():
         hit = _reached(border, crowds, shape, labelled.filter(F.col("n") > leaf_rows).select("id", "x", "ball", "party"), eps)
