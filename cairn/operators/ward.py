@@ -20,11 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.kernels import all_merges, cheapest_partner
-from cairn.operators.balls import LEAF, PIVOTS, SLACK, cover, leaf, tile_pairs
+from cairn.operators.balls import LEAF, PIVOTS, SLACK, cover, grown, leaf, tile_pairs
 from cairn.operators.checks import require_numbers
 from cairn.operators.graph import components
 from cairn.session import cut, forget
 
+#: A tile holds up to this share of the clusters alive, the last one a quarter of those at first or what they exceed ``TILE`` by; ``TILE`` rows at most.
+PARTS, TILE = 8, 1 << 10
+#: Up to so many clusters alive all tiles meet, in one job: the levels of a cover would take more jobs than bounds save work.
+DIRECT = PARTS * TILE
+
 
 def _cost(n: Column, m: Column, d: Column) -> Column:
     return n.cast("double") * m / (n + m) * d * d
@@ -50,11 +55,29 @@ def _may_be_cheapest(pairs: DataFrame) -> DataFrame:
         useful | (asks_a & (F.col("a") == F.col("b"))))
 
 
-def _best_partners(live: DataFrame, leaf_rows: int) -> DataFrame:
-    """Cheapest merge ``(cost, lo, hi)``, among all live clusters, of every one that ``asks``."""
+def _covered(live: DataFrame, leaf_rows: int) -> DataFrame:
+    """Pairs of tiles that may hold the cheapest partner of an asking cluster."""
     asks = F.array_repeat(F.col("asks").cast("double"), PIVOTS)  # a ball's limits say if any of its clusters asks
     pts = live.select(F.lit(0).alias("grp"), "id", F.col("centroid").alias("x"), F.col("n").alias("w"), asks.alias("t"))
-    pairs = tile_pairs(cover(pts, leaf(leaf_rows), _may_be_cheapest))
+    return tile_pairs(cover(pts, leaf(leaf_rows), _may_be_cheapest))
+
+
+def _dealt(live: DataFrame, tiles: int) -> DataFrame:
+    """Every pair of tiles with an asking cluster, clusters dealt over the tiles by hash."""
+    tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).alias("tile")
+    packed = cut(live.groupBy(tile).agg(
+        F.sort_array(F.collect_list(F.struct("id", F.col("centroid").alias("x"), F.col("n").alias("w")))).alias("p"), F.max("asks").alias("asks")))
+
+    def side(s: str) -> DataFrame:
+        return packed.select(F.col("tile").alias(s), F.col("p.id").alias(f"ids_{s}"), F.col("p.x").alias(f"xs_{s}"), F.col("p.w").alias(f"ws_{s}"), F.col("asks").alias(f"asks_{s}"))
+
+    met = live.sparkSession.range(tiles).withColumnRenamed("id", "a").withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(tiles - 1).cast("long"))))
+    return met.repartition(tiles, "a", "b").join(side("a"), "a").join(side("b"), "b").filter("asks_a OR asks_b")
+
+
+def _best_partners(live: DataFrame, leaf_rows: int, alive: int) -> DataFrame:
+    """Cheapest merge ``(cost, lo, hi)``, among all live clusters, of every one that ``asks``."""
+    pairs = _dealt(live, -(-alive // leaf_rows)) if alive <= DIRECT and alive <= 2 * PARTS * leaf_rows else _covered(live, leaf_rows)
     offers = pairs.select(
         "ids_a", "ids_b",
         F.explode(cheapest_partner("xs_a", "ws_a", "xs_b", "ws_b", F.col("a") == F.col("b"))).alias("o"))
@@ -88,10 +111,12 @@ def history(points: DataFrame, leaf_rows: int = LEAF, log: list[tuple[int, int]]
     live, table = cut(same.select("id", "n", F.col("features").alias("centroid"), F.lit(True).alias("asks"))), None
     copies = points.join(same.select("features", "id"), "features").filter(F.col("point_id") != F.col("id"))
     merges = [copies.select(F.lit(0.0).alias("cost"), F.col("id").alias("lo"), F.col("point_id").alias("hi"))]
-    while live.limit(leaf_rows + 1).count() > leaf_rows:
+    alive = live.count()
+    last_rows = max(grown(leaf_rows, alive, 1, 4, TILE), min(TILE, alive - TILE))
+    while alive > last_rows:
         if log is not None:
             log.append((live.filter("asks").count(), live.count()))
-        asked = cut(_best_partners(live, leaf_rows))
+        asked = cut(_best_partners(live, grown(leaf_rows, alive, 1, PARTS, TILE), alive))
         told = asked.select(F.when(F.col("id") == F.col("best.lo"), F.col("best.hi")).otherwise(F.col("best.lo")).alias("id"), "best")
         every = asked.unionByName(told) if table is None else asked.unionByName(told).unionByName(table)
         best = cut(every.groupBy("id").agg(F.min("best").alias("best")))
@@ -114,6 +139,7 @@ def history(points: DataFrame, leaf_rows: int = LEAF, log: list[tuple[int, int]]
         merged = rest.unionByName(_weighted_mean(touched)).join(settled, "id", "left")
         before, live = live, cut(merged.select("id", "n", "centroid", F.coalesce("again", F.lit(True)).alias("asks")))
         forget(before, best, asked, last)
+        alive = live.count()
     merges.append(_last_merges(live))
     return reduce(DataFrame.unionByName, merges)
 
