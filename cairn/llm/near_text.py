@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import cut, give_back, release_kept, slices, small_batches, strings, text_key
 from cairn.operators.graph import components
+from cairn.session import forget
 
 WORDS, SIMILARITY = 5, 0.8
 #: Places of a signature: BANDS bands of ROWS.  A pair at 0.8 is missed by the signature of weights 1, and so by both
@@ -176,24 +177,19 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(listed, "node long, items array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of distinct nodes with their similarity; pairs whose sizes rule 0.8 out are left out first."""
-    def sized(name: str) -> DataFrame:
-        return sizes.select(F.col("node").alias(name), F.col("size").alias(f"n_{name}"))
-
-    fair = pairs.join(sized("u"), "u").join(sized("v"), "v").filter(F.least("n_u", "n_v") >= SIMILARITY * F.greatest("n_u", "n_v"))
-    fair = fair.select("u", "v").distinct()
-    both = fair.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of distinct nodes with their similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     both = both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
     return both.select("u", "v", (F.col("common") / (F.col("total") - F.col("common"))).alias("similarity"))
 
 
-def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, class) of every node."""
-    joined = components(links.select("u", "v")).select("node", F.col("component").alias("class"))
-    return nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+def _classed(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``nodes`` with the ``class`` of each: its component of the links, or itself."""
+    joined = linked.select("node", F.col("component").alias("class"))
+    return nodes.join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,40 +207,40 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     with small_batches(df.sparkSession, 2000):
         signed = cut(_signed(df, key, text))
-    low = signed.groupBy("sha").agg(F.min("id").alias("low"))
-    nodes = signed.select("sha", "size", "bands").dropDuplicates(["sha"]).withColumn("node", F.monotonically_increasing_id())
-    nodes = cut(nodes)  # numbers stay as written
-    sizes = nodes.select("node", "size")
-    coded = nodes.select("node", F.explode("bands").alias("h"))
+    nodes = signed.groupBy("sha").agg(F.min("id").alias("low"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))  # numbers stay as written
+    coded = nodes.select("node", "size", F.explode("bands").alias("h"))
     buckets = coded.groupBy("h").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     members = cut(coded.join(buckets.select("h"), "h"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "sha"), "node").join(low, "sha").select("node", "sha", "low")
+    wanted = nodes.join(members.select("node"), "node", "left_semi").select("node", "sha", "low")
     docs = df.select(F.col(key).alias("id"), text_key(text).alias("sha"), F.col(text).cast("string").alias("text")).alias("d")
     docs = docs.join(wanted.alias("w"), F.expr("d.id <=> w.low AND d.sha = w.sha")).select("w.node", "d.text")
     with small_batches(df.sparkSession, 2000):
         sets = cut(_sets(docs).dropDuplicates(["node"]))
 
-    links, classes, active = None, nodes.select("node", F.col("node").alias("class")), members
+    links, active = None, members.withColumn("class", F.col("node"))
     for turn in range(ROUNDS):
-        order = F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long"), "node")
-        heads = active.groupBy("h").agg(F.min(order)["node"].alias("head"))
-        pairs = active.join(heads, "h").filter("node <> head")
-        pairs = pairs.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
-        if turn:
-            pairs = _across(pairs, classes)
-        found = cut(_verified(pairs, sets, sizes).filter(F.col("similarity") >= SIMILARITY).select("u", "v"))
+        order = F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long"), "node", "size", "class")
+        heads = active.groupBy("h").agg(F.min(order).alias("head"))
+        pairs = active.join(heads, "h").filter(F.col("class") != F.col("head.class"))
+        # sizes that rule 0.8 out
+        pairs = pairs.filter(F.least("size", "head.size") >= SIMILARITY * F.greatest("size", "head.size"))
+        pairs = pairs.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")).distinct()
+        found = cut(_verified(pairs, sets).filter(F.col("similarity") >= SIMILARITY).select("u", "v"))
         links = found if links is None else links.unionByName(found)
-        classes = cut(_classes(nodes, links))
-        active = cut(_open(active, classes))
+        linked = components(links)
+        before, active = active, cut(_open(_classed(active.select("h", "node", "size"), linked)))
+        forget(members if turn == 0 else before)
         if active.isEmpty():
             break
     else:
-        active = cut(_open(_linkable(active, classes, sets, sizes), classes))
+        active = _linkable(active, sets)
         if not active.isEmpty():
-            links = links.unionByName(cut(_compared(active, classes, sets)))
-            classes = cut(_classes(nodes, links))
+            links = links.unionByName(cut(_compared(active, sets)))
+            linked = components(links)
+    forget(active, sets)
 
-    named = nodes.select("node", "sha").join(low, "sha").join(classes, "node")
+    named = _classed(nodes.select("node", "sha", "low"), linked)
     # smallest (key, digest) of a class, null keys last
     first = named.groupBy("class").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "sha")).alias("first"))
     named = named.join(first, "class").select("sha", F.col("first.low").alias("class_id"), F.col("first.sha").alias("first_sha"))
@@ -254,25 +250,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return out.unionByName(nulls).withColumnRenamed("id", key)
 
 
-def _linkable(active: DataFrame, classes: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``active`` without texts that share too few shingles with other classes to link to any of them.
+def _linkable(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """What is open of ``active`` without texts that share too few shingles with other classes to link to any of them.
 
     Similarity 0.8 with a set of size m asks for 4/9 (n + m) common shingles, and m is at least 0.8 n and
     at least the smallest size in the text's buckets.  Shingles that occur in one class only
     are common with none of another.
     """
-    sized = active.join(sizes, "node")
-    least = sized.groupBy("h").agg(F.min("size").alias("least"))
-    needs = sized.join(least, "h").groupBy("node", "size").agg(F.min("least").alias("least"))
-    items = cut(needs.select("node").join(sets, "node").join(classes, "node").select("node", "class", F.explode("items").alias("item")))
+    least = active.groupBy("h").agg(F.min("size").alias("least"))
+    needs = active.join(least, "h").groupBy("node", "size", "class").agg(F.min("least").alias("least"))
+    items = cut(needs.join(sets, "node").select("node", "size", "class", "least", F.explode("items").alias("item")))
     shared = items.groupBy("item").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("item")
-    common = items.join(shared, "item", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
+    common = items.join(shared, "item", "left_semi").groupBy("node").agg(
+        F.count("*").alias("common"), F.first("size").alias("size"), F.first("least").alias("least"))
     share = SIMILARITY / (1 + SIMILARITY)
     fair = F.col("common") >= F.floor(share * (F.col("size") + F.greatest(F.col("least"), SIMILARITY * F.col("size"))))
-    return active.join(needs.join(common, "node").filter(fair).select("node"), "node", "left_semi").select("h", "node")
+    left = cut(_open(active.join(common.filter(fair).select("node"), "node", "left_semi")))
+    forget(items, active)
+    return left
 
 
-def _compared(active: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(active: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between texts of different classes, by comparing all texts joined by shared buckets.
 
     Such a group is dealt into tiles of about ``TILE`` texts, and each pair of tiles is a task's group of its own that
@@ -280,7 +278,8 @@ def _compared(active: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     """
     heads = active.groupBy("h").agg(F.min("node").alias("u"))
     joined = components(active.join(heads, "h").select("u", F.col("node").alias("v")))
-    placed = joined.select("node", F.col("component").alias("grp")).join(classes, "node").join(sets, "node")
+    owners = active.select("node", "class").distinct()
+    placed = joined.select("node", F.col("component").alias("grp")).join(owners, "node").join(sets, "node")
     counts = joined.groupBy(F.col("component").alias("grp")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = placed.join(counts, "grp").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -318,18 +317,10 @@ def jaccard(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
     return common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1)
 
 
-def _across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose classes differ."""
-    named = pairs.join(classes.select(F.col("node").alias("u"), F.col("class").alias("cu")), "u")
-    named = named.join(classes.select(F.col("node").alias("v"), F.col("class").alias("cv")), "v")
-    return named.filter("cu <> cv").select("u", "v")
-
-
-def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _open(members: DataFrame) -> DataFrame:
     """Members of buckets that still hold several classes."""
-    named = members.join(classes, "node")
-    mixed = named.groupBy("h").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("h")
-    return named.join(mixed, "h", "left_semi").select("h", "node")
+    mixed = members.groupBy("h").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("h")
+    return members.join(mixed, "h", "left_semi").select("h", "node", "size", "class")
 
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

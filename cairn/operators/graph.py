@@ -18,13 +18,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links neighbours to the smallest one near them; the number of
     rounds grows with the logarithm of the graph, not with its longest path.
     Minima are taken map-side and joined back, so no neighbour list is built.  Before a
-    round each partition joins the edges it holds into stars, which settles a graph of one
-    partition at once and leaves of others at most one edge per node and partition.
+    round each partition joins the edges it holds into stars, which leaves at most one edge per node and partition.
+    Once the edges left are as few as a task joins at a time, one task joins them all and no round is needed.
     """
-    now = cut(_joined(_clean(edges.select("u", "v"))))
-    while not _only_stars(now):
+    now = cut(_joined(edges.select("u", "v").filter(F.col("u") != F.col("v"))))
+    while not (few := 2 * now.count() <= HELD) and not _only_stars(now):
         before, now = now, cut(_joined(_small_star(_large_star(now))))
         forget(before)
+    if few:
+        before, now = now, cut(_joined(now.coalesce(1)))
+        forget(before)
     named = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
     roots = named.select(F.col("component").alias("node"), "component").distinct()
     return named.unionByName(roots)

@@ -177,3 +177,21 @@ def test_components_leave_one_step(spark):
     named = components(chain)
     assert {r.component for r in named.collect()} == {0} and named.count() == 41
     assert len(set(os.listdir(folder)) - before) == 1
+
+
+def test_few_edges_are_joined_in_two_steps_and_many_in_rounds(spark, monkeypatch):
+    from cairn.operators import graph
+
+    order = np.random.default_rng(4).permutation(3000).tolist()
+    rows = [(a, b) for i, (a, b) in enumerate(zip(order, order[1:])) if i != 1000] + [(7, 7), (None, 3), (order[0], order[1])]
+    edges = spark.createDataFrame(rows, "u long, v long").repartition(16)
+    steps, plain, together = [], graph.cut, "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(together, False)  # as where partitions are many and large
+    monkeypatch.setattr(graph, "cut", lambda df: (steps.append(df), plain(df))[1])
+    few = sorted(map(tuple, components(edges).collect()))
+    assert len(steps) == 2
+    monkeypatch.setattr(graph, "HELD", 40)
+    assert sorted(map(tuple, components(edges).collect())) == few
+    spark.conf.unset(together)
+    assert len(steps) - 2 > 2  # the rounds that few edges took as well
+    assert dict(few) == {n: min(part) for part in (order[:1001], order[1001:]) for n in part}
