@@ -18,8 +18,11 @@ from cairn.llm.common import runs
 
 #: Pieces remembered by one worker; beyond that it forgets those longer than ``KEEP``, or all.
 MEMO, KEEP = 500_000, 9
+_LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
 #: A word of Latin letters before a stop or comma that ends its run: the letters are a piece, the rest another.
-PLAIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[.,!?]*(?:[ \n]|\Z))"
+PLAIN = rf"{_LETTERS}(?=[.,!?]*(?:[ \n]|\Z))"
+#: The same before any ASCII marks but those that added tokens begin with: byte level parts letters from all of them.
+MARKED = rf"{_LETTERS}(?=[!-/:;=?@\[-`{{}}~]*(?:[ \n]|\Z))"
 
 
 _STOPPED = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?]+)")
@@ -56,12 +59,15 @@ class Library:
         safe = bool(added) and len(added) == len(spec["added_tokens"]) and model["type"] == "BPE" and not model.get("dropout")
         self.pieces = None
         if safe and byte_level:
-            self.pieces = re.compile(rf"(?: |^){PLAIN}|\s*\S+|\s+")
+            # one line end between a run and a word of letters is a piece, and the word another
+            word = MARKED if all(t["content"].startswith("<|") for t in added) else PLAIN
+            self.pieces = re.compile(rf"(?: |^|(?<=\n)){word}|\n(?={word})|\s*\S+|\s+")
         elif safe and parted:
             self.pieces = re.compile(rf"(?<![^ \n\t\r]){PLAIN}|[^ \n\t\r]+")
         # a run of Latin-1 letters is one word of the model: it may be asked without the steps before it
         self.word = re.compile(r"{}[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z".format(" ?" if byte_level else ""))
         self.lower = parted and not byte_level
+        self.blank = " " if byte_level else ""
         self.letters = byte_letters()
         if added:
             self.mark, self.mark_id = added[0]["content"], added[0]["id"]
@@ -79,7 +85,7 @@ class Library:
             self._learn_plain(new)
 
     def _learn_plain(self, new: list[str]) -> None:
-        words = [p for p in new if self.word.match(p)]
+        words = [p for p in new if (p.removeprefix(self.blank).isalpha() if p.isascii() else self.word.match(p))]
         self._ask(words)
         new = list(set(new).difference(words))
         with_mark = [p for p in new if self.mark in p]
@@ -99,10 +105,11 @@ class Library:
 
     def _ask(self, words: list[str]) -> None:
         """Words straight to the model, each byte as the letter that stands for it."""
-        tokenize = self.tokenizer.model.tokenize
+        tokenize, blank = self.tokenizer.model.tokenize, self.letters[32]
         letters = dict(enumerate(self.letters))
         for w in words:
-            inner = (w.lower() if self.lower else w).encode().decode("latin-1").translate(letters)
+            inner = w.lower() if self.lower else w
+            inner = inner.replace(" ", blank) if inner.isascii() else inner.encode().decode("latin-1").translate(letters)
             self.memo[w] = pack(f"<{len(found := tokenize(inner))}I", *[t.id for t in found])
 
     def _ids(self, text: str) -> list[int]:

@@ -33,6 +33,17 @@ def test_library_pieces_equal_whole_texts(path):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_library_parts_words_from_marks_and_line_ends():
+    tokenizer, own = Tokenizer.from_file(BYTE), Library(open(BYTE, encoding="utf-8").read())
+    texts = ["one two###\ntwo one.%%%\none two;\n two\n\none \none\r\ntwo it's' <two|endoftext|>", "two#<|endoftext|>\none\u00a0\ntwo-", "\none\n", "one_\t\ntwo two\u0301"]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    marks = ["###", ".%%%", "$$$", "&&&", "-"]
+    own.memo.clear()
+    own.encode([f"word{m}\nword word{m}" for m in marks])
+    assert set(own.memo) == {"word", " word", "\n", *marks}  # before, each mark and line end made words of its own
+
+
 def test_library_forgets_without_harm():
     tokenizer, own = Tokenizer.from_file(BYTE), Library(open(BYTE, encoding="utf-8").read(), memo=5)
     for t, got in zip(ODD, [own.encode([t])[0] for t in ODD]):
