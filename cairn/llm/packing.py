@@ -32,8 +32,8 @@ CAPACITY = 1024
 PIVOTS, GAP = 2500, 1e-3
 #: A pattern fills up to this many sequences end to end, cutting what crosses their bounds; charge for a cut.
 ROLLS, CUT = 3, 0.25
-#: Pieces of text that a worker remembers the ids of (some 150 MB).
-MEMO = 700_000
+#: Pieces of text that a worker remembers the ids of (some 120 MB).
+MEMO = 400_000
 #: Rows of one rank group aimed at; groups are split further as the table grows.
 GROUP = 100_000
 
