@@ -18,6 +18,7 @@ OFFERS = ArrayType(StructType([
 OFFERS_ARROW = pa.list_(pa.struct([("side", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("cost", pa.float64())]))
 INDEXES = ArrayType(IntegerType())
 BLOCK = 256  # rows of a tile that are compared at a time
+COLUMNS, PAIRS = 1 << 12, 1 << 16  # rows that a block of rows is compared with at a time, and pairs whose distances are summed in order
 LINKS = ArrayType(StructType([StructField("u", StringType()), StructField("v", StringType())]))
 
 
@@ -35,6 +36,75 @@ def sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def rough_sq_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one matrix product, and by how much one may differ from `sq_distances` (infinite if unknown).
+
+    Far cheaper than the sums in order, so searches ask those only for what lies within the difference.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        out = a @ b.T
+        out *= -2
+        out += aa[:, None]
+        out += bb
+        off = (4 * a.shape[1] + 16) * np.finfo(float).eps * (aa.max(initial=0) + bb.max(initial=0))
+    return out, float(off) if off < 1e280 else float("inf")
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows of ``a`` to the same rows of ``b``, with the digits of `sq_distances`."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        diff = a[:, k] - b[:, k]
+        out += diff * diff
+    return out
+
+
+def largest_sq_distance(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
+    """The largest squared distance between two tiles, or ``least`` if that is more, compared by blocks of rows."""
+    for s in range(0, len(x), BLOCK):
+        p = x[s:s + BLOCK]
+        rough, off = rough_sq_distances(p, y)
+        if off == float("inf"):
+            least = max(least, float(sq_distances(p, y).max(initial=0)))
+            continue
+        top = rough.max(initial=0)
+        if top + off <= least:
+            continue
+        i, j = np.nonzero(rough >= max(top - off, least) - off)
+        for t in range(0, len(i), PAIRS):
+            least = max(least, float(_in_order(p[i[t:t + PAIRS]], y[j[t:t + PAIRS]]).max()))
+    return least
+
+
+def cheapest_of(x: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ward cost and row of the cheapest partner, among all rows but itself, of each row in ``at``; the first on ties."""
+    cost, which = np.full(len(at), np.inf), np.full(len(at), -1)
+    for s in range(0, len(at), BLOCK):
+        rows, best, pick = at[s:s + BLOCK], cost[s:s + BLOCK], which[s:s + BLOCK]
+        p, m = x[rows], n[rows]
+        for t in range(0, len(x), COLUMNS):
+            y, w = x[t:t + COLUMNS], n[t:t + COLUMNS]
+            weight = m[:, None] * w / (m[:, None] + w)
+            rough, off = rough_sq_distances(p, y)
+            if off == float("inf"):
+                rough, off = sq_distances(p, y), 0.0
+            rough *= weight
+            own = (rows >= t) & (rows < t + len(y))
+            rough[np.flatnonzero(own), rows[own] - t] = np.inf
+            low, off = rough.min(axis=1), off * m  # a weight is below either size
+            near = (rough <= (np.minimum(low + off, best) + off)[:, None]) & np.isfinite(rough)
+            i, j = np.nonzero(near)
+            for u in range(0, len(i), PAIRS):
+                a, b = i[u:u + PAIRS], j[u:u + PAIRS]
+                exact = _in_order(p[a], y[b]) * weight[a, b]
+                order = np.lexsort((b, exact, a))
+                first = order[np.flatnonzero(np.diff(a[order], prepend=-1))]
+                first = first[exact[first] < best[a[first]]]
+                best[a[first]], pick[a[first]] = exact[first], b[first] + t
+    return cost, which
+
+
 @arrow_udf(NEAREST)
 def nearest_seed(x: pa.Array, seeds: pa.Array) -> pa.Array:
     """Index of the nearest vector of each row's own list, first on ties, and its distance."""
@@ -60,10 +130,7 @@ def _tiles(a: pa.Array, b: pa.Array):
 @arrow_udf(DoubleType())
 def farthest(a: pa.Array, b: pa.Array) -> pa.Array:
     """Largest squared distance between two tiles of vectors, by blocks of them that stay in the processor's cache."""
-    def blocks(x: np.ndarray) -> list[np.ndarray]:
-        return [x[s:s + BLOCK] for s in range(0, len(x), BLOCK)]
-
-    return pa.array([float(np.max([sq_distances(p, q).max() for p in blocks(x) for q in blocks(y)])) for x, y in _tiles(a, b)])
+    return pa.array([largest_sq_distance(x, y) for x, y in _tiles(a, b)])
 
 
 @arrow_udf(DoubleType())
@@ -127,7 +194,29 @@ def all_merges(tile: pa.Array, sizes: pa.Array) -> pa.Array:
 
 def _close(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
     """Which vectors of the first tile are within eps of which of the second."""
-    return np.concatenate([np.sqrt(sq_distances(x[s:s + BLOCK], y)) <= eps for s in range(0, len(x), BLOCK)])
+    out = np.zeros((len(x), len(y)), bool)
+    for s in range(0, len(x), BLOCK):
+        p = x[s:s + BLOCK]
+        rough, off = rough_sq_distances(p, y)
+        if off == float("inf"):
+            out[s:s + BLOCK] = np.sqrt(sq_distances(p, y)) <= eps
+            continue
+        off += 4 * np.finfo(float).eps * eps * eps  # the root and the square are rounded too
+        out[s:s + BLOCK] = rough <= eps * eps - off
+        i, j = np.nonzero(np.abs(rough - eps * eps) <= off)
+        for t in range(0, len(i), PAIRS):
+            a, b = i[t:t + PAIRS], j[t:t + PAIRS]
+            out[s + a, b] = np.sqrt(_in_order(p[a], y[b])) <= eps
+    return out
+
+
+def pairs_within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Rows of the one and the other that are within eps of each other, two rows of numbers."""
+    found = [np.zeros((2, 0), np.int64)]
+    for s in range(0, len(x), BLOCK):
+        for t in range(0, len(y), COLUMNS):
+            found.append(np.array(np.nonzero(_close(x[s:s + BLOCK], y[t:t + COLUMNS], eps))) + [[s], [t]])
+    return np.concatenate(found, axis=1)
 
 
 @arrow_udf(INDEXES)

@@ -45,7 +45,7 @@ def described(sets: DataFrame) -> DataFrame:
     return sets.select("set_key", "n", F.transform("s", lambda s: s / n).alias("c"), mean.alias("v"))
 
 
-def _fits(n: float, c: np.ndarray, v: float, sizes: np.ndarray, centroids: np.ndarray, spreads: np.ndarray, alpha: float) -> np.ndarray:
+def fitting(n: float, c: np.ndarray, v: float, sizes: np.ndarray, centroids: np.ndarray, spreads: np.ndarray, alpha: float) -> np.ndarray:
     """Which of many sets may merge with one."""
     both = n + sizes
     within, between = (n * v + sizes * spreads) / both, ((centroids - c) ** 2).mean(axis=1)
@@ -60,7 +60,7 @@ def first_partner(n_a: pa.Array, c_a: pa.Array, v_a: pa.Array, n_b: pa.Array, c_
     for na, ca, va, nb, cb, vb, one, al in zip(n_a, c_a, v_a, n_b, c_b, v_b, same, alpha):
         (n1, v1), (n2, v2) = ((np.array(n.as_py(), float), np.array(v.as_py(), float)) for n, v in ((na, va), (nb, vb)))
         c1, c2 = matrix(ca.values), matrix(cb.values)
-        fits = np.array([_fits(n1[i], c1[i], v1[i], n2, c2, v2, al.as_py()) for i in range(len(n1))])
+        fits = np.array([fitting(n1[i], c1[i], v1[i], n2, c2, v2, al.as_py()) for i in range(len(n1))])
         rows = []
         if one.as_py():
             np.fill_diagonal(fits, False)
@@ -118,7 +118,7 @@ def _partners(live: DataFrame, alpha: float, head: list, most: int) -> DataFrame
             names, c2 = [_key(r) for r in rows], matrix(batch.column("c"))
             n2, v2 = (batch.column(x).to_numpy(zero_copy_only=False).astype(float) for x in ("n", "v"))
             for i in range(len(first)):
-                fits = _fits(size[i], centroid[i], spread[i], n2, c2, v2, alpha)
+                fits = fitting(size[i], centroid[i], spread[i], n2, c2, v2, alpha)
                 more = [(names[j], rows[j]) for j in np.flatnonzero(fits) if names[j] > first[i]]
                 best[i] = sorted(best[i] + more, key=lambda x: x[0])[:most]
         at = [i for i, b in enumerate(best) for _ in b]

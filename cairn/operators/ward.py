@@ -10,16 +10,23 @@ its parts were, so after a round only the merged clusters and those whose partne
 and a search that finds a cluster cheaper than that one's own partner tells it so.  Once the clusters alive fit one
 tile, a fixed number of rows however large the seed was, the last merges are made
 in one go.
+
+Clusters of up to ``HELD_BYTES`` are kept on the driver, as states are in `assign`: a round is then one job, in which
+every task gets all clusters and searches for some of those that ask, and nothing is shuffled or written.  More
+take rounds over tables until they are few enough.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from cairn.functions.kernels import all_merges, cheapest_partner
+from cairn.functions.kernels import all_merges, cheapest_of, cheapest_partner, matrix
 from cairn.operators.balls import LEAF, PIVOTS, SLACK, cover, grown, leaf, tile_pairs
 from cairn.operators.checks import require_numbers
 from cairn.operators.graph import components
@@ -29,6 +36,8 @@ from cairn.session import cut, forget
 PARTS, TILE = 8, 1 << 10
 #: Up to so many clusters alive all tiles meet, in one job: the levels of a cover would take more jobs than bounds save work.
 DIRECT = PARTS * TILE
+#: Clusters alive that the driver keeps, by their vectors' bytes and by number; so many pairs are compared without a job.
+HELD_BYTES, HELD_ROWS, AT_ONCE = 100_000_000, 1 << 18, 1 << 22
 
 
 def _cost(n: Column, m: Column, d: Column) -> Column:
@@ -114,6 +123,10 @@ def history(points: DataFrame, leaf_rows: int = LEAF, log: list[tuple[int, int]]
     alive = live.count()
     last_rows = max(grown(leaf_rows, alive, 1, 4, TILE), min(TILE, alive - TILE))
     while alive > last_rows:
+        if _few(live, alive):
+            found, live = _held_rounds(live, last_rows, log)
+            merges.append(found)
+            break
         if log is not None:
             log.append((live.filter("asks").count(), live.count()))
         asked = cut(_best_partners(live, grown(leaf_rows, alive, 1, PARTS, TILE), alive))
@@ -144,6 +157,82 @@ def history(points: DataFrame, leaf_rows: int = LEAF, log: list[tuple[int, int]]
     return reduce(DataFrame.unionByName, merges)
 
 
+def _few(live: DataFrame, alive: int) -> bool:
+    """True for clusters that one last tile is too small for and the driver is not."""
+    return TILE < alive <= HELD_ROWS and alive * 8 * len(live.first().centroid) <= HELD_BYTES
+
+
+def _searched(spark, x: np.ndarray, n: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cost and row of the cheapest partner of every asking row, searched by tasks that get all rows."""
+    if len(asks) * len(x) <= AT_ONCE:
+        return cheapest_of(x, n, asks)
+    tasks = min(4 * spark.sparkContext.defaultParallelism, -(-len(asks) // 64))
+    held = spark.sparkContext.broadcast((x, n, asks))
+
+    def run(batches):
+        for batch in batches:
+            for t in batch["id"].to_pylist():
+                x, n, asks = held.value
+                rows = np.arange(t, len(asks), tasks)
+                cost, which = cheapest_of(x, n, asks[rows])
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cost), pa.array(which)], ["row", "cost", "partner"])
+
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(run, "row long, cost double, partner long").toArrow()
+    held.destroy()
+    rows, cost, which = (found[c].to_numpy() for c in ("row", "cost", "partner"))
+    order = np.argsort(rows)
+    return cost[order], which[order]
+
+
+def _held_rounds(live: DataFrame, last_rows: int, log: list[tuple[int, int]] | None) -> tuple[DataFrame, DataFrame]:
+    """The merges until at most ``last_rows`` clusters are alive, and those clusters.
+
+    The same rounds as over tables: rows are in the order of ids, and of equal costs the smallest partner counts.
+    """
+    spark, kind = live.sparkSession, live.schema["id"].dataType
+    got = live.select("id", "n", "centroid").orderBy("id").toArrow().combine_chunks()
+    ids, n, x = got["id"].combine_chunks(), got["n"].to_numpy().copy(), matrix(got["centroid"].combine_chunks()).copy()
+    alive, asks = np.arange(len(x)), np.ones(len(x), bool)
+    least, partner = np.full(len(x), np.inf), np.full(len(x), -1)
+    merged: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(alive) > last_rows:
+        rows = np.flatnonzero(asks[alive])
+        if log is not None:
+            log.append((len(rows), len(alive)))
+        cost, which = _searched(spark, x[alive], n[alive].astype(float), rows)
+        rows, which = alive[rows[which >= 0]], alive[which[which >= 0]]
+        cost = cost[np.isfinite(cost)]
+        least[rows], partner[rows] = cost, which
+        order = np.lexsort((rows, cost, which))  # tell the cluster found, if none it knows is as cheap
+        rows, cost, which = rows[order], cost[order], which[order]
+        first = np.flatnonzero(np.diff(which, prepend=-1))
+        rows, cost, which = rows[first], cost[first], which[first]
+        news = (cost < least[which]) | ((cost == least[which]) & (rows < partner[which]))
+        least[which[news]], partner[which[news]] = cost[news], rows[news]
+        known = alive[partner[alive] >= 0]
+        lo = known[(partner[partner[known]] == known) & (known < partner[known])]
+        if not len(lo):
+            raise RuntimeError("no two clusters are each other's cheapest partner; are all features numbers?")
+        hi = partner[lo]
+        merged.append((least[lo], lo, hi))
+        x[lo] = (n[lo, None] * x[lo] + n[hi, None] * x[hi]) / (n[lo] + n[hi])[:, None]
+        n[lo] += n[hi]
+        ends = np.zeros(len(x), bool)
+        ends[lo] = ends[hi] = True
+        asks = ends | (partner < 0) | ends[partner]
+        gone = np.zeros(len(x), bool)
+        gone[hi] = True
+        alive = alive[~gone[alive]]
+        partner[asks], least[asks] = -1, np.inf
+    cost, lo, hi = (np.concatenate([m[i] for m in merged]) for i in range(3))
+    schema = StructType([StructField("cost", DoubleType()), StructField("lo", kind), StructField("hi", kind)])
+    found = pa.table({"cost": cost, "lo": ids.take(pa.array(lo)), "hi": ids.take(pa.array(hi))})
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(alive) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[alive].ravel()))
+    left = pa.table({"id": ids.take(pa.array(alive)), "n": n[alive], "centroid": vectors})
+    shape = StructType([StructField("id", kind), StructField("n", LongType()), live.schema["centroid"]])
+    return cut(spark.createDataFrame(found, schema)), cut(spark.createDataFrame(left, shape))
+
+
 def _last_merges(live: DataFrame) -> DataFrame:
     """Merges of the last clusters, at most one tile of them whatever the seed's size."""
     last = live.agg(F.sort_array(F.collect_list(F.struct("id", F.col("centroid").alias("x"), F.col("n").alias("w")))).alias("p"))

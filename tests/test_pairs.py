@@ -136,6 +136,26 @@ def test_ward_makes_few_pairs_and_rounds(spark, monkeypatch):
     assert log and met and max(met) <= 36 and log[-1][1] > 15
 
 
+@pytest.mark.parametrize("at_once", [1, 1 << 22])
+def test_ward_searches_kept_clusters_without_tables(spark, monkeypatch, at_once):
+    """Clusters that the driver can keep: no round goes over tables, which took some ten jobs each; ties as there."""
+    met = []
+    found_partners = ward._best_partners
+    monkeypatch.setattr(ward, "_best_partners", lambda *a: met.append(1) or found_partners(*a))
+    monkeypatch.setattr(ward, "TILE", 8)
+    monkeypatch.setattr(ward, "AT_ONCE", at_once)
+    rng = np.random.default_rng(17)
+    even, grid = rng.normal(size=(70, 6)), np.unique(rng.integers(0, 4, size=(30, 2)), axis=0).astype(float)
+    pts, tied = frame(spark, even), frame(spark, grid)
+    cuts = ward.labels(pts, ward.history(pts, leaf_rows=4), [4]).collect()
+    assert partition(cuts) == brute_ward(even, 4)
+    held = sorted(map(tuple, ward.history(tied, leaf_rows=4).collect()))
+    assert not met
+    if at_once > 1:
+        monkeypatch.setattr(ward, "HELD_ROWS", 0)
+        assert held == sorted(map(tuple, ward.history(tied, leaf_rows=4).collect())) and met
+
+
 def test_dbscan_meets_few_pairs_of_balls(spark, monkeypatch):
     """Points that lie so evenly that no bound drops a pair: balls grow with the points, so pairs of them do not."""
     pairs = []
