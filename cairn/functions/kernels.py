@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 NEAREST = StructType([StructField("pick", IntegerType()), StructField("d", DoubleType())])
 OFFERS = ArrayType(StructType([
@@ -19,7 +19,6 @@ OFFERS_ARROW = pa.list_(pa.struct([("side", pa.int32()), ("i", pa.int32()), ("j"
 INDEXES = ArrayType(IntegerType())
 BLOCK = 256  # rows of a tile that are compared at a time
 COLUMNS, PAIRS = 1 << 12, 1 << 16  # rows that a block of rows is compared with at a time, and pairs whose distances are summed in order
-LINKS = ArrayType(StructType([StructField("u", StringType()), StructField("v", StringType())]))
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
@@ -127,10 +126,10 @@ def _tiles(a: pa.Array, b: pa.Array):
         yield matrix(x.values), matrix(y.values)
 
 
-@arrow_udf(DoubleType())
-def farthest(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Largest squared distance between two tiles of vectors, by blocks of them that stay in the processor's cache."""
-    return pa.array([largest_sq_distance(x, y) for x, y in _tiles(a, b)])
+@arrow_udf(BinaryType())
+def raw(tile: pa.Array) -> pa.Array:
+    """The numbers of a tile's vectors, row by row, as bytes."""
+    return pa.array([matrix(t.values).tobytes() for t in tile], pa.binary())
 
 
 @arrow_udf(DoubleType())
@@ -219,47 +218,38 @@ def pairs_within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
     return np.concatenate(found, axis=1)
 
 
-@arrow_udf(INDEXES)
-def hits_within(a: pa.Array, b: pa.Array, eps: pa.Array) -> pa.Array:
+def hits_within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
     """For every vector of the first tile, how many of the second are within eps."""
-    out = [_close(x, y, e.as_py()).sum(axis=1).astype(np.int32) for (x, y), e in zip(_tiles(a, b), eps)]
-    return pa.array(out, pa.list_(pa.int32()))
+    return np.concatenate([_close(x[s:s + BLOCK], y, eps).sum(axis=1) for s in range(0, len(x), BLOCK)])
 
 
-@arrow_udf(INDEXES)
-def first_within(a: pa.Array, b: pa.Array, eps: pa.Array) -> pa.Array:
-    """For every vector of the first tile, the first row of the second within eps, or null."""
-    out = []
-    for (x, y), e in zip(_tiles(a, b), eps):
-        close = _close(x, y, e.as_py())
-        out.append([int(j) if hit else None for j, hit in zip(close.argmax(axis=1), close.any(axis=1))])
-    return pa.array(out, pa.list_(pa.int32()))
+def first_within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """For every vector of the first tile, the first row of the second within eps, or -1."""
+    close = [_close(x[s:s + BLOCK], y, eps) for s in range(0, len(x), BLOCK)]
+    return np.concatenate([np.where(c.any(axis=1), c.argmax(axis=1), -1) for c in close])
 
 
-@arrow_udf(LINKS)
-def linking_pairs(a: pa.Array, names_a: pa.Array, b: pa.Array, names_b: pa.Array, eps: pa.Array) -> pa.Array:
-    """Pairs of names, as few as connect all names of two tiles that have vectors within eps of each other."""
-    out = []
-    for (x, y), p, q, e in zip(_tiles(a, b), names_a, names_b, eps):
-        p, q = p.as_py(), q.as_py()
-        up: dict = {}
+def linking_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, eps: float) -> list[tuple[int, int]]:
+    """Pairs of names, as few as connect all names of two tiles that have vectors within eps of each other.
 
-        def top(v):
-            while (w := up.setdefault(v, v)) != v:
-                v = w
-            return v
+    ``p`` and ``q`` hold the names of the rows as numbers, each tile's own.
+    """
+    up: dict = {}
 
-        rows = []
-        codes = np.unique(q, return_inverse=True)[1]
-        for i, hits in enumerate(_close(x, y, e.as_py())):
-            at = np.flatnonzero(hits)
-            for j in at[np.unique(codes[at], return_index=True)[1]]:  # one vector of each name
-                u, v = top(p[i]), top(q[j])
-                if u != v:
-                    up[v] = u
-                    rows.append({"u": p[i], "v": q[j]})
-        out.append(rows)
-    return pa.array(out, pa.list_(pa.struct([("u", pa.string()), ("v", pa.string())])))
+    def top(v):
+        while (w := up.setdefault(v, v)) != v:
+            v = w
+        return v
+
+    rows = []
+    for s in range(0, len(x), BLOCK):
+        i, j = np.nonzero(_close(x[s:s + BLOCK], y, eps))
+        for a, b in np.unique(np.stack([p[s + i], q[j]], axis=1), axis=0).tolist():
+            u, v = top((0, a)), top((1, b))
+            if u != v:
+                up[v] = u
+                rows.append((a, b))
+    return rows
 
 
 @arrow_udf(INDEXES)

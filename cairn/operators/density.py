@@ -18,6 +18,7 @@ with the points of a crowded ball dealt out evenly over many tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.kernels import closest, first_within, groups_inside, hits_within, linking_pairs, matrix, neighbours_inside, sq_distances
 from cairn.functions.vectors import distance
-from cairn.operators.balls import BATCH_BYTES, FAN, LEAF, PIVOTS, SLACK, Cover, cover, grown, leaf, tile_pairs, widened
+from cairn.operators.balls import BATCH_BYTES, FAN, LEAF, PIVOTS, SLACK, Cover, cover, grown, leaf, meet, numbered, numbered_pairs, stored, tile_pairs, widened
 from cairn.operators.checks import require_numbers
 from cairn.operators.graph import components
 from cairn.session import cut, small_batches
@@ -136,14 +137,27 @@ def _sized(found: Cover) -> DataFrame:
     return cut(two.unionByName(two.select(*[F.col(f"{c}{y}").alias(f"{c}{x}") for c in ("", "n_") for x, y in ("ab", "ba")])))
 
 
-def _beside(asking: DataFrame, pairs: DataFrame, others: DataFrame, answer) -> DataFrame:
-    """``ids, v, more`` of the asking points of each pair of balls: the tile function's answers, and what the other tile carries.
+@dataclass
+class _Balls:
+    """Balls under numbers, for comparing their points tile by tile (`balls.meet`)."""
 
-    ``asking`` holds ``id, x, ball``, ``others`` ``x, ball, label``; both balls have few points, and rows of ``others`` come by label.
-    """
-    a = asking.groupBy("ball").agg(F.collect_list(F.struct("id", "x")).alias("p")).select(F.col("ball").alias("a"), F.col("p.id").alias("ids"), F.col("p.x").alias("xs"))
-    b = others.groupBy("ball").agg(F.sort_array(F.collect_list(F.struct("label", "x"))).alias("p")).select(F.col("ball").alias("b"), F.col("p.label").alias("more"), F.col("p.x").alias("ys"))
-    return pairs.join(a, "a").join(b, "b").select("ids", answer("xs", "ys").alias("v"), "more")
+    named: DataFrame
+    dims: int
+
+    def tiles(self, points: DataFrame, entry: Column, *parts: str) -> DataFrame:
+        """Points by ball, and ball and part, in rows sorted by ``entry``, whose field ``x`` is the vector."""
+        packed = points.groupBy(F.lit(0).alias("grp"), "ball", *parts).agg(F.sort_array(F.collect_list(entry)).alias("p"))
+        fields = [f.name for f in packed.schema["p"].dataType.elementType.fields if f.name != "x"]
+        return stored(packed.select("grp", "ball", F.col("p.x").alias("xs"), *[F.col(f"p.{f}").alias(f) for f in fields]), self.named)
+
+    def met(self, own: DataFrame, others: DataFrame, pairs: DataFrame, answer, shape: str) -> DataFrame:
+        return meet(own, others, numbered_pairs(pairs.select(F.lit(0).alias("grp"), "a", "b"), self.named), self.dims, answer, shape)
+
+
+def _numbered(found: Cover) -> _Balls:
+    first = found.points.select(F.size("x").alias("dims")).first()
+    dims = first.dims if first else 1
+    return _Balls(numbered(found.balls, dims), dims)
 
 
 def _reached(asking: DataFrame, pairs: DataFrame, shape: DataFrame, others: DataFrame, eps: float) -> DataFrame:
@@ -184,7 +198,11 @@ def _per_tile(points: DataFrame, answer, named: bool = False) -> DataFrame:
     return told.select("ball", F.explode(F.arrays_zip("id", "v")).alias("o")).select("ball", "o.id", "o.v")
 
 
-def _core(found: Cover, sized: DataFrame, eps: float, min_points: int, leaf_rows: int) -> DataFrame:
+def _kind(points: DataFrame) -> str:
+    return points.schema["id"].dataType.simpleString()
+
+
+def _core(found: Cover, balls: _Balls, sized: DataFrame, eps: float, min_points: int, leaf_rows: int) -> DataFrame:
     """``id, x, ball, tight, core`` of every point."""
     shape = found.balls.select("ball", "n", "pivot", "r")
     pts = cut(found.points.join(
@@ -194,9 +212,15 @@ def _core(found: Cover, sized: DataFrame, eps: float, min_points: int, leaf_rows
     counted = cut(pts.join(inside.select("id", "v"), "id", "left").select(
         "id", "x", "ball", "tight", "n", F.when(F.col("tight"), F.col("n")).otherwise(F.col("v")).alias("own")))
     short = counted.filter(F.col("own") < min_points)
-    few = counted.filter(F.col("n") <= leaf_rows).select("x", "ball", F.lit(0).alias("label"))
-    found_ = _beside(short, sized.filter(F.col("n_b") <= leaf_rows).select("a", "b"), few, lambda x, y: hits_within(x, y, F.lit(eps)))
-    hits = found_.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("v").alias("hits"))).alias("o")).select("o.id", F.col("o.hits").cast("long").alias("hits"))
+    few = counted.filter(F.col("n") <= leaf_rows)
+    kind = _kind(counted)
+
+    def counts(own: dict, others: list[dict]) -> dict:
+        hits = sum(hits_within(own["x"], other["x"], eps) for other in others)
+        return {"id": own["id"].values, "hits": pa.array(hits)}
+
+    hits = balls.met(
+        balls.tiles(short, F.struct("id", "x")), balls.tiles(few, F.struct("x")), sized.filter(F.col("n_b") <= leaf_rows), counts, f"id {kind}, hits long")
     crowds = sized.filter(F.col("n_b") > leaf_rows).select("a", "b")
     if not crowds.isEmpty():
         many = counted.filter(F.col("n") > leaf_rows).select("id", "x", "ball", F.lit("").alias("party"))
@@ -215,7 +239,7 @@ def core_points(points: DataFrame, eps: float, min_points: int = MIN_POINTS, lea
     leaf_rows, most = _leaf_rows(points, leaf_rows)
     found = neighbourhood(points, eps, leaf_rows)
     with small_batches(points.sparkSession, most):
-        return cut(_core(found, _sized(found), eps, min_points, leaf_rows).select(F.col("id").alias("point_id"), "core"))
+        return cut(_core(found, _numbered(found), _sized(found), eps, min_points, leaf_rows).select(F.col("id").alias("point_id"), "core"))
 
 
 def _parties(cores: DataFrame, eps: float) -> DataFrame:
@@ -226,7 +250,7 @@ def _parties(cores: DataFrame, eps: float) -> DataFrame:
     return cores.join(inside, "id", "left").select("id", "x", "ball", "n", F.coalesce("party", "ball").alias("party"))
 
 
-def _linked(cores: DataFrame, shape: DataFrame, sized: DataFrame, eps: float, leaf_rows: int) -> DataFrame:
+def _linked(cores: DataFrame, balls: _Balls, shape: DataFrame, sized: DataFrame, eps: float, leaf_rows: int) -> DataFrame:
     """Pairs of parties ``(u, v)``, enough to connect all that hold core points within eps of each other.
 
     Balls are compared tile by tile where one of the two has at most ``leaf_rows`` points, so the work is
@@ -235,21 +259,25 @@ def _linked(cores: DataFrame, shape: DataFrame, sized: DataFrame, eps: float, le
     sized = sized.filter(F.col("a") < F.col("b"))
     small = (F.col("n_a") <= leaf_rows) | (F.col("n_b") <= leaf_rows)
     large = sized.filter(~small).select("a", "b")
-    linked = _linked_tiles(cores, sized.filter(small).select("a", "b"), eps, leaf_rows)
+    linked = _linked_tiles(cores, balls, sized.filter(small).select("a", "b"), eps, leaf_rows)
     return linked if large.isEmpty() else linked.unionByName(_linked_crowds(cores, shape, large, eps, leaf_rows))
 
 
-def _linked_tiles(cores: DataFrame, pairs: DataFrame, eps: float, leaf_rows: int) -> DataFrame:
+def _linked_tiles(cores: DataFrame, balls: _Balls, pairs: DataFrame, eps: float, leaf_rows: int) -> DataFrame:
     """Links between parties of two balls, by tiles of at most about ``leaf_rows`` points."""
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / leaf_rows))
-    dealt = cores.withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    tile = cut(dealt.groupBy("ball", "part").agg(F.collect_list("x").alias("xs"), F.collect_list("party").alias("names")))
+    tiles = balls.tiles(cores.withColumn("part", F.pmod(F.xxhash64("id"), parts)), F.struct("party", "x"), "part")
 
-    def side(s: str) -> DataFrame:
-        return tile.select(F.col("ball").alias(s), F.col("xs").alias(f"xs_{s}"), F.col("names").alias(f"names_{s}"))
+    def links(own: dict, others: list[dict]) -> dict:
+        u, v, mine = [], [], own["party"].values.dictionary_encode()
+        for other in others:
+            theirs = other["party"].values.dictionary_encode()
+            found = linking_pairs(own["x"], mine.indices.to_numpy(), other["x"], theirs.indices.to_numpy(), eps)
+            u += [mine.dictionary[i].as_py() for i, _ in found]
+            v += [theirs.dictionary[j].as_py() for _, j in found]
+        return {"u": pa.array(u, pa.string()), "v": pa.array(v, pa.string())}
 
-    links = pairs.join(side("a"), "a").join(side("b"), "b").select(linking_pairs("xs_a", "names_a", "xs_b", "names_b", F.lit(eps)).alias("l"))
-    return links.select(F.explode("l").alias("l")).select("l.u", "l.v").distinct()
+    return balls.met(tiles, tiles, pairs, links, "u string, v string").distinct()
 
 
 def _linked_crowds(cores: DataFrame, shape: DataFrame, across: DataFrame, eps: float, leaf_rows: int) -> DataFrame:
@@ -322,10 +350,10 @@ def dbscan(points: DataFrame, eps: float, min_points: int = MIN_POINTS, leaf_row
 
 
 def _labelled(found: Cover, eps: float, min_points: int, leaf_rows: int) -> DataFrame:
-    shape, sized = found.balls.select("ball", "pivot", "r"), _sized(found)
-    state = cut(_core(found, sized, eps, min_points, leaf_rows))
+    shape, sized, balls = found.balls.select("ball", "pivot", "r"), _sized(found), _numbered(found)
+    state = cut(_core(found, balls, sized, eps, min_points, leaf_rows))
     cores = cut(_parties(state.filter("core"), eps))
-    named = components(_linked(cores, shape, sized, eps, leaf_rows))
+    named = components(_linked(cores, balls, shape, sized, eps, leaf_rows))
     first = cores.groupBy("party").agg(F.min("id").alias("first"))
     placed = first.join(named, F.col("party") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "party"))
@@ -335,9 +363,19 @@ def _labelled(found: Cover, eps: float, min_points: int, leaf_rows: int) -> Data
     border = state.filter(~F.col("core"))
     itself = found.balls.select(F.col("ball").alias("a"), F.col("ball").alias("b"), F.col("n").alias("n_b"))
     pairs = sized.select("a", "b", "n_b").unionByName(itself)
-    reach = _beside(border, pairs.filter(F.col("n_b") <= leaf_rows).select("a", "b"), labelled.filter(F.col("n") <= leaf_rows), lambda x, y: first_within(x, y, F.lit(eps)))
-    told = reach.select(F.col("ids").alias("id"), F.transform("v", lambda at: F.get("more", at)).alias("label"))
-    joined = told.select(F.explode(F.arrays_zip("id", "label")).alias("o")).select("o.id", "o.label").filter("label IS NOT NULL")
+
+    def joins(own: dict, others: list[dict]) -> dict:
+        ids, labels = [], []
+        for other in others:
+            at = first_within(own["x"], other["x"], eps)
+            ids.append(own["id"].values.take(pa.array(np.flatnonzero(at >= 0))))
+            labels.append(other["label"].values.take(pa.array(at[at >= 0])))
+        return {"id": pa.concat_arrays(ids), "label": pa.concat_arrays(labels)}
+
+    kind = _kind(state)
+    joined = balls.met(
+        balls.tiles(border, F.struct("id", "x")), balls.tiles(labelled.filter(F.col("n") <= leaf_rows), F.struct("label", "x")),
+        pairs.filter(F.col("n_b") <= leaf_rows), joins, f"id {kind}, label {kind}")
     crowds = pairs.filter(F.col("n_b") > leaf_rows).select("a", "b")
     if not crowds.isEmpty():
         hit = _reached(border, crowds, shape, labelled.filter(F.col("n") > leaf_rows).select("id", "x", "ball", "party"), eps)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.kernels import farthest
+from cairn.functions.kernels import largest_sq_distance
 from cairn.functions.vectors import distance
-from cairn.operators.balls import LEAF, cover, leaf, tile_pairs
+from cairn.operators.balls import LEAF, Cover, cover, leaf, meet, numbered, numbered_pairs, stored, tiles
 from cairn.operators.states import centroids
 from cairn.session import cut, small_batches
 
@@ -46,6 +47,22 @@ def _may_be_farthest(pairs: DataFrame) -> DataFrame:
     return pairs.drop("best").join(best, "grp").filter(reach >= F.col("best"))
 
 
+def tile_pairs(found: Cover) -> DataFrame:
+    """``grp, best``: the largest distance within the surviving pairs of tiles, of each tile in turn."""
+    dims = found.points.select(F.size("x").alias("dims")).first()
+    named = numbered(found.balls, dims.dims if dims else 1)
+    rows = stored(tiles(found.points).select("grp", "ball", "xs"), named)
+
+    def widest(own: dict, others: list[dict]) -> dict:
+        best = 0.0
+        for other in others:
+            best = largest_sq_distance(own["x"], other["x"], best)
+        return {"no": pa.array([own["no"]]), "best": pa.array([best])}
+
+    best = meet(rows, rows, numbered_pairs(found.pairs, named), dims.dims if dims else 1, widest, "no long, best double")
+    return named.join(best, "no").select("grp", F.sqrt("best").alias("best"))
+
+
 def diameter(points: DataFrame, keys: tuple[str, ...] = ("cluster_id",), leaf_rows: int = LEAF) -> DataFrame:
     """Largest distance between two members of a cluster, and size per squared diameter.
 
@@ -53,8 +70,8 @@ def diameter(points: DataFrame, keys: tuple[str, ...] = ("cluster_id",), leaf_ro
     that cannot reach it are dropped together with their points.  Where points lie so evenly
     that bounds drop nothing, as in many dimensions, leaves meet all leaves of
     their cluster: the distances are then quadratic in it, in tiles spread over tasks.  Leaves
-    hold ``leaf_rows`` points or a fixed share of the largest cluster, so that what is sent around is linear
-    in the points until tiles reach ``TILE_BYTES``.
+    hold ``leaf_rows`` points or a fixed share of the largest cluster, ``TILE_BYTES`` at most, and are sent to tasks
+    by blocks (`balls.meet`), so that what is written is linear in the points.
     """
     grp = F.struct(*keys)
     work = points.select(grp.alias("grp"), F.col("point_id").alias("id"), F.col("features").alias("x"))
@@ -65,9 +82,8 @@ def diameter(points: DataFrame, keys: tuple[str, ...] = ("cluster_id",), leaf_ro
     roots = work.select("grp").distinct().select(
         "grp", F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("best"))
     found = cover(work, leaf(leaf_rows), _may_be_farthest, roots, extra=("best",))
-    inside = tile_pairs(found).select("grp", F.sqrt(farthest("xs_a", "xs_b")).alias("best"))
-    both = found.pairs.select("grp", "best").unionByName(inside)
     with small_batches(points.sparkSession, max(1, BATCH_BYTES // (2 * leaf_rows * row_bytes))):
+        both = found.pairs.select("grp", "best").unionByName(tile_pairs(found))
         widest = cut(both.groupBy("grp").agg(F.max("best").alias("diameter")).select("grp.*", "diameter"))
     return sizes.drop("dims").join(widest, list(keys)).withColumn("density_d", density(F.col("n"), F.col("diameter")))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from brute import dbscan as brute_dbscan
 from brute import distances
 from brute import ward as brute_ward
-from cairn.operators import density, quality, ward
+from cairn.functions import kernels
+from cairn.operators import balls, density, quality, ward
 from cairn.operators.graph import components
 
 
@@ -46,6 +47,47 @@ def test_diameter_sends_points_to_few_tiles(spark, monkeypatch):
     assert tiles[1] < 2 * tiles[0]  # 16 times as many if tiles stayed as they were
 
 
+def test_diameter_holds_no_pairs_of_vectors(spark, monkeypatch):
+    """Tiles meet by blocks sent to the tasks, here of a few tiles; a pair of tiles never carries its vectors."""
+    shapes, found_pairs = [], quality.tile_pairs
+    monkeypatch.setattr(quality, "tile_pairs", lambda found: (out := found_pairs(found), shapes.append(out.columns))[0])
+    monkeypatch.setattr(balls, "HELD_BYTES", 8 * 5 * 60)
+    x, cluster = np.random.default_rng(8).normal(size=(200, 5)), np.arange(200) % 2
+    got = {r.cluster_id: r.diameter for r in quality.diameter(frame(spark, x, cluster), leaf_rows=12).collect()}
+    for c in range(2):
+        assert got[c] == pytest.approx(distances(x[cluster == c]).max(), abs=1e-12)
+    assert shapes == [["grp", "best"]]
+
+
+def test_dbscan_compares_tiles_by_blocks(spark, monkeypatch):
+    """Neighbours, links and border points from several blocks, also of tight balls larger than a tile."""
+    blocks, found = [], density.meet
+    monkeypatch.setattr(density, "meet", lambda own, others, pairs, *a: (blocks.append(pairs.select("block_b").distinct().count()), found(own, others, pairs, *a))[1])
+    monkeypatch.setattr(balls, "HELD_BYTES", 8 * 2 * 40)
+    x = clumps(np.random.default_rng(2), 240, 2)
+    expected, _ = brute_dbscan(x, 0.3)
+    got = {r.point_id: r.label for r in density.dbscan(frame(spark, x), 0.3, leaf_rows=8).collect()}
+    assert [got[i] for i in range(len(x))] == expected and len(blocks) == 3 and max(blocks) > 2
+
+
+def test_products_of_matrices_give_the_same_digits():
+    """Searches by matrix products answer as sums in order do, also where points lie far out, on a grid or beyond squares."""
+    rng = np.random.default_rng(6)
+    for d, scale, shift in ((2, 1, 0), (24, 1, 0), (3, 1e-3, 1e4), (3, 1e160, 0)):
+        x, y = (np.round(rng.normal(size=(n, d)), 1) * scale + shift for n in (300, 200))
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = kernels.sq_distances(x, y)
+            assert kernels.largest_sq_distance(x, y) == exact.max()
+            for eps in (0.0, 0.4, np.sqrt(np.median(exact))):
+                assert (kernels._close(x, y, eps) == (np.sqrt(exact) <= eps)).all()
+            n, at = rng.integers(1, 9, 300).astype(float), np.arange(0, 300, 3)
+            costs = kernels.sq_distances(x, x) * (n[:, None] * n / (n[:, None] + n))
+            np.fill_diagonal(costs, np.inf)
+            cost, which = kernels.cheapest_of(x, n, at)
+        assert (cost == costs[at].min(axis=1)).all()
+        assert scale > 1e100 or (which == costs[at].argmin(axis=1)).all()
+
+
 def test_diameter_of_one_point_is_zero_and_dense_without_end(spark):
     row = quality.diameter(frame(spark, np.array([[1.0, 2.0]]))).first()
     assert row.diameter == 0 and row.density_d == float("inf")
